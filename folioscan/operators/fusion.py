@@ -55,7 +55,7 @@ def weighted_sum(lexical: DataFrame, semantic: DataFrame, w_lexical: float, w_se
     a = lexical.select("query_id", "doc_id", F.col("score").alias("lexical_score"))
     b = semantic.select("query_id", "doc_id", F.col("similarity").alias("semantic_score"))
     total = F.coalesce("lexical_score", F.lit(0.0)) * w_lexical + F.coalesce("semantic_score", F.lit(0.0)) * w_semantic
-    return a.join(b, ["query_id", "doc_id"], "full").withColumn("score", F.round(total, SCORE_DIGITS))
+    return a.join(b, ["query_id", "doc_id"], "full").withColumn("score", F.round(total, 8))
 
 
 def diversify(ranked: DataFrame, section: str, at_least: int = 3) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioscan.functions.vectors import cosine
 from folioscan.session import BROADCAST_LIMIT_BYTES
 
 SCORE_DIGITS = 6
@@ -46,7 +47,8 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float | None) -> n
     if len(keep) > k:
         cut = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
         keep = keep[scores[keep] >= cut]
-    order = np.lexsort((ids[keep], -scores[keep]))
+    tie = ids[keep]
+    order = np.lexsort((tie.astype(str) if tie.dtype == object else tie, -scores[keep]))
     return keep[order[:k]]
 
 
@@ -105,7 +107,17 @@ def _scan(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None) ->
                     _score_block(ids, unit, c_ids, c_unit, k, floor), preserve_index=False
                 )
 
-    return chunks.select("chunk_id", "vector").mapInArrow(score, "query_id long, chunk_id long, similarity double")
+    return chunks.select("chunk_id", "vector").mapInArrow(score, _pair_schema(queries, chunks))
+
+
+def _pair_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("query_id", queries.schema["query_id"].dataType),
+            T.StructField("chunk_id", chunks.schema["chunk_id"].dataType),
+            T.StructField("similarity", T.DoubleType()),
+        ]
+    )
 
 
 def _grid(queries, chunks, k, floor, n_queries, per_block) -> DataFrame:
@@ -134,10 +146,7 @@ def _grid(queries, chunks, k, floor, n_queries, per_block) -> DataFrame:
             right["chunk_id"].to_numpy(), _unit_rows(b.astype(float)), k, floor,
         )
 
-    return (
-        q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb"))
-        .applyInPandas(cell, T._parse_datatype_string("query_id long, chunk_id long, similarity double"))
-    )
+    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell, _pair_schema(queries, chunks))
 
 
 def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -157,8 +166,6 @@ def probe_centroids(queries: DataFrame, chunks: DataFrame, cells: DataFrame, k:
     nearest = top_k_similar(queries, cells.select(F.col("cell_id").alias("chunk_id"), "vector"), probes)
     visits = nearest.select("query_id", F.col("chunk_id").alias("cell_id"))
     wanted = queries.select("query_id", F.col("vector").alias("query_vector")).join(visits, "query_id")
-    from folioscan.functions.vectors import cosine
-
     scored = chunks.join(wanted, "cell_id").select(
         "query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("vector")), SCORE_DIGITS).alias("similarity")
     )

@@ -1 +1,250 @@
-"""Registered queries."""
+"""Registered queries: lexical, vector and hybrid retrieval over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioscan.functions.vectors import cosine, cosine_distance, embedder
+from folioscan.operators import fusion, lexical, nearest
+from folioscan.plans import sqltext as S
+from folioscan.plans.registry import query
+from folioscan.session import load
+
+BENCH = "select item_id query_id, text txt from benchmark"
+DOCS = "select doc_id, text txt from documents"
+
+
+def bench_queries(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def lexical_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
+    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    return lexical.rank_top_k(lexical.bm25(bench_queries(spark, d), docs), k)
+
+
+def semantic_hits(spark: SparkSession, d: str, k: int, floor: float | None = 0.3) -> DataFrame:
+    embed = embedder("hashing-64")
+    q = bench_queries(spark, d).select("query_id", embed(F.col("query_text")).alias("vector"))
+    c = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), embed(F.col("text")).alias("vector"))
+    return nearest.top_k_similar(q, c, k, floor).withColumnRenamed("chunk_id", "doc_id")
+
+
+def centroid_queries(spark: SparkSession, d: str) -> DataFrame:
+    """One query per label: the mean vector of the label's chunks; the label's chunks are relevant to it."""
+    mean = nearest.centroids(load(spark, d, "embeddings"), "label")
+    return mean.select(F.col("label").cast("long").alias("query_id"), "vector")
+
+
+def vector_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return load(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector"))
+
+
+SEM_SQL = f"""{S.embed(BENCH, 'query_id', 'qe')}, {S.embed(DOCS, 'doc_id', 'de')},
+sim as (select query_id, doc_id, round(sum(a.w * b.w), 6) similarity from qe a join de b using (dim) group by 1, 2)"""
+
+
+@query("bm25_topk", "R1 J2 T1 T3 T6 W1 F3", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 10, 'top')}
+select query_id, doc_id, score, rk as rank from top""")
+def bm25_topk(spark, d):
+    return lexical_hits(spark, d, 10).select("query_id", "doc_id", "score", "rank")
+
+
+@query("bm25_all_terms", "R1 J2 ST12", f"""
+with {S.bm25(BENCH, DOCS, join='all')}, {S.ranked('bm', 'score', 10, 'top')}
+select query_id, doc_id, matched, score, rk as rank from top""")
+def bm25_all_terms(spark, d):
+    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    hits = lexical.bm25(bench_queries(spark, d), docs, match="all")
+    return lexical.rank_top_k(hits, 10).select("query_id", "doc_id", "matched", "score", "rank")
+
+
+_SITE = "select source || ' ' || lang query_id, source || ' ' || lang txt from documents group by 1, 2"
+
+
+@query("bm25_weighted_fields", "R3", f"""
+with {S.bm25(_SITE, "select doc_id, source || '/' || lang || '/' || doc_id txt from documents", 'pa')},
+{S.bm25(_SITE, DOCS, 'bo')},
+mix as (select query_id, doc_id, round(sum(part), 6) score from (
+  select query_id, doc_id, score * 3.0 part from pa union all select query_id, doc_id, score * 1.0 from bo) group by 1, 2),
+{S.ranked('mix', 'score', 5, 'top')}
+select query_id, doc_id, score, rk as rank from top""")
+def bm25_weighted_fields(spark, d):
+    docs = load(spark, d, "documents")
+    q = docs.select(F.concat_ws(" ", "source", "lang").alias("query_id")).distinct().withColumn("query_text", F.col("query_id"))
+    path = lexical.tokenised(docs, "doc_id", F.concat_ws("/", "source", "lang", "doc_id"))
+    body = lexical.tokenised(docs, "doc_id", F.col("text"))
+    mixed = lexical.weighted_fields(q, [(path, 3.0), (body, 1.0)])
+    return lexical.rank_top_k(mixed, 5).select("query_id", "doc_id", "score", "rank")
+
+
+STOP = ["a", "an", "and", "for", "in", "of", "on", "the", "to", "with"]
+_STOP_SQL = ", ".join(f"'{w}'" for w in STOP)
+
+
+@query("fts_conjunctive", "R2 ST12", f"""
+with d as (select doc_id, {S.toks('text')} tk from documents),
+p as (select doc_id, term, count(*) tf, any_value(dl) dl from (select doc_id, unnest(tk) term, len(tk) dl from d) group by 1, 2),
+q as (select * from (select item_id query_id, unnest(list_distinct({S.toks('text')})) term from benchmark) where term not in ({_STOP_SQL})),
+n as (select query_id, count(*) nt from q group by 1)
+select query_id, doc_id, round(sum(tf / (1 + ln(dl))), 6) as score
+from q join p using (term) join n using (query_id) group by query_id, doc_id, nt having count(*) = nt""")
+def fts_conjunctive(spark, d):
+    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    return lexical.conjunctive(bench_queries(spark, d), docs, STOP)
+
+
+@query("like_fallback", "R4 PF4 PF2 T2", """
+select doc_id, source, 1.0::double as score from documents
+where contains(lower(text), 'license') or contains(lower(source), 'license') order by doc_id limit 20""")
+def like_fallback(spark, d):
+    hits = lexical.like_search(load(spark, d, "documents"), "license", ["text", "source"])
+    return hits.select("doc_id", "source", "score").orderBy("doc_id").limit(20)
+
+
+@query("search_snippets", "ST10 PF13", f"""
+with w as (select doc_id, {S.words('text')} ws from documents where contains(lower(text), 'license')),
+h as (select doc_id, ws, list_position(list_transform(ws, lambda x: lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) = 'license'), true) p from w),
+s as (select doc_id, ws, p, greatest(1, least(p - 4, len(ws) - 7)) st from h where p > 0)
+select doc_id, (case when st > 1 then '…' else '' end) || array_to_string(list_transform(ws[st:st+7],
+  lambda x: case when lower(regexp_replace(x, '[^\\p{{L}}\\p{{N}}]', '', 'g')) = 'license' then '<b>' || x || '</b>' else x end), ' ')
+  || (case when st + 7 < len(ws) then '…' else '' end) as snippet from s""")
+def search_snippets(spark, d):
+    hits = lexical.like_search(load(spark, d, "documents"), "license", ["text"])
+    return hits.select("doc_id", lexical.snippet(F.col("text"), "license").alias("snippet")).filter("snippet is not null")
+
+
+@query("semantic_topk", "R5 J10 T1 T6 PF5 PF6 PF21 W2", f"""
+with {S.CENTROIDS}, s as (select label::bigint query_id, vec_id doc_id,
+  round(list_cosine_similarity(v, embedding::double[]), 6) similarity from cen cross join (select vec_id, embedding from embeddings)),
+{S.ranked('s', 'similarity', 10, 'top', 'similarity >= 0.3')}
+select query_id, doc_id as chunk_id, similarity, rk as rank from top""")
+def semantic_topk(spark, d):
+    return nearest.top_k_similar(centroid_queries(spark, d), vector_chunks(spark, d), 10, 0.3)
+
+
+@query("semantic_threshold", "M1 M2 PF6 J1", f"""
+with {S.CENTROIDS} select vec_id as chunk_id, label, lang, round(list_cosine_similarity(v, embedding::double[]), 6) as similarity,
+ round(1 - list_cosine_similarity(v, embedding::double[]), 6) as distance
+from embeddings join cen using (label) join documents on doc_id = vec_id
+where round(list_cosine_similarity(v, embedding::double[]), 6) >= 0.3""")
+def semantic_threshold(spark, d):
+    vec = load(spark, d, "embeddings")
+    docs = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    scored = vec.join(nearest.centroids(vec, "label"), "label").select(
+        F.col("vec_id").alias("chunk_id"), "label",
+        F.round(cosine(F.col("vector"), F.col("embedding")), 6).alias("similarity"),
+        F.round(cosine_distance(F.col("vector"), F.col("embedding")), 6).alias("distance"),
+    )
+    return scored.filter("similarity >= 0.3").join(docs, "chunk_id").select("chunk_id", "label", "lang", "similarity", "distance")
+
+
+@query("embed_missing", "R10 SNK4 PF19 F8", f"""
+with {S.embed("select doc_id, text txt from documents where doc_id not in (select vec_id from embeddings)", 'doc_id', 'e')}
+select doc_id, count(*) as used_dims, round(sum(dim * w), 4) as checksum from e where w <> 0 group by 1""")
+def embed_missing(spark, d):
+    known = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    todo = load(spark, d, "documents").join(known, "doc_id", "left_anti")
+    v = todo.select("doc_id", embedder("hashing-64")(F.col("text")).alias("v"))
+    used = F.size(F.filter("v", lambda x: x != 0))
+    check = F.aggregate(
+        F.zip_with(F.sequence(F.lit(1), F.size("v")), F.col("v"), lambda i, x: i * x), F.lit(0.0), lambda s, x: s + x
+    )
+    return v.select("doc_id", used.cast("long").alias("used_dims"), F.round(check, 4).alias("checksum")).filter("used_dims > 0")
+
+
+@query("hybrid_rrf", "R7 R1 R5 J3 W1 W2 W3 T2 T7 SO1", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 30, 'lex')}, {SEM_SQL}, {S.ranked('sim', 'similarity', 30, 'sem', 'similarity >= 0.3')},
+f as (select query_id, doc_id, l.rk lr, s.rk sr, coalesce(1.0 / (60 + l.rk), 0) + coalesce(1.0 / (60 + s.rk), 0) sc
+  from lex l full join sem s using (query_id, doc_id)),
+r as (select *, row_number() over (partition by query_id order by round(sc, 12) desc, sr nulls last, doc_id) rk from f)
+select query_id, doc_id, lr as lexical_rank, sr as semantic_rank, round(sc, 8) as rrf_score, rk as rank from r where rk <= 10""")
+def hybrid_rrf(spark, d):
+    fused = fusion.reciprocal_rank_fusion(lexical_hits(spark, d, 30), semantic_hits(spark, d, 30), 10)
+    return fused.select("query_id", "doc_id", "lexical_rank", "semantic_rank", F.round("rrf_score", 8).alias("rrf_score"), "rank")
+
+
+@query("hybrid_rrf_boosted", "R8 W3", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 50, 'lex')}, {SEM_SQL}, {S.ranked('sim', 'similarity', 50, 'sem')},
+f as (select query_id, doc_id, l.rk - 1 lr, s.rk - 1 sr, l.score, coalesce(1.0 / (59 + l.rk), 0) + coalesce(1.0 / (59 + s.rk), 0) sc
+  from lex l full join sem s using (query_id, doc_id)),
+r as (select *, row_number() over (partition by query_id order by round(sc, 12) desc, sr nulls last, doc_id) rk from f)
+select query_id, doc_id, round(sc, 8) as rrf_score, round(sc * (1 + least(coalesce(score, 0), 10) / 10), 8) as boosted, rk as rank from r where rk <= 24""")
+def hybrid_rrf_boosted(spark, d):
+    lex = lexical_hits(spark, d, 50)
+    fused = fusion.reciprocal_rank_fusion(lex, semantic_hits(spark, d, 50, None), 24, first_rank=0)
+    return fusion.lexical_boost(fused, lex).select(
+        "query_id", "doc_id", F.round("rrf_score", 8).alias("rrf_score"), F.round("boosted", 8).alias("boosted"), "rank"
+    )
+
+
+@query("weighted_fusion", "R9", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 20, 'lex')}, {SEM_SQL}, {S.ranked('sim', 'similarity', 20, 'sem', 'similarity >= 0.3')}
+select query_id, doc_id, round(coalesce(score, 0) * 0.5 + coalesce(similarity, 0) * 0.5, 8) as score
+from lex full join sem using (query_id, doc_id)""")
+def weighted_fusion(spark, d):
+    mixed = fusion.weighted_sum(lexical_hits(spark, d, 20), semantic_hits(spark, d, 20), 0.5, 0.5)
+    return mixed.select("query_id", "doc_id", "score")
+
+
+@query("diversified_results", "R13 W12", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 24, 'top')},
+s as (select t.*, source, row_number() over (partition by query_id, source order by rk) nth from top t join documents using (doc_id))
+select query_id, doc_id, source, rk as rank, row_number() over (partition by query_id order by rk) as diverse_rank
+from s where rk <= 3 or nth = 1""")
+def diversified_results(spark, d):
+    src = load(spark, d, "documents").select("doc_id", "source")
+    ranked = lexical_hits(spark, d, 24).join(src, "doc_id")
+    return fusion.diversify(ranked, "source").select("query_id", "doc_id", "source", "rank", "diverse_rank")
+
+
+@query("chunk_lookup", "R12 PF21 Z1", """
+select vec_id as chunk_id, label, source, lang, n_chars from embeddings join documents on doc_id = vec_id""")
+def chunk_lookup(spark, d):
+    meta = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), "source", "lang", "n_chars")
+    chunks = load(spark, d, "embeddings").withColumnRenamed("vec_id", "chunk_id").drop("embedding")
+    return chunks.join(meta, "chunk_id").select("chunk_id", "label", "source", "lang", "n_chars")
+
+
+@query("ann_probe", "R6 M6", f"""
+with {S.CENTROIDS},
+qx as (select source, unnest(embedding)::double x, generate_subscripts(embedding, 1) i from embeddings join documents on doc_id = vec_id),
+qm as (select source, i, avg(x) x from qx group by 1, 2), q as (select source, list(x order by i) qv from qm group by 1),
+c as (select source, label, row_number() over (partition by source order by round(list_cosine_similarity(qv, v), 6) desc, label) rk from q cross join cen),
+s as (select source query_id, vec_id doc_id, round(list_cosine_similarity(qv, embedding::double[]), 6) similarity
+  from c join q using (source) join embeddings using (label) where rk <= 3),
+{S.ranked('s', 'similarity', 5, 'top')}
+select query_id, doc_id as chunk_id, similarity, rk as rank from top""")
+def ann_probe(spark, d):
+    vec = load(spark, d, "embeddings")
+    site = load(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "source")
+    q = nearest.centroids(vec.join(site, "vec_id"), "source").withColumnRenamed("source", "query_id")
+    cells = nearest.centroids(vec, "label").select(F.col("label").cast("long").alias("cell_id"), "vector")
+    chunks = vec.select(F.col("vec_id").alias("chunk_id"), F.col("label").cast("long").alias("cell_id"), F.col("embedding").alias("vector"))
+    return nearest.probe_centroids(q, chunks, cells, 5, probes=3)
+
+
+@query("quick_evaluation", "R15", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 10, 'lex')}, {SEM_SQL}, {S.ranked('sim', 'similarity', 10, 'sem', 'similarity >= 0.3')},
+l3 as (select * from (select *, row_number() over (partition by query_id order by score desc, doc_id) k3 from bm) where k3 <= 30),
+s3 as (select * from (select *, row_number() over (partition by query_id order by similarity desc, doc_id) k3 from sim where similarity >= 0.3) where k3 <= 30),
+f as (select query_id, doc_id, l3.k3 lr, s3.k3 sr, coalesce(1.0 / (60 + l3.k3), 0) + coalesce(1.0 / (60 + s3.k3), 0) sc from l3 full join s3 using (query_id, doc_id)),
+h as (select *, row_number() over (partition by query_id order by round(sc, 12) desc, sr nulls last, doc_id) rk from f),
+u as (select 'fulltext' as mode, query_id, doc_id, rk from lex union all select 'semantic', query_id, doc_id, rk from sem
+ union all select 'hybrid', query_id, doc_id, rk from h where rk <= 10)
+select mode, query_id, count(*) as result_count, min(case when rk = 1 then doc_id end) as best_doc from u group by 1, 2""")
+def quick_evaluation(spark, d):
+    modes = three_modes(spark, d)
+    best = F.min(F.when(F.col("rank") == 1, F.col("doc_id")))
+    return modes.groupBy("mode", "query_id").agg(F.count(F.lit(1)).alias("result_count"), best.alias("best_doc"))
+
+
+def three_modes(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
+    """(mode, query_id, doc_id, rank) of full-text, semantic and hybrid search for every benchmark text."""
+    lex, sem = lexical_hits(spark, d, 3 * k), semantic_hits(spark, d, 3 * k)
+    hybrid = fusion.reciprocal_rank_fusion(lex, sem, k)
+    parts = [("fulltext", lex), ("semantic", sem), ("hybrid", hybrid)]
+    picked = [p.filter(F.col("rank") <= k).select(F.lit(m).alias("mode"), "query_id", "doc_id", "rank") for m, p in parts]
+    return picked[0].unionByName(picked[1]).unionByName(picked[2])
