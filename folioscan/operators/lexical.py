@@ -37,11 +37,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return t.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def _weighted(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per (term, doc) BM25 weight, for the terms of the queries only."""
+def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Postings restricted to the terms of the queries, placed by document.
+
+    Counting and every later per-document sum stay inside one placement by doc_id, so scores need no
+    exchange of their own before the top-k cut.
+    """
     vocabulary = terms.select("term").distinct()
     hit = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    post = hit.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return hit.repartition("doc_id").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _weighted(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """Per (term, doc) BM25 weight, for the terms of the queries only."""
+    post = query_postings(docs, terms)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = docs.agg(F.count(F.lit(1))).scalar()
     avgdl = docs.agg(F.avg("dl")).scalar()
@@ -97,9 +106,7 @@ def conjunctive(queries: DataFrame, docs: DataFrame, stop_words: list[str]) -> D
     """Documents holding every non-stop query term, ranked by summed term frequency over length."""
     kept = query_terms(queries).filter(~F.col("term").isin(stop_words)).drop("n_terms")
     counted = kept.join(kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id")
-    vocabulary = kept.select("term").distinct()
-    hit = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    post = hit.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    post = query_postings(docs, kept)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     rarest = Window.partitionBy("query_id").orderBy("df", "term")
     known = counted.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))

@@ -1 +1,147 @@
-"""Registered queries."""
+"""Registered queries: HTML pages, links, URLs and addresses."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from folioscan.functions import html, urls
+from folioscan.functions.text import url_path_slug
+from folioscan.operators import filters, links
+from folioscan.plans import sqltext as S
+from folioscan.plans.registry import query
+from folioscan.session import load
+
+LINKS_SQL = """raw as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1)) href,
+  generate_subscripts(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1), 1) - 1 pos from pages),
+abs as (select page_id, url, pos, regexp_replace(case when href like '/%' then regexp_extract(url, '^[a-z]+://[^/?#]*') || href else href end, '#.*$', '') link from raw),
+links as (select page_id, url, link, min(pos) pos from abs group by 1, 2, 3)"""
+
+
+@query("extract_links", "U2 U3 W8", f"with {LINKS_SQL} select page_id, link, pos::int as pos from links")
+def extract_links(spark, d):
+    return links.page_links(load(spark, d, "pages")).select("page_id", "link", "pos")
+
+
+@query("link_graph_edges", "U3 PF16 AGG25", f"""
+with {LINKS_SQL} select regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, count(*) as links, count(distinct link) as targets,
+ sum(case when regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) and not regexp_matches(link, '(the|und)') then 1 else 0 end)::bigint as followed
+from links group by 1""")
+def link_graph_edges(spark, d):
+    e = links.page_links(load(spark, d, "pages")).withColumn("host", urls.netloc(F.col("url")))
+    follow = filters.follow_link(F.col("link"), F.col("host"), [], ["(the|und)"])
+    return e.groupBy("host").agg(
+        F.count(F.lit(1)).alias("links"), F.countDistinct("link").alias("targets"), F.count_if(follow).alias("followed")
+    )
+
+
+@query("link_depth_bfs", "SRC4 J16 SO2 LN9", f"""
+with recursive {LINKS_SQL},
+nav as (select page_id, 'w' || regexp_extract(link, '^[a-z]+://[^/?#]*(.*)$', 1) word, pos from links),
+edges as (select 'p' || page_id src, word dst from nav union all select word, 'p' || page_id from nav where pos = 0),
+walk as (select 'p' || page_id node, 0 depth from pages where url like '%/'
+  union select dst, depth + 1 from walk join edges on src = node where depth < 4)
+select node, min(depth) as depth from walk group by 1""")
+def link_depth_bfs(spark, d):
+    """Pages link to navigation entries; an entry leads to the pages that list it first."""
+    pages = load(spark, d, "pages")
+    nav = links.page_links(pages).select(
+        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page"),
+        F.concat(F.lit("w"), urls.path(F.col("link"))).alias("word"), "pos",
+    )
+    edges = nav.select(F.col("page").alias("src"), F.col("word").alias("dst")).unionByName(
+        nav.filter("pos = 0").select(F.col("word").alias("src"), F.col("page").alias("dst"))
+    )
+    seeds = pages.filter(F.col("url").endswith("/")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"))
+    return links.reach(edges, seeds, 4)
+
+
+_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+
+
+def _unescape(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+
+
+_TEXT = _unescape(f"regexp_replace({_PLAIN}, '<[^>]*>', '', 'g')")
+
+
+@query("strip_html_text", "U5 ST5", f"""
+with p as (select page_id, list_transform(string_split({_TEXT}, chr(10)), lambda l: {S.strip('l')}) ls from pages)
+select page_id, array_to_string(list_filter(list_transform(flatten(list_transform(ls, lambda l: string_split(l, '  '))), lambda s: {S.strip('s')}), lambda s: s <> ''), ' ') as body from p""")
+def strip_html_text(spark, d):
+    return load(spark, d, "pages").select("page_id", html.visible_text(F.col("html")).alias("body"))
+
+
+@query("extract_headings", "U6", f"""
+with h as (select page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*>.*?</h[1-6]\\s*>')) h from pages)
+select page_id, cast(substr(h, 3, 1) as integer) as level, {S.strip(_unescape("regexp_replace(h, '<[^>]*>', '', 'g')"))} as heading from h
+where {S.strip("regexp_replace(h, '<[^>]*>', '', 'g')")} <> ''""")
+def extract_headings(spark, d):
+    h = load(spark, d, "pages").select("page_id", F.explode(html.headings(F.col("html"))).alias("h"))
+    return h.select("page_id", F.col("h.level").alias("level"), F.col("h.text").alias("heading"))
+
+
+@query("extract_title", "U7 SRC2", f"""
+select page_id, {S.strip(_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} as title from pages""")
+def extract_title(spark, d):
+    return load(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+_MD = _PLAIN
+for _tag in ("nav", "head", "footer", "aside"):
+    _MD = f"regexp_replace({_MD}, '(?is)<{_tag}\\b[^>]*>.*?</{_tag}\\s*>', '', 'g')"
+for _n in range(1, 7):
+    _MD = f"regexp_replace({_MD}, '(?is)<h{_n}\\b[^>]*>(.*?)</h{_n}\\s*>', chr(10) || chr(10) || '{'#' * _n} \\1' || chr(10) || chr(10), 'g')"
+_MD = f"regexp_replace({_MD}, '(?is)<a\\b[^>]*?\\bhref=\"([^\"]*)\"[^>]*>(.*?)</a\\s*>', '[\\2](\\1)', 'g')"
+_MD = f"regexp_replace(regexp_replace({_MD}, '(?is)</?(b|strong)\\b[^>]*>', '**', 'g'), '(?is)</?(i|em)\\b[^>]*>', '*', 'g')"
+_MD = f"regexp_replace(regexp_replace({_MD}, '(?is)<li\\b[^>]*>', chr(10) || '- ', 'g'), '(?is)<br\\s*/?>', chr(10), 'g')"
+_MD = f"regexp_replace({_MD}, '(?is)</?(p|div|section|article|ul|ol|table|tr|blockquote)\\b[^>]*>', chr(10) || chr(10), 'g')"
+_MD = _unescape(f"regexp_replace({_MD}, '<[^>]*>', '', 'g')")
+_MD = S.strip(f"regexp_replace(regexp_replace({_MD}, '[ \\t]+\\n', chr(10), 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
+@query("page_to_markdown", "SRC3 U10 ST2 SNK5 PF15", f"""
+with p as (select page_id, url, {_MD} md from pages where url like 'https://%'),
+f as (select page_id, case when regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '%/' then regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || 'index' else regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) end path, md from p)
+select page_id, coalesce(nullif(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9/_-]', '-', 'g'), '^/+|/+$', '', 'g'), ''), 'index') || '.md' as file, md as body from f""")
+def page_to_markdown(spark, d):
+    from folioscan.operators.ingest import ingest_pages
+
+    pages = load(spark, d, "pages").filter(F.col("url").startswith("https://"))
+    return ingest_pages(pages).select("page_id", "file", "body")
+
+
+@query("url_parts", "U1 U4", """
+with u as (select page_id, url || case when url like 'http:%' then '' else '' end url from pages)
+select page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) as scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
+ regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/robots.txt' as robots from u""")
+def url_parts(spark, d):
+    u = F.col("url")
+    return load(spark, d, "pages").select(
+        "page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.robots_url(u).alias("robots")
+    )
+
+
+@query("ip_private_check", "U8 U9 Z24 Z25", """
+with e as (select event_id, user_id, cast(json_extract_string(props, '$.k') as bigint) k, event_type from events),
+f as (select event_id, user_id, event_type, case event_type when 'view' then '10.' || k || '.0.1, 8.8.8.8' when 'click' then '172.' || k % 40 || '.' || k || '.9'
+  when 'signup' then (100 + k) || '.168.' || k || '.7' when 'purchase' then '' else 'not-an-ip' end xff from e),
+i as (select event_id, user_id, coalesce(nullif(trim(split_part(xff, ',', 1)), ''), '127.0.0.1') ip from f),
+n as (select *, try_cast(split_part(ip, '.', 1) as bigint) a, try_cast(split_part(ip, '.', 2) as bigint) b from i)
+select event_id, ip, case when not regexp_matches(ip, '^[0-9]+[.][0-9]+[.][0-9]+[.][0-9]+$') or greatest(a, b) > 255 then true
+ else a in (0, 10, 127) or a >= 224 or (a = 172 and b between 16 and 31) or (a = 192 and b = 168) or (a = 169 and b = 254) end as private,
+ 'user:' || user_id || ':' || ip as limiter_key from n""")
+def ip_private_check(spark, d):
+    from folioscan.functions.ids import client_key
+
+    k, e = F.get_json_object("props", "$.k").cast("int"), F.col("event_type")
+    hop = (
+        F.when(e == "view", F.concat(F.lit("10."), k.cast("string"), F.lit(".0.1, 8.8.8.8")))
+        .when(e == "click", F.concat_ws(".", F.lit("172"), (k % 40).cast("string"), k.cast("string"), F.lit("9")))
+        .when(e == "signup", F.concat_ws(".", (k + 100).cast("string"), F.lit("168"), k.cast("string"), F.lit("7")))
+        .when(e == "purchase", F.lit("")).otherwise(F.lit("not-an-ip"))
+    )
+    ip = urls.client_ip(hop, F.lit(None).cast("string"), F.lit("127.0.0.1"))
+    return load(spark, d, "events").withColumn("ip", ip).select(
+        "event_id", "ip", urls.is_private_address(F.col("ip")).alias("private"), client_key(F.col("user_id"), F.col("ip")).alias("limiter_key")
+    )
