@@ -124,5 +124,5 @@ def keyword_tokens(text: Column) -> Column:
     """Whole words of three or more ASCII letters, lower-cased, without common words."""
     # fixed values
     common = "the and for are but not you all can had has have this that with will".split()
-    runs = F.split(F.lower(text), r"[^\\p{L}\\p{N}_]+")
+    runs = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
     return F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(common))
