@@ -108,9 +108,9 @@ def linear_score(weights: list[float] = DEFAULT_WEIGHTS) -> Column:
     return sum((F.col(f) * F.lit(w) for f, w in zip(FEATURES, weights)), F.lit(0.0))
 
 
-def rerank(features: DataFrame, weights: list[float] = DEFAULT_WEIGHTS, keep: float = 0.7) -> DataFrame:
+def rerank(features: DataFrame, weights: list[float] = DEFAULT_WEIGHTS, keep: float = 0.7, digits: int = SCORE_DIGITS) -> DataFrame:
     """Blend of the original score and the linear model, ranked again per query."""
-    score = F.round(keep * F.col("original_score") + (1 - keep) * linear_score(weights), SCORE_DIGITS)
+    score = F.round(keep * F.col("original_score") + (1 - keep) * linear_score(weights), digits)
     return features.withColumn("score", score).withColumn("new_rank", F.row_number().over(_order("score", "doc_id")))
 
 
