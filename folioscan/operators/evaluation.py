@@ -13,17 +13,18 @@ from pyspark.sql import functions as F
 DIGITS = 6
 
 
-def judged(results: DataFrame, qrels: DataFrame, keys: list[str]) -> DataFrame:
+def judged(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """Results with rel = 1/0; the judgments are unique per (query, doc)."""
     marks = qrels.select("query_id", "doc_id", F.lit(1).alias("rel"))
     return results.join(marks, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
 
 
-def per_query(results: DataFrame, qrels: DataFrame, queries: DataFrame, ks: list[int], keys: list[str] | None = None) -> DataFrame:
-    """One row per successful query (and extra key such as the search mode) with every rank metric."""
-    keys = keys or []
-    by = [*keys, "query_id"]
-    rows = judged(results, qrels, keys)
+def per_query(
+    results: DataFrame, qrels: DataFrame, queries: DataFrame, ks: list[int], modes: list[str] | None = None
+) -> DataFrame:
+    """One row per successful query with every rank metric; with `modes`, one per query and value of results.mode."""
+    by = ["mode", "query_id"] if modes else ["query_id"]
+    rows = judged(results, qrels)
     running = Window.partitionBy(*by).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("seen", F.sum("rel").over(running))
     cells = [
@@ -40,8 +41,8 @@ def per_query(results: DataFrame, qrels: DataFrame, queries: DataFrame, ks: list
     found = rows.groupBy(*by).agg(*cells)
     n_rel = qrels.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_rel"))
     base = queries.filter("success").select("query_id")
-    if keys:
-        base = base.join(_values(results, keys))
+    if modes:
+        base = base.select("query_id", F.explode(F.array(*[F.lit(m) for m in modes])).alias("mode"))
     full = base.join(n_rel, "query_id", "left").join(found, by, "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
     none = F.col("n_rel") == 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
@@ -59,11 +60,6 @@ def per_query(results: DataFrame, qrels: DataFrame, queries: DataFrame, ks: list
     return full.select(*by, "n_rel", *out)
 
 
-def _values(results: DataFrame, keys: list[str]) -> DataFrame:
-    """The key values (for instance three mode names) to repeat for every query."""
-    return results.select(*keys).distinct()
-
-
 def f1(p: Column, r: Column) -> Column:
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
@@ -97,27 +93,29 @@ def spread(results: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFra
 
 
 def consistency(results: DataFrame) -> DataFrame:
-    """Mean over repeated queries of the mean pairwise Jaccard of their runs' document sets.
+    """Mean pairwise Jaccard of the document sets of a query's runs, for results(query, run, doc_id).
 
-    results(query, run, doc_id). Counts of common documents come from an equi-join on (query, doc_id) of
-    runs i < j, so only runs of the same query meet, and only on documents they share.
+    Runs with the same set are folded into one row with a weight, so copies cost nothing; runs without a
+    common document contribute 0 and are only counted. What remains meets on (query, doc_id).
     """
-    sets = results.select("query", "run", "doc_id").distinct()
-    sizes = sets.groupBy("query", "run").agg(F.count(F.lit(1)).alias("n"))
-    a, b = sizes.alias("a"), sizes.alias("b")
-    pairs = a.join(b, (F.col("a.query") == F.col("b.query")) & (F.col("a.run") < F.col("b.run"))).select(
-        F.col("a.query").alias("query"), F.col("a.run").alias("i"), F.col("b.run").alias("j"),
-        F.col("a.n").alias("n_i"), F.col("b.n").alias("n_j"),
+    sets = results.groupBy("query", "run").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))  # one result list
+    kinds = sets.groupBy("query", "docs").agg(F.count(F.lit(1)).alias("m"))
+    kinds = kinds.withColumn("sig", F.sha2(F.array_join(F.transform("docs", lambda x: x.cast("string")), ","), 256))
+    total = kinds.groupBy("query").agg(F.sum("m").alias("runs"), F.sum(F.col("m") * (F.col("m") - 1) / 2).alias("same"))
+    flat = kinds.select("query", "sig", "m", F.size("docs").alias("n"), F.explode("docs").alias("doc_id"))
+    x, y = flat.alias("x"), flat.alias("y")
+    met = x.join(
+        y, (F.col("x.query") == F.col("y.query")) & (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.sig") < F.col("y.sig"))
     )
-    x, y = sets.alias("x"), sets.alias("y")
-    shared = (
-        x.join(y, (F.col("x.query") == F.col("y.query")) & (F.col("x.doc_id") == F.col("y.doc_id")) & (F.col("x.run") < F.col("y.run")))
-        .groupBy(F.col("x.query").alias("query"), F.col("x.run").alias("i"), F.col("y.run").alias("j"))
-        .agg(F.count(F.lit(1)).alias("common"))
+    shared = met.groupBy(
+        F.col("x.query").alias("query"), F.col("x.sig").alias("i"), F.col("y.sig").alias("j"),
+        (F.col("x.m") * F.col("y.m")).alias("weight"), (F.col("x.n") + F.col("y.n")).alias("both"),
+    ).agg(F.count(F.lit(1)).alias("common"))
+    mixed = shared.groupBy("query").agg(F.sum(F.col("weight") * F.col("common") / (F.col("both") - F.col("common"))).alias("mixed"))
+    pairs = F.col("runs") * (F.col("runs") - 1) / 2
+    return total.filter("runs > 1").join(mixed, "query", "left").select(
+        "query", ((F.col("same") + F.coalesce("mixed", F.lit(0.0))) / pairs).alias("consistency")
     )
-    scored = pairs.join(shared, ["query", "i", "j"], "left").withColumn("common", F.coalesce("common", F.lit(0)))
-    jac = scored.withColumn("jaccard", F.col("common") / (F.col("n_i") + F.col("n_j") - F.col("common")))
-    return jac.groupBy("query").agg(F.avg("jaccard").alias("consistency"))
 
 
 def coherence(results: DataFrame) -> DataFrame:

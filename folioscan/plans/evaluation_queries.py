@@ -153,7 +153,7 @@ mm as (select mode, round(p, 6) p, round(r, 6) r, round(case when p + r = 0 then
 
 def mode_metrics(spark: SparkSession, d: str) -> DataFrame:
     queries = bench_queries(spark, d).withColumn("success", F.lit(True))
-    per = E.per_query(three_modes(spark, d), planted_qrels(spark, d), queries, [5], keys=["mode"])
+    per = E.per_query(three_modes(spark, d), planted_qrels(spark, d), queries, [5], modes=["fulltext", "semantic", "hybrid"])
     return E.summary(per, [5], ["mode"])
 
 
