@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions.ids import five_field_lineage_id
+from folioscan.operators.ranks import previous_value
 
 
 def coverage(docs: DataFrame, recent_since: Column) -> DataFrame:
@@ -138,6 +139,5 @@ def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
 
 def audit_trail(events: DataFrame, start: Column, end: Column) -> DataFrame:
     """State changes per entity inside a period, with the previous state."""
-    order = Window.partitionBy("entity").orderBy("ts", "event_id")
-    seen = events.withColumn("previous", F.lag("state").over(order))
+    seen = previous_value(events, ["entity"], "state", ["ts", "event_id"], F.date_trunc("day", "ts"), "previous")
     return seen.filter((F.col("ts") >= start) & (F.col("ts") < end))

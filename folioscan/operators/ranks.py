@@ -86,3 +86,20 @@ def moving_average(df: DataFrame, keys: list[str], value: str, segment: Column,
     decay = F.pow(F.lit(1.0 - alpha), F.col("from_end"))
     weight = F.when(F.col("from_end") == F.col("_n") - 1, decay).otherwise(alpha * decay)
     return joined.groupBy(*keys).agg(F.sum(weight * F.col(value)).alias("ema"), F.max("_n").alias("samples"))
+
+
+def previous_value(df: DataFrame, keys: list[str], value: str, order: list[str], segment: Column, name: str) -> DataFrame:
+    """Value of the preceding row per key, numbered segment by segment.
+
+    `segment` must be monotone in `order`; the first row of a segment takes the last value of the segment
+    before it, so one key's rows are spread over its segments.
+    """
+    cut = df.withColumn("_seg", segment)
+    last = cut.groupBy(*keys, "_seg").agg(F.max_by(value, F.struct(*order)).alias("_last"))
+    carried = last.withColumn("_carry", F.lag("_last").over(Window.partitionBy(*keys).orderBy("_seg"))).drop("_last")
+    inner = Window.partitionBy(*keys, "_seg").orderBy(*order)
+    seen = cut.withColumn("_prev", F.lag(value).over(inner)).withColumn("_first", F.row_number().over(inner) == 1)
+    joined = seen.join(carried, [*keys, "_seg"])
+    return joined.withColumn(name, F.when(F.col("_first"), F.col("_carry")).otherwise(F.col("_prev"))).drop(
+        "_seg", "_prev", "_first", "_carry"
+    )

@@ -9,7 +9,7 @@ from folioscan.functions.vectors import cosine, cosine_distance, embedder
 from folioscan.operators import fusion, lexical, nearest
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import load
+from folioscan.session import cut_lineage, load
 
 BENCH = "select item_id query_id, text txt from benchmark"
 DOCS = "select doc_id, text txt from documents"
@@ -243,7 +243,8 @@ def quick_evaluation(spark, d):
 
 def three_modes(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     """(mode, query_id, doc_id, rank) of full-text, semantic and hybrid search for every benchmark text."""
-    lex, sem = lexical_hits(spark, d, 3 * k), semantic_hits(spark, d, 3 * k)
+    # a few ranked rows per query, each used twice below: kept once in the shared folder
+    lex, sem = cut_lineage(lexical_hits(spark, d, 3 * k)), cut_lineage(semantic_hits(spark, d, 3 * k))
     hybrid = fusion.reciprocal_rank_fusion(lex, sem, k)
     parts = [("fulltext", lex), ("semantic", sem), ("hybrid", hybrid)]
     picked = [p.filter(F.col("rank") <= k).select(F.lit(m).alias("mode"), "query_id", "doc_id", "rank") for m, p in parts]
