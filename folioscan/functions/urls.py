@@ -93,8 +93,10 @@ def _in_network(number: Column, cidr: str) -> Column:
 
 def is_private_address(text: Column, networks: list[str] = BLOCKED_V4) -> Column:
     """True for private, loopback, link-local, multicast and reserved addresses, and for non-addresses."""
-    number = ipv4_number(text)
-    inside = reduce(lambda a, b: a | b, [_in_network(number, n) for n in networks])
+    # the number is bound once by the array lambda instead of being repeated for every network
+    inside = F.exists(
+        F.array(ipv4_number(text)), lambda n: reduce(lambda a, b: a | b, [_in_network(n, net) for net in networks])
+    )
     six = F.lower(text).rlike("^[0-9a-f:]*:[0-9a-f:.]*$")
     return (
         F.when(is_ipv4(text), inside)

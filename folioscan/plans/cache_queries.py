@@ -47,7 +47,11 @@ def cache_stats(spark, d):
     return caching.stats(caching.put(X.cache_puts(spark, d)), as_of(load(spark, d, "events")))
 
 
-@query("cache_replay_lru", "C5", None)
+@query("cache_replay_lru", "C5 AGG19", f"""
+with o as (select user_id, {X.PROP_K} k, row_number() over (partition by user_id order by ts, event_id) i from events),
+p as (select *, lag(i) over (partition by user_id, k order by i) p from o),
+n as (select a.user_id, a.i, a.p, count(distinct b.k) between_keys from p a left join o b on b.user_id = a.user_id and b.i > a.p and b.i < a.i group by 1, 2, 3)
+select user_id, sum((p is not null and between_keys < 10)::int)::bigint as hits, sum((p is null or between_keys >= 10)::int)::bigint as misses from n group by 1""")
 def cache_replay_lru(spark, d):
     log = load(spark, d, "events").select("user_id", F.get_json_object("props", "$.k").alias("cache_key"), "ts", "event_id")
     return caching.replay(log, "user_id", 10)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioscan.functions.stems import stem_vocabulary as stem_terms
 from folioscan.functions.vectors import cosine, cosine_distance, embedder
 from folioscan.operators import fusion, lexical, nearest
 from folioscan.plans import sqltext as S
@@ -249,3 +250,12 @@ def three_modes(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     parts = [("fulltext", lex), ("semantic", sem), ("hybrid", hybrid)]
     picked = [p.filter(F.col("rank") <= k).select(F.lit(m).alias("mode"), "query_id", "doc_id", "rank") for m, p in parts]
     return picked[0].unionByName(picked[1]).unionByName(picked[2])
+
+
+@query("stem_vocabulary", "ST11", None)
+def stem_vocabulary(spark, d):
+    """Porter stems of the corpus vocabulary with their document counts."""
+    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    words = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
+    stems = stem_terms(words.filter(F.col("term").rlike("^[a-z]+$")))
+    return stems.groupBy("stem").agg(F.count(F.lit(1)).alias("terms"), F.sum("docs").alias("uses"))
