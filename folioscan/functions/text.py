@@ -7,13 +7,18 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+TOKEN = "[a-z0-9]+"
 TOKEN_BREAK = "[^a-z0-9]+"
 EDGE_SPACE = r"^\s+|\s+$"
 
 
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII alphanumeric runs (unstemmed)."""
-    return F.filter(F.split(F.lower(text), TOKEN_BREAK), lambda t: t != "")
+    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+
+
+def token_count(text: Column) -> Column:
+    return F.regexp_count(F.lower(text), F.lit(TOKEN))
 
 
 def words(text: Column) -> Column:

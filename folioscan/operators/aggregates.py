@@ -31,7 +31,8 @@ def distributions(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def top_terms(docs: DataFrame, key: str, words: str, k: int) -> DataFrame:
-    counts = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    flat = docs.select(key, F.explode_outer(words).alias("term")).filter("term is not null")
+    counts = flat.groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(key).orderBy(F.desc("n"), "term")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 

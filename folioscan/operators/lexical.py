@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import tokens, words
+from folioscan.functions.text import token_count, tokens, words
 
 # fixed values: Okapi parameters
 K1, B = 1.2, 0.75
@@ -14,14 +14,14 @@ SCORE_DIGITS = 6
 
 def tokenised(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(doc_id, tokens, dl) with dl the token count of the whole text."""
-    t = docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"))
-    return t.withColumn("dl", F.size("tokens"))
+    return docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"), token_count(text).alias("dl"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, dl, tf); counted map-side before the one exchange."""
     return (
-        docs.select("doc_id", "dl", F.explode("tokens").alias("term"))
+        docs.select("doc_id", "dl", F.explode_outer("tokens").alias("term"))
+        .filter("term is not null")
         .groupBy("term", "doc_id", "dl")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
@@ -44,7 +44,8 @@ def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
     exchange of their own before the top-k cut.
     """
     vocabulary = terms.select("term").distinct()
-    hit = docs.select("doc_id", "dl", F.explode("tokens").alias("term")).join(vocabulary, "term", "left_semi")
+    # outer explode: a plain one makes the optimizer test the token array first, tokenising every text again
+    hit = docs.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).join(vocabulary, "term", "left_semi")
     return hit.repartition("doc_id").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -37,12 +37,15 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
         keep = F.col("n") - F.ceil(F.col("n") * threshold) + 1
         return (
             placed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= keep)
-            .select("w", F.col("rep").alias(name), F.col("n").alias(f"n_{name}"))
+            .select("w", F.col("rep").alias(name), F.col("n").alias(f"n_{name}"), F.col("r").alias(f"r_{name}"))
         )
 
     a, b = prefixes(left, "a"), prefixes(right, "b")
     sizes_fit = (F.col("n_a") >= F.col("n_b") * threshold) & (F.col("n_b") >= F.col("n_a") * threshold)
-    pairs = a.join(b, "w").filter(sizes_fit).select("a", "b").distinct()
+    # after their first shared word two sets can share at most the words that follow it on both sides
+    reachable = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
+    needed = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
+    pairs = a.join(b, "w").filter(sizes_fit & (reachable >= needed)).select("a", "b").distinct()
     full = pairs.join(left.select(F.col("rep").alias("a"), F.col("words").alias("words_a")), "a").join(
         right.select(F.col("rep").alias("b"), F.col("words").alias("words_b")), "b"
     )
@@ -65,7 +68,7 @@ def keyword_overlap(queries: DataFrame, docs: DataFrame, top: int = 5) -> DataFr
     counts stay placed by document until the top cut."""
     q = queries.select("query_id", F.explode(word_set(F.col("query_text"))).alias("w"))
     vocabulary = q.select("w").distinct()
-    d = docs.select("doc_id", F.explode(word_set(F.col("text"))).alias("w")).join(vocabulary, "w", "left_semi")
+    d = docs.select("doc_id", F.explode_outer(word_set(F.col("text"))).alias("w")).join(vocabulary, "w", "left_semi")
     counts = d.repartition("doc_id").join(q, "w").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("overlap"))
     order = Window.partitionBy("query_id").orderBy(F.desc("overlap"), "doc_id")
     return counts.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)

@@ -8,7 +8,7 @@ from folioscan.functions.text import keyword_tokens
 from folioscan.operators import aggregates, filters, fusion
 from folioscan.plans import fixtures as X
 from folioscan.plans.registry import query
-from folioscan.session import as_of, load
+from folioscan.session import as_of, load, load_spread
 
 
 @query("click_stats_overall", "AGG2", f"""
@@ -73,7 +73,7 @@ with k as (select doc_id, unnest(regexp_split_to_array(lower(text), '[^\\p{L}\\p
 c as (select doc_id, w, count(*) n from k where regexp_matches(w, '^[a-z]{3,}$') and w not in ('the','and','for','are','but','not','you','all','can','had','has','have','this','that','with','will') group by 1, 2)
 select doc_id, w as keyword, n, row_number() over (partition by doc_id order by n desc, w) as rank from c qualify rank <= 10""")
 def keyword_extraction(spark, d):
-    docs = load(spark, d, "documents").select("doc_id", keyword_tokens(F.col("text")).alias("words"))
+    docs = load_spread(spark, d, "documents", "doc_id").select("doc_id", keyword_tokens(F.col("text")).alias("words"))
     return aggregates.top_terms(docs, "doc_id", "words", 10).select("doc_id", F.col("term").alias("keyword"), "n", "rank")
 
 

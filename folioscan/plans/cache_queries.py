@@ -8,7 +8,7 @@ from folioscan.operators import caching, similarity
 from folioscan.plans import fixtures as X
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import as_of, load
+from folioscan.session import as_of, load, load_spread
 
 
 @query("cache_put", "C2 W9", f"""
@@ -63,7 +63,7 @@ c as (select min(doc_id) b, any_value(w) w from s where cached and len(w) > 0 gr
 p as (select x.doc_id, c.b, len(list_intersect(x.w, c.w)) / len(list_distinct(x.w || c.w)) j from s x join c on not x.cached and len(x.w) >= 0.9 * len(c.w) and len(c.w) >= 0.9 * len(x.w))
 select doc_id, min(b) as reuse_from, round(max(j), 6) as similarity from p where j > 0.9 group by 1""")
 def embedding_reuse(spark, d):
-    docs = load(spark, d, "documents")
+    docs = load_spread(spark, d, "documents", "doc_id")
     vec = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
     wanted, cached = docs.join(vec, "doc_id", "left_anti"), docs.join(vec, "doc_id", "left_semi")
     out = similarity.reuse_candidates(wanted, cached, "doc_id", "text", 0.9)

@@ -9,7 +9,7 @@ from folioscan.operators import chunking, sections
 from folioscan.plans import fixtures as X
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import load
+from folioscan.session import load_spread
 
 # greedy packing as a recursion over numbered pieces ps(g, i, p): one row per piece with the open buffer
 _H2 = f"""{X.MD_SQL},
@@ -62,13 +62,13 @@ with recursive cut as (select doc_id, text, 0 s, case when length(text) <= 1000
 c as (select doc_id, s, case when length(text) <= 1000 then text else regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') end content, length(text) <= 1000 whole from cut)
 select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as chunk_index, content from c where whole or length(content) >= 100""")
 def size_chunks(spark, d):
-    docs = load(spark, d, "documents")
+    docs = load_spread(spark, d, "documents", "doc_id")
     return docs.select("doc_id", F.posexplode(chunking.size_windows(F.col("text"))).alias("chunk_index", "content"))
 
 
 @query("overlapping_size_chunks", "CH2", None)
 def overlapping_size_chunks(spark, d):
-    docs = load(spark, d, "documents")
+    docs = load_spread(spark, d, "documents", "doc_id")
     cut = docs.select("doc_id", F.posexplode(chunking.size_windows(F.col("text"), overlap=200)).alias("chunk_index", "content"))
     return cut.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.max(F.length("content")).alias("longest"))
 
@@ -88,7 +88,7 @@ outs as (select doc_id, i, done content from pack where done is not null
 select doc_id, (row_number() over (partition by doc_id order by i) - 1)::int as chunk_index, content from outs""")
 def sentence_overlap_chunks(spark, d):
     pieces = chunking.pack_sentences(F.col("text"), 600, 200)
-    return load(spark, d, "documents").select("doc_id", F.posexplode(pieces).alias("chunk_index", "content"))
+    return load_spread(spark, d, "documents", "doc_id").select("doc_id", F.posexplode(pieces).alias("chunk_index", "content"))
 
 
 _LINES = f"""{X.MD_SQL}, ln as (select doc_id, unnest(string_split(body, chr(10))) l, generate_subscripts(string_split(body, chr(10)), 1) - 1 i from md),
@@ -155,8 +155,8 @@ select id, case when regexp_matches(c, '(?m)^#{{1,6}}\\s+.+$') then 'markdown' w
 def content_router(spark, d):
     tag = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("id")
     md = X.markdown_docs(spark, d).select(tag("d", "doc_id"), F.col("body").alias("c"))
-    pages = load(spark, d, "pages").select(tag("p", "page_id"), F.col("html").alias("c"))
-    plain = load(spark, d, "documents").select(tag("t", "doc_id"), F.col("text").alias("c"))
+    pages = load_spread(spark, d, "pages", "page_id").select(tag("p", "page_id"), F.col("html").alias("c"))
+    plain = load_spread(spark, d, "documents", "doc_id").select(tag("t", "doc_id"), F.col("text").alias("c"))
     return md.unionByName(pages).unionByName(plain).select("id", chunking.content_kind(F.col("c")).alias("kind"))
 
 
@@ -166,7 +166,7 @@ x as (select doc_id, unnest(case when length(text) <= 1000 then [0] else range(0
 select doc_id, (s // 850)::int as chunk_index, case when length(text) <= 1000 then text else array_to_string(ws[s + 1:s + 1000], ' ') end as content,
  substr(sha256(doc_id || '|#body|' || (s // 850)), 1, 16) as chunk_id from x""")
 def word_window_chunks(spark, d):
-    cut = load(spark, d, "documents").select("doc_id", F.posexplode(chunking.word_windows(F.col("text"))).alias("chunk_index", "content"))
+    cut = load_spread(spark, d, "documents", "doc_id").select("doc_id", F.posexplode(chunking.word_windows(F.col("text"))).alias("chunk_index", "content"))
     key = F.concat_ws("|", F.col("doc_id").cast("string"), F.lit("#body"), F.col("chunk_index").cast("string"))
     return cut.withColumn("chunk_id", F.substring(F.sha2(key, 256), 1, 16))
 
@@ -200,7 +200,7 @@ hsec as (select page_id, sec, max(case when is_h then t end) heading, max(case w
 @query("html_heading_sections", "CH5 U6", f"""
 with {_HTML_SEC} select page_id, (row_number() over (partition by page_id order by sec) - 1)::int as pos, heading, level, content from hsec""")
 def html_heading_sections(spark, d):
-    return sections.html_sections(load(spark, d, "pages"), "page_id", "html")
+    return sections.html_sections(load_spread(spark, d, "pages", "page_id"), "page_id", "html")
 
 
 @query("html_heading_chunks", "CH5 CH2", f"""
@@ -212,7 +212,7 @@ cut as (select page_id, sec, heading, text, 0 s, case when length(text) <= 1000
 c as (select *, case when length(text) <= 1000 then text else {S.strip('substring(text, s + 1, e - s)')} end content from cut)
 select page_id, heading, (row_number() over (partition by page_id, sec order by s) - 1)::int as part, content from c where length(text) <= 1000 or length(content) >= 100""")
 def html_heading_chunks(spark, d):
-    return chunking.html_chunks(load(spark, d, "pages"), "page_id", "html").select("page_id", "heading", "part", "content")
+    return chunking.html_chunks(load_spread(spark, d, "pages", "page_id"), "page_id", "html").select("page_id", "heading", "part", "content")
 
 
 @query("chunk_documents", "CH6 CH7 Z7 H4 PF18", None)
@@ -220,7 +220,7 @@ def chunk_documents(spark, d):
     """All three content kinds through the router; one row per kept chunk."""
     col = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("url")
     md = X.markdown_docs(spark, d).select(col("md/", "doc_id"), F.col("body").alias("content"))
-    pages = load(spark, d, "pages").select(col("page/", "page_id"), F.col("html").alias("content"))
-    plain = load(spark, d, "documents").select(col("text/", "doc_id"), F.col("text").alias("content"))
+    pages = load_spread(spark, d, "pages", "page_id").select(col("page/", "page_id"), F.col("html").alias("content"))
+    plain = load_spread(spark, d, "documents", "doc_id").select(col("text/", "doc_id"), F.col("text").alias("content"))
     docs = md.unionByName(pages).unionByName(plain).withColumn("title", F.lit("")).withColumn("source_name", F.lit("crawl"))
     return chunking.chunk_documents(docs).select("url", "chunk_id", "chunk_index", "heading", "token_count", "content_hash", "lineage_id")

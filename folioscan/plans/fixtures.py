@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscan.session import load
+from folioscan.session import load, load_spread
 
 PROP_K = "cast(json_extract_string(props, '$.k') as bigint)"
 
@@ -124,7 +124,7 @@ def markdown_docs(spark: SparkSession, d: str) -> DataFrame:
         F.upper("lang"), F.lit(" text\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit("\n\n### Size\n\n"),
         F.col("n_chars").cast("string"), F.lit(" characters\n"),
     )
-    return load(spark, d, "documents").select("doc_id", body.alias("body"))
+    return load_spread(spark, d, "documents", "doc_id").select("doc_id", body.alias("body"))
 
 
 CACHE_SQL = f"""puts as (select 'search:' || user_id || ':' || {PROP_K} cache_key, event_id, ts, event_type, value from events),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from folioscan.functions import urls
 from folioscan.operators import policy, validation
 from folioscan.plans.registry import query
-from folioscan.session import load
+from folioscan.session import load, load_spread
 
 # pages as they would arrive with usage directives: by language a meta tag, a comment or an attribute
 _NOAI_SQL = """np as (select page_id, url, regexp_extract(html, '<html lang="([a-z]+)"', 1) lang,
@@ -46,7 +46,7 @@ v as (select *, license is null or list_contains(licenses, license) ok from p)""
 
 
 def _policy(spark, d):
-    docs = load(spark, d, "documents")
+    docs = load_spread(spark, d, "documents", "doc_id")
     overrides = docs.groupBy("source").agg(F.max("n_chars").alias("m")).select(
         "source", F.when(F.col("m") > 20000, True).alias("strict"), F.when(F.col("m") > 25000, F.array(F.lit("MIT"))).alias("licenses"),
         F.lit(None).cast("boolean").alias("respect_noai"),

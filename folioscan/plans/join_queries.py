@@ -9,7 +9,7 @@ from folioscan.operators import ingest, similarity
 from folioscan.plans import fixtures as X
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import load
+from folioscan.session import load, load_spread
 
 
 @query("docs_without_chunks", "J4", """
@@ -84,19 +84,19 @@ c as (select query_id, doc_id, count(*) overlap from q join t using (w) group by
 select query_id, doc_id, overlap, row_number() over (partition by query_id order by overlap desc, doc_id) as rank from c qualify rank <= 5""")
 def keyword_overlap_topk(spark, d):
     q = load(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
-    return similarity.keyword_overlap(q, load(spark, d, "documents"), 5).select("query_id", "doc_id", "overlap", "rank")
+    return similarity.keyword_overlap(q, load_spread(spark, d, "documents", "doc_id"), 5).select("query_id", "doc_id", "overlap", "rank")
 
 
 @query("jaccard_join", "J14 ST9", f"""
 with s as (select doc_id, list_sort(list_distinct({S.words('lower(text)')})) w from documents),
 g as (select min(doc_id) a, count(*) members, any_value(w) w from s where len(w) > 0 group by array_to_string(w, ' '))
 select x.a as a, y.a as b, x.members as members_a, y.members as members_b, round(len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)), 6) as similarity
-from g x join g y on x.a < y.a and len(x.w) >= 0.5 * len(y.w) and len(y.w) >= 0.5 * len(x.w)
-where len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) > 0.5""")
+from g x join g y on x.a < y.a and len(x.w) >= 0.9 * len(y.w) and len(y.w) >= 0.9 * len(x.w)
+where len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) > 0.9""")
 def jaccard_join(spark, d):
     """Similar documents; copies are folded into one representative with its number of members."""
-    sets = similarity.distinct_sets(load(spark, d, "documents"), "doc_id", "text")
-    pairs = similarity.similar_sets(sets, sets, 0.5).filter(F.col("a") < F.col("b"))
+    sets = similarity.distinct_sets(load_spread(spark, d, "documents", "doc_id"), "doc_id", "text")
+    pairs = similarity.similar_sets(sets, sets, 0.9).filter(F.col("a") < F.col("b"))
     n = sets.select("rep", "members")
     return (
         pairs.join(n.select(F.col("rep").alias("a"), F.col("members").alias("members_a")), "a")

@@ -10,7 +10,7 @@ from folioscan.functions.vectors import cosine, cosine_distance, embedder
 from folioscan.operators import fusion, lexical, nearest
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import cut_lineage, load
+from folioscan.session import cut_lineage, load, load_spread
 
 BENCH = "select item_id query_id, text txt from benchmark"
 DOCS = "select doc_id, text txt from documents"
@@ -21,14 +21,14 @@ def bench_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_hits(spark: SparkSession, d: str, k: int) -> DataFrame:
-    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    docs = lexical.tokenised(load_spread(spark, d, "documents", "doc_id"), "doc_id", F.col("text"))
     return lexical.rank_top_k(lexical.bm25(bench_queries(spark, d), docs), k)
 
 
 def semantic_hits(spark: SparkSession, d: str, k: int, floor: float | None = 0.3) -> DataFrame:
     embed = embedder("hashing-64")
     q = bench_queries(spark, d).select("query_id", embed(F.col("query_text")).alias("vector"))
-    c = load(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), embed(F.col("text")).alias("vector"))
+    c = load_spread(spark, d, "documents", "doc_id").select(F.col("doc_id").alias("chunk_id"), embed(F.col("text")).alias("vector"))
     return nearest.top_k_similar(q, c, k, floor).withColumnRenamed("chunk_id", "doc_id")
 
 
@@ -57,7 +57,7 @@ def bm25_topk(spark, d):
 with {S.bm25(BENCH, DOCS, join='all')}, {S.ranked('bm', 'score', 10, 'top')}
 select query_id, doc_id, matched, score, rk as rank from top""")
 def bm25_all_terms(spark, d):
-    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    docs = lexical.tokenised(load_spread(spark, d, "documents", "doc_id"), "doc_id", F.col("text"))
     hits = lexical.bm25(bench_queries(spark, d), docs, match="all")
     return lexical.rank_top_k(hits, 10).select("query_id", "doc_id", "matched", "score", "rank")
 
@@ -73,7 +73,7 @@ mix as (select query_id, doc_id, round(sum(part), 6) score from (
 {S.ranked('mix', 'score', 5, 'top')}
 select query_id, doc_id, score, rk as rank from top""")
 def bm25_weighted_fields(spark, d):
-    docs = load(spark, d, "documents")
+    docs = load_spread(spark, d, "documents", "doc_id")
     q = docs.select(F.concat_ws(" ", "source", "lang").alias("query_id")).distinct().withColumn("query_text", F.col("query_id"))
     path = lexical.tokenised(docs, "doc_id", F.concat_ws("/", "source", "lang", "doc_id"))
     body = lexical.tokenised(docs, "doc_id", F.col("text"))
@@ -93,7 +93,7 @@ n as (select query_id, count(*) nt from q group by 1)
 select query_id, doc_id, round(sum(tf / (1 + ln(dl))), 6) as score
 from q join p using (term) join n using (query_id) group by query_id, doc_id, nt having count(*) = nt""")
 def fts_conjunctive(spark, d):
-    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    docs = lexical.tokenised(load_spread(spark, d, "documents", "doc_id"), "doc_id", F.col("text"))
     return lexical.conjunctive(bench_queries(spark, d), docs, STOP)
 
 
@@ -147,7 +147,7 @@ with {S.embed("select doc_id, text txt from documents where doc_id not in (selec
 select doc_id, count(*) as used_dims, round(sum(dim * w), 4) as checksum from e where w <> 0 group by 1""")
 def embed_missing(spark, d):
     known = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    todo = load(spark, d, "documents").join(known, "doc_id", "left_anti")
+    todo = load_spread(spark, d, "documents", "doc_id").join(known, "doc_id", "left_anti")
     v = todo.select("doc_id", embedder("hashing-64")(F.col("text")).alias("v"))
     used = F.size(F.filter("v", lambda x: x != 0))
     check = F.aggregate(
@@ -255,7 +255,7 @@ def three_modes(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
 @query("stem_vocabulary", "ST11", None)
 def stem_vocabulary(spark, d):
     """Porter stems of the corpus vocabulary with their document counts."""
-    docs = lexical.tokenised(load(spark, d, "documents"), "doc_id", F.col("text"))
+    docs = lexical.tokenised(load_spread(spark, d, "documents", "doc_id"), "doc_id", F.col("text"))
     words = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     stems = stem_terms(words.filter(F.col("term").rlike("^[a-z]+$")))
     return stems.groupBy("stem").agg(F.count(F.lit(1)).alias("terms"), F.sum("docs").alias("uses"))

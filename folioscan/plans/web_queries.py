@@ -9,7 +9,7 @@ from folioscan.functions.text import url_path_slug
 from folioscan.operators import filters, links
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import load
+from folioscan.session import load, load_spread
 
 LINKS_SQL = """raw as (select page_id, url, unnest(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1)) href,
   generate_subscripts(regexp_extract_all(html, '(?i)<a\\b[^>]*?\\bhref="([^"]*)"', 1), 1) - 1 pos from pages),
@@ -19,7 +19,7 @@ links as (select page_id, url, link, min(pos) pos from abs group by 1, 2, 3)"""
 
 @query("extract_links", "U2 U3 W8", f"with {LINKS_SQL} select page_id, link, pos::int as pos from links")
 def extract_links(spark, d):
-    return links.page_links(load(spark, d, "pages")).select("page_id", "link", "pos")
+    return links.page_links(load_spread(spark, d, "pages", "page_id")).select("page_id", "link", "pos")
 
 
 @query("link_graph_edges", "U3 PF16 AGG25", f"""
@@ -27,7 +27,7 @@ with {LINKS_SQL} select regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, c
  sum(case when regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) and not regexp_matches(link, '(the|und)') then 1 else 0 end)::bigint as followed
 from links group by 1""")
 def link_graph_edges(spark, d):
-    e = links.page_links(load(spark, d, "pages")).withColumn("host", urls.netloc(F.col("url")))
+    e = links.page_links(load_spread(spark, d, "pages", "page_id")).withColumn("host", urls.netloc(F.col("url")))
     follow = filters.follow_link(F.col("link"), F.col("host"), [], ["(the|und)"])
     return e.groupBy("host").agg(
         F.count(F.lit(1)).alias("links"), F.countDistinct("link").alias("targets"), F.count_if(follow).alias("followed")
@@ -43,7 +43,7 @@ walk as (select 'p' || page_id node, 0 depth from pages where url like '%/'
 select node, min(depth) as depth from walk group by 1""")
 def link_depth_bfs(spark, d):
     """Pages link to navigation entries; an entry leads to the pages that list it first."""
-    pages = load(spark, d, "pages")
+    pages = load_spread(spark, d, "pages", "page_id")
     nav = links.page_links(pages).select(
         F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page"),
         F.concat(F.lit("w"), urls.path(F.col("link"))).alias("word"), "pos",
@@ -69,7 +69,7 @@ _TEXT = _unescape(f"regexp_replace({_PLAIN}, '<[^>]*>', '', 'g')")
 with p as (select page_id, list_transform(string_split({_TEXT}, chr(10)), lambda l: {S.strip('l')}) ls from pages)
 select page_id, array_to_string(list_filter(list_transform(flatten(list_transform(ls, lambda l: string_split(l, '  '))), lambda s: {S.strip('s')}), lambda s: s <> ''), ' ') as body from p""")
 def strip_html_text(spark, d):
-    return load(spark, d, "pages").select("page_id", html.visible_text(F.col("html")).alias("body"))
+    return load_spread(spark, d, "pages", "page_id").select("page_id", html.visible_text(F.col("html")).alias("body"))
 
 
 @query("extract_headings", "U6", f"""
@@ -77,14 +77,14 @@ with h as (select page_id, unnest(regexp_extract_all(html, '(?is)<h[1-6]\\b[^>]*
 select page_id, cast(substr(h, 3, 1) as integer) as level, {S.strip(_unescape("regexp_replace(h, '<[^>]*>', '', 'g')"))} as heading from h
 where {S.strip("regexp_replace(h, '<[^>]*>', '', 'g')")} <> ''""")
 def extract_headings(spark, d):
-    h = load(spark, d, "pages").select("page_id", F.explode(html.headings(F.col("html"))).alias("h"))
+    h = load_spread(spark, d, "pages", "page_id").select("page_id", F.explode(html.headings(F.col("html"))).alias("h"))
     return h.select("page_id", F.col("h.level").alias("level"), F.col("h.text").alias("heading"))
 
 
 @query("extract_title", "U7 SRC2", f"""
 select page_id, {S.strip(_unescape("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} as title from pages""")
 def extract_title(spark, d):
-    return load(spark, d, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+    return load_spread(spark, d, "pages", "page_id").select("page_id", html.title(F.col("html")).alias("title"))
 
 
 _MD = _PLAIN
@@ -107,7 +107,7 @@ select page_id, coalesce(nullif(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9
 def page_to_markdown(spark, d):
     from folioscan.operators.ingest import ingest_pages
 
-    pages = load(spark, d, "pages").filter(F.col("url").startswith("https://"))
+    pages = load_spread(spark, d, "pages", "page_id").filter(F.col("url").startswith("https://"))
     return ingest_pages(pages).select("page_id", "file", "body")
 
 
@@ -117,7 +117,7 @@ select page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) as scheme, lower(
  regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) as path, regexp_extract(url, '^[a-z]+://[^/?#]*') || '/robots.txt' as robots from u""")
 def url_parts(spark, d):
     u = F.col("url")
-    return load(spark, d, "pages").select(
+    return load_spread(spark, d, "pages", "page_id").select(
         "page_id", urls.scheme(u).alias("scheme"), urls.host(u).alias("host"), urls.path(u).alias("path"), urls.robots_url(u).alias("robots")
     )
 

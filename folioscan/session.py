@@ -34,6 +34,17 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table for work that is heavy per row.
+
+    A table read in fewer splits than there are cores (few or unsplittable files) is spread by its key;
+    a large table keeps its scan partitioning and is not shuffled.
+    """
+    table = load(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, key)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster in spark.checkpoint.dir.
 
