@@ -12,6 +12,11 @@ TOKEN_BREAK = "[^a-z0-9]+"
 EDGE_SPACE = r"^\s+|\s+$"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once per row instead of at every use inside nested lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased ASCII alphanumeric runs (unstemmed)."""
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
@@ -35,10 +40,14 @@ def strip(text: Column) -> Column:
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    """Set similarity of two arrays; two empty sets are equal, one empty set matches nothing."""
-    both = F.size(F.array_intersect(left, right))
-    either = F.size(F.array_union(left, right))
-    return F.when(either == 0, F.lit(1.0)).otherwise(both / either)
+    """Set similarity of two arrays without repeats; two empty sets are equal, one empty set matches nothing."""
+
+    def ratio(s: Column) -> Column:
+        either = s["n"] - s["both"]
+        return F.when(either == 0, F.lit(1.0)).otherwise(s["both"] / either)
+
+    both = F.size(F.array_intersect(left, right)).alias("both")
+    return let(F.struct(both, (F.size(left) + F.size(right)).alias("n")), ratio)
 
 
 def slug(text: Column, width: int | None = None, default: str | None = None) -> Column:
@@ -83,11 +92,14 @@ def preview(text: Column, width: int, tail: str = "...") -> Column:
 
 def trigrams(text: Column) -> Column:
     """Distinct three-character windows of the lower-cased text."""
-    low = F.lower(text)
-    starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))
+
+    def cut(low: Column) -> Column:
+        starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(
+            F.array().cast("array<int>")
+        )
+        return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))
+
+    return let(F.lower(text), cut)
 
 
 def query_variations(base: Column) -> Column:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioscan.functions.text import tokens
 
@@ -65,11 +66,13 @@ def hashing_embedder(dims: int = 64):
     Tokens are hashed in the JVM, only integers cross to Python, and one bincount serves a whole batch.
     """
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def bag(slots: pd.Series) -> pd.Series:
         return _embed_batch(slots, dims)
 
-    return lambda text: bag(hashed_slots(F.coalesce(text, F.lit("")), dims))
+    # declared non-deterministic so that a filter on the vector does not embed every text twice
+    once = bag.asNondeterministic()
+    return lambda text: once(hashed_slots(F.coalesce(text, F.lit("")), dims))
 
 
 EMBEDDERS = {"hashing-64": lambda: hashing_embedder(64), "hashing-384": lambda: hashing_embedder(384)}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import html, ids
-from folioscan.functions.text import sentences, slug, strip, token_estimate, words
+from folioscan.functions.text import let, sentences, slug, strip, token_estimate, words
 from folioscan.operators import sections
 
 # fixed values: chunk sizes in characters, tokens and words
@@ -107,10 +107,12 @@ def size_windows(body: Column, size: int = SIZE, overlap: int = 0, min_size: int
 
 def word_windows(body: Column, window: int = WORD_WINDOW, overlap: int = WORD_OVERLAP, limit: int = SIZE) -> Column:
     """The text itself when it has at most `limit` characters, else overlapping windows of words."""
-    w = words(body)
-    starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(window - overlap))
-    cut = F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(window)), " "))
-    return F.when(F.length(body) <= limit, F.array(body)).otherwise(cut)
+
+    def cut(w: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.size(w) - 1, F.lit(0)), F.lit(window - overlap))
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(window)), " "))
+
+    return F.when(F.length(body) <= limit, F.array(body)).otherwise(let(words(body), cut))
 
 
 def h2_chunks(docs: DataFrame, key: str, body: str) -> DataFrame:
@@ -130,49 +132,49 @@ def h2_chunks(docs: DataFrame, key: str, body: str) -> DataFrame:
     )
 
 
-def heading_chunks(
-    docs: DataFrame, key: str, body: str,
-    limit: int = MAX_TOKENS * CHARS_PER_TOKEN, overlap: int = OVERLAP_TOKENS * CHARS_PER_TOKEN,
-) -> DataFrame:
-    """(key, chunk_index, chunk_id, h_path, content): one chunk per heading section with its heading line,
-    oversize sections split by sentences with overlap. Text before the first heading is kept."""
-    d = sections.with_headings(docs, body, fill_gaps=True, stripped=True)
+def _heading_pieces(body: str, limit: int, overlap: int) -> Column:
+    """array<struct<h_path,content>> of a row prepared by sections.with_headings."""
     last = F.size("_heads")
     text = F.col(body)
     starts = F.concat(F.array(F.lit(0)), F.transform("_heads", lambda h: h["offset"]))
 
     def section(at: Column, i: Column) -> Column:
         end = F.when(i < last, F.get(F.col("_heads"), i)["offset"]).otherwise(F.length(text))
-        content = strip(F.substring(text, at + 1, end - at))
         path = F.when(i == 0, sections.empty_strings()).otherwise(F.get(F.col("_paths"), i - 1))
-        pieces = F.when(F.length(content) <= limit, F.array(content)).otherwise(pack_sentences(content, limit, overlap))
+        split = lambda c: F.when(F.length(c) <= limit, F.array(c)).otherwise(pack_sentences(c, limit, overlap))
+        pieces = let(strip(F.substring(text, at + 1, end - at)), split)
         return F.transform(F.filter(pieces, lambda p: p != ""), lambda p: F.struct(path.alias("h_path"), p.alias("content")))
 
-    pieces = F.flatten(F.transform(starts, section))
-    out = d.select(key, F.posexplode(pieces).alias("chunk_index", "c")).select(key, "chunk_index", "c.h_path", "c.content")
+    return F.flatten(F.transform(starts, section))
+
+
+def heading_chunks(
+    docs: DataFrame, key: str, body: str,
+    limit: int = MAX_TOKENS * CHARS_PER_TOKEN, overlap: int = OVERLAP_TOKENS * CHARS_PER_TOKEN,
+) -> DataFrame:
+    """(key, chunk_index, chunk_id, h_path, content): one chunk per heading section with its heading line,
+    oversize sections split by sentences with overlap. Text before the first heading is kept."""
+    d = sections.with_headings(docs, body, fill_gaps=True, stripped=True)
+    pieces = F.posexplode(_heading_pieces(body, limit, overlap)).alias("chunk_index", "c")
+    out = d.select(key, pieces).select(key, "chunk_index", "c.h_path", "c.content")
     return out.withColumn("chunk_id", ids.stable_chunk_id(F.col(key).cast("string"), F.col("h_path"), F.col("chunk_index")))
 
 
+def _with_heading(heading: Column, content: Column) -> Column:
+    return F.when(heading.isNull(), content).otherwise(F.concat(heading, F.lit("\n\n"), content))
+
+
 def html_chunks(pages: DataFrame, key: str, page: str, size: int = SIZE) -> DataFrame:
     """(key, section, part, total_parts, heading, level, content) of heading-aware page chunks."""
     s = sections.html_sections(pages, key, page)
-    whole = F.when(F.col("heading").isNull(), F.col("content")).otherwise(F.concat("heading", F.lit("\n\n"), "content"))
-    cut = s.withColumn("_w", whole).withColumn("_pieces", size_windows(F.col("_w"), size))
+    cut = s.withColumn("_w", _with_heading(F.col("heading"), F.col("content")))
+    cut = cut.withColumn("_pieces", size_windows(F.col("_w"), size))
     return cut.select(
         key, F.col("pos").alias("section"), "heading", "level", F.size("_pieces").alias("total_parts"),
         F.posexplode("_pieces").alias("part", "content"),
     )
 
 
-def _number_pieces(web: DataFrame) -> DataFrame:
-    """Running chunk number of a page's pieces; a page is one input row, so the window stays small."""
-    order = Window.partitionBy("document_id").orderBy("section", "part")
-    numbered = web.withColumn("chunk_index", F.row_number().over(order) - 1)
-    return numbered.withColumn("chunk_id", ids.numbered_chunk_id(F.col("document_id"), F.col("chunk_index"))).withColumnRenamed(
-        "level", "heading_level"
-    )
-
-
 def content_kind(body: Column) -> Column:
     """markdown when there is an ATX heading line, else html when there is any tag, else text."""
     return (
@@ -186,35 +188,55 @@ def chunk_documents(
     docs: DataFrame, heading_aware: bool = True, min_size: int = MIN_SIZE,
     chunker_version: str = "v1.0.0", model: str = "sentence-transformers/all-MiniLM-L6-v2", model_version: str = "v1.0.0",
 ) -> DataFrame:
-    """Chunk documents(url, title, source_name, content) by content kind; short chunks leave index gaps."""
+    """Chunk documents(url, title, source_name, content) by content kind in one pass without an exchange.
+
+    Short chunks are dropped and leave gaps in chunk_index.
+    """
     d = docs.filter(F.col("content") != "").withColumn("document_id", ids.url_id(F.col("url"))).withColumn(
         "kind", content_kind(F.col("content"))
     )
-    plain = F.when(F.col("kind") == "html", html.visible_text(F.col("content"))).otherwise(F.col("content"))
-    base = ["document_id", "chunk_index", "content", "heading", "heading_level", "chunk_id"]
-
-    def simple(part: DataFrame) -> DataFrame:
-        cut = part.select("document_id", F.posexplode(size_windows(plain)).alias("chunk_index", "content"))
-        return cut.withColumn("heading", F.lit(None).cast("string")).withColumn("heading_level", F.lit(None).cast("int")).withColumn(
-            "chunk_id", ids.numbered_chunk_id(F.col("document_id"), F.col("chunk_index"))
-        ).select(base)
-
-    if heading_aware:
-        md = heading_chunks(d.filter("kind = 'markdown'"), "document_id", "content")
-        md = md.withColumn("heading", F.try_element_at("h_path", F.lit(-1))).withColumn(
-            "heading_level", F.nullif(F.size("h_path"), F.lit(0))
-        ).select(base)
-        web = html_chunks(d.filter("kind = 'html'"), "document_id", "content")
-        web = _number_pieces(web).select(base)
-        chunks = md.unionByName(web).unionByName(simple(d.filter("kind = 'text'")))
-    else:
-        chunks = simple(d)
-    meta = d.select("document_id", "url", "title", "source_name")
-    lineage = ids.run_lineage_id(F.lit(chunker_version), F.lit(model), F.lit(model_version))
+    markdown = (F.col("kind") == "markdown") & heading_aware
+    web = (F.col("kind") == "html") & heading_aware
+    clean = F.when(F.col("kind") == "html", html.visible_text(F.col("content"))).otherwise(F.col("content"))
+    d = d.withColumns(
+        {
+            "_md": F.when(markdown, F.col("content")),
+            "_web": F.when(web, sections.html_section_array(F.col("content"))),
+            "_plain": F.when(~markdown & ~web, clean),
+        }
+    )
+    d = sections.with_headings(d, "_md", fill_gaps=True, stripped=True)
+    none = F.lit(None).cast("string")
+
+    def piece(path: Column, heading: Column, level: Column, content: Column) -> Column:
+        return F.struct(
+            path.alias("h_path"), heading.alias("heading"), level.cast("int").alias("heading_level"), content.alias("content")
+        )
+
+    no_path = sections.empty_strings()
+    from_md = F.transform(
+        _heading_pieces("_md", MAX_TOKENS * CHARS_PER_TOKEN, OVERLAP_TOKENS * CHARS_PER_TOKEN),
+        lambda p: piece(p["h_path"], F.try_element_at(p["h_path"], F.lit(-1)), F.nullif(F.size(p["h_path"]), F.lit(0)), p["content"]),
+    )
+    from_web = F.flatten(
+        F.transform(
+            "_web",
+            lambda s: F.transform(
+                let(_with_heading(s["heading"], s["content"]), lambda w: size_windows(w)),
+                lambda c: piece(no_path, s["heading"], s["level"], c),
+            ),
+        )
+    )
+    from_plain = F.transform(size_windows(F.col("_plain")), lambda c: piece(no_path, none, F.lit(None), c))
+    pieces = F.when(markdown, from_md).when(web, from_web).otherwise(from_plain)
+    chunks = d.select("document_id", "url", "title", "source_name", "kind", F.posexplode(pieces).alias("chunk_index", "p"))
+    chunks = chunks.select("document_id", "url", "title", "source_name", "kind", "chunk_index", "p.*")
+    stable = ids.stable_chunk_id(F.col("document_id"), F.col("h_path"), F.col("chunk_index"))
     return (
-        chunks.filter(F.length("content") >= min_size).join(meta, "document_id")
+        chunks.filter(F.length("content") >= min_size)
+        .withColumn("chunk_id", F.when(markdown, stable).otherwise(ids.numbered_chunk_id(F.col("document_id"), F.col("chunk_index"))))
         .withColumn("content_hash", ids.content_hash(F.col("content")))
         .withColumn("token_count", token_estimate(F.col("content")))
         .withColumn("chunker_version", F.lit(chunker_version)).withColumn("embedding_model", F.lit(model))
-        .withColumn("lineage_id", lineage)
+        .withColumn("lineage_id", ids.run_lineage_id(F.lit(chunker_version), F.lit(model), F.lit(model_version)))
     )

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import token_count, tokens, words
+from folioscan.functions.text import let, token_count, tokens, words
+from folioscan.session import cut_lineage
 
 # fixed values: Okapi parameters
 K1, B = 1.2, 0.75
@@ -38,27 +39,33 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def query_postings(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Postings restricted to the terms of the queries, placed by document.
+    """Postings restricted to the terms of the queries, counted map-side before the exchange.
 
-    Counting and every later per-document sum stay inside one placement by doc_id, so scores need no
-    exchange of their own before the top-k cut.
+    They are written once to the shared folder, because document counts, candidates and weights all read
+    them; the texts are tokenised once.
     """
     vocabulary = terms.select("term").distinct()
     # outer explode: a plain one makes the optimizer test the token array first, tokenising every text again
     hit = docs.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).join(vocabulary, "term", "left_semi")
-    return hit.repartition("doc_id").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return cut_lineage(hit.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def _weighted(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """Per (term, doc) BM25 weight, for the terms of the queries only."""
-    post = query_postings(docs, terms)
-    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def _weigh(post: DataFrame, df: DataFrame, docs: DataFrame) -> DataFrame:
+    """(term, doc_id, weight): BM25 weight of every posting."""
     n = docs.agg(F.count(F.lit(1))).scalar()
     avgdl = docs.agg(F.avg("dl")).scalar()
     scored = post.join(df, "term").withColumn("n_docs", n).withColumn("avgdl", avgdl)
     idf = F.log(F.lit(1.0) + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturation = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return scored.select("term", "doc_id", "df", (idf * saturation).alias("weight"))
+    return scored.select("term", "doc_id", (idf * saturation).alias("weight"))
+
+
+def _rarest_candidates(terms: DataFrame, df: DataFrame, post: DataFrame) -> DataFrame:
+    """(query_id, doc_id) pairs of each query's rarest term; a term no document holds gives none."""
+    known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    order = Window.partitionBy("query_id").orderBy("df", "term")
+    lead = known.withColumn("r", F.row_number().over(order)).filter("r = 1").select("query_id", "term")
+    return lead.join(post.select("term", "doc_id"), "term").select("query_id", "doc_id")
 
 
 def bm25(queries: DataFrame, docs: DataFrame, match: str = "any") -> DataFrame:
@@ -68,16 +75,16 @@ def bm25(queries: DataFrame, docs: DataFrame, match: str = "any") -> DataFrame:
     corpus is probed for those candidates instead of being expanded.
     """
     terms = query_terms(queries)
-    weights = _weighted(docs, terms)
+    post = query_postings(docs, terms)
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     if match == "all":
-        df = weights.select("term", "df").distinct()
-        known = terms.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        rarest = Window.partitionBy("query_id").orderBy("df", "term")
-        lead = known.withColumn("r", F.row_number().over(rarest)).filter("r = 1").select("query_id", "term")
-        candidates = lead.join(weights.select("term", "doc_id"), "term").select("query_id", "doc_id")
+        candidates = _rarest_candidates(terms, df, post)
+        wanted = candidates.select("doc_id").distinct()
+        weights = _weigh(post.join(wanted, "doc_id", "left_semi"), df, docs)
         pairs = candidates.join(terms, "query_id").join(weights, ["term", "doc_id"])
     else:
-        pairs = terms.join(weights, "term")
+        # placed by document, so the sums per (query, document) need no exchange before the top-k cut
+        pairs = terms.join(_weigh(post.repartition("doc_id"), df, docs), "term")
     scored = pairs.groupBy("query_id", "doc_id").agg(
         F.max("n_terms").alias("n_terms"),
         F.count(F.lit(1)).alias("matched"),
@@ -109,10 +116,7 @@ def conjunctive(queries: DataFrame, docs: DataFrame, stop_words: list[str]) -> D
     counted = kept.join(kept.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_terms")), "query_id")
     post = query_postings(docs, kept)
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rarest = Window.partitionBy("query_id").orderBy("df", "term")
-    known = counted.join(df, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    lead = known.withColumn("r", F.row_number().over(rarest)).filter("r = 1").select("query_id", "term")
-    candidates = lead.join(post.select("term", "doc_id"), "term").select("query_id", "doc_id")
+    candidates = _rarest_candidates(counted, df, post)
     return (
         candidates.join(counted, "query_id").join(post, ["term", "doc_id"])
         .groupBy("query_id", "doc_id")
@@ -136,23 +140,19 @@ def like_search(docs: DataFrame, needle: str, columns: list[str]) -> DataFrame:
 
 def snippet(text: Column, needle: str, width: int = 8) -> Column:
     """Up to `width` words around the first hit, the hits wrapped in <b>, cuts marked by an ellipsis."""
-    all_words = words(text)
-    hits = F.transform(all_words, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")) == needle.lower())
-    at = F.array_position(hits, F.lit(True)).cast("int")
-    start = F.greatest(F.lit(1), F.least(at - width // 2, F.size(all_words) - (width - 1)))
-    shown = F.slice(all_words, start, F.lit(width))
-    marked = F.transform(
-        shown,
-        lambda w: F.when(
-            F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")) == needle.lower(), F.concat(F.lit("<b>"), w, F.lit("</b>"))
-        ).otherwise(w),
-    )
-    body = F.array_join(marked, " ")
-    return F.when(
-        at > 0,
-        F.concat(
-            F.when(start > 1, F.lit("…")).otherwise(F.lit("")),
-            body,
-            F.when(start + width - 1 < F.size(all_words), F.lit("…")).otherwise(F.lit("")),
-        ),
-    )
+    is_hit = lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}\p{N}]", "")) == needle.lower()
+
+    def cut(s: Column) -> Column:
+        all_words, at = s["w"], s["at"]
+        start = F.greatest(F.lit(1), F.least(at - width // 2, F.size(all_words) - (width - 1)))
+        shown = F.slice(all_words, start, F.lit(width))
+        marked = F.transform(shown, lambda w: F.when(is_hit(w), F.concat(F.lit("<b>"), w, F.lit("</b>"))).otherwise(w))
+        before = F.when(start > 1, F.lit("…")).otherwise(F.lit(""))
+        after = F.when(start + width - 1 < F.size(all_words), F.lit("…")).otherwise(F.lit(""))
+        return F.when(at > 0, F.concat(before, F.array_join(marked, " "), after))
+
+    def find(w: Column) -> Column:
+        at = F.array_position(F.transform(w, is_hit), F.lit(True)).cast("int")
+        return let(F.struct(w.alias("w"), at.alias("at")), cut)
+
+    return let(words(text), find)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import html, ids
-from folioscan.functions.text import strip
+from folioscan.functions.text import let, strip
 
 STRINGS = "array<string>"
 
@@ -105,18 +105,16 @@ def governing_heading(docs: DataFrame, key: str, body: str) -> DataFrame:
     return lines.select(key, "line", F.try_element_at(before, F.lit(-1))["text"].alias("heading"))
 
 
-def html_sections(pages: DataFrame, key: str, page: str) -> DataFrame:
-    """(key, pos, heading, level, content): block texts of a page grouped under the preceding heading.
+def html_section_array(page: Column) -> Column:
+    """array<struct<heading,level,content>>: block texts of a page grouped under the preceding heading.
 
     Blocks are p, div and section elements; text outside of blocks (menus, lists) does not count, and text
     of nested blocks counts once.
     """
-    marked = F.regexp_replace(
-        html.drop_code(F.col(page)), r"(?is)<(/?)(h[1-6]|p|div|section)\b[^>]*>", "\u0001$1$2\u0002"
-    )
-    pieces = F.split(marked, "\u0001")
+    marked = F.regexp_replace(html.drop_code(page), r"(?is)<(/?)(h[1-6]|p|div|section)\b[^>]*>", "\u0001$1$2\u0002")
+    rest = let(F.split(marked, "\u0001"), lambda p: F.slice(p, F.lit(2), F.size(p)))
     parts = F.transform(
-        F.slice(pieces, F.lit(2), F.size(pieces)),
+        rest,
         lambda p: F.struct(
             F.lower(F.split_part(p, F.lit("\u0002"), F.lit(1))).alias("tag"),
             strip(html.unescape(html.drop_tags(F.split_part(p, F.lit("\u0002"), F.lit(2))))).alias("text"),
@@ -142,5 +140,10 @@ def html_sections(pages: DataFrame, key: str, page: str) -> DataFrame:
             F.when(is_head, F.lit("")).otherwise(joined).alias("cur"),
         ).cast(shape)
 
-    found = F.aggregate(kept, zero, step, flush)
+    return F.aggregate(kept, zero, step, flush)
+
+
+def html_sections(pages: DataFrame, key: str, page: str) -> DataFrame:
+    """(key, pos, heading, level, content) rows of html_section_array."""
+    found = html_section_array(F.col(page))
     return pages.select(key, F.posexplode(found).alias("pos", "s")).select(key, "pos", "s.heading", "s.level", "s.content")

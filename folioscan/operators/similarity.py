@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import jaccard, word_set
+from folioscan.session import cut_lineage
 
 
 def distinct_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per distinct word set: (rep, members, words). Copies are folded map-side before any join."""
+    """One row per distinct word set: (rep, members, words). Copies are folded map-side before any join.
+
+    The sets feed several joins, so they are written once to the shared folder instead of being rebuilt.
+    """
     sets = docs.select(key, F.array_sort(word_set(F.col(text))).alias("words"))
-    return (
+    return cut_lineage(
         sets.withColumn("h", F.sha2(F.array_join("words", " "), 256))
         .groupBy("h")
         .agg(F.min(key).alias("rep"), F.count(F.lit(1)).alias("members"), F.first("words").alias("words"))

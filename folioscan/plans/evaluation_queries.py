@@ -14,7 +14,7 @@ from folioscan.plans.registry import query
 from folioscan.plans.retrieval_queries import (
     BENCH, DOCS, SEM_SQL, bench_queries, centroid_queries, three_modes, vector_chunks,
 )
-from folioscan.session import load, load_spread
+from folioscan.session import cut_lineage, load, load_spread
 
 KS = [1, 3, 5, 10]
 # queries: one per label centroid; judgments: the label's vectors; a query fails when its best hit is weak
@@ -132,7 +132,8 @@ def planted_qrels(spark: SparkSession, d: str) -> DataFrame:
     q, docs = bench_queries(spark, d), load_spread(spark, d, "documents", "doc_id").select("doc_id", "text")
     candidates = lexical.bm25(q, lexical.tokenised(docs, "doc_id", F.col("text")), match="all").select("query_id", "doc_id")
     both = candidates.join(q, "query_id").join(docs, "doc_id")
-    return both.filter(F.contains("text", "query_text")).select("query_id", "doc_id")
+    # a handful of judgments, used by several metrics
+    return cut_lineage(both.filter(F.contains("text", "query_text")).select("query_id", "doc_id"))
 
 
 MODES_SQL = f"""{S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 30, 'lex')}, {SEM_SQL}, {S.ranked('sim', 'similarity', 30, 'sem', 'similarity >= 0.3')},

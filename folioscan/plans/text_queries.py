@@ -201,9 +201,11 @@ select page_id, contains(a, b) as title_contains, round(case when len(list_disti
 def trigram_similarity(spark, d):
     a = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
     b = F.substring(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), 1, 40)
-    return load(spark, d, "pages").select(
-        "page_id", F.contains(F.lower(a), F.lower(b)).alias("title_contains"),
-        F.round(text.jaccard(text.trigrams(a), text.trigrams(b)), 6).alias("similarity"),
+    titles = load(spark, d, "pages").select("page_id", a.alias("a"), b.alias("b"))
+    grams = titles.withColumns({"ga": text.trigrams(F.col("a")), "gb": text.trigrams(F.col("b"))})
+    return grams.select(
+        "page_id", F.contains(F.lower("a"), F.lower("b")).alias("title_contains"),
+        F.round(text.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"),
     )
 
 
