@@ -55,7 +55,8 @@ def _embed_batch(slots: pd.Series, dims: int) -> pd.Series:
     flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in slots]) if lengths.sum() else np.empty(0, np.int64)
     row = np.repeat(np.arange(len(slots)), lengths)
     cells = row * dims + np.abs(flat) - 1
-    dense = np.bincount(cells, weights=np.sign(flat), minlength=len(slots) * dims).reshape(len(slots), dims)
+    dense = np.bincount(cells, weights=np.sign(flat), minlength=len(slots) * dims)
+    dense = dense.astype(float).reshape(len(slots), dims)  # an all-blank batch counts as integers
     size = np.linalg.norm(dense, axis=1, keepdims=True)
     return pd.Series(list(np.divide(dense, size, out=dense, where=size > 0)))
 

@@ -124,16 +124,17 @@ def _grid(queries, chunks, k, floor, n_queries, per_block) -> DataFrame:
     """Block nested loop: each (query block, chunk block) cell is one bounded task group."""
     q_blocks = -(-n_queries // per_block)
     c_blocks = max(1, -(-chunks.count() // max(per_block, 4096)))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
     q = queries.select(
         "query_id",
         "vector",
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))).cast("long").alias("cb"),
+        F.explode(upto(c_blocks)).alias("cb"),
     )
     c = chunks.select(
         "chunk_id",
         "vector",
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("long").alias("qb"),
+        F.explode(upto(q_blocks)).alias("qb"),
         F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).alias("cb"),
     )
 

@@ -121,7 +121,7 @@ def html_section_array(page: Column) -> Column:
         ),
     )
     kept = F.filter(
-        parts, lambda p: p["tag"].rlike("^h[1-6]$") | ((p["text"] != "") & ~p["tag"].isin("/div", "/section"))
+        parts, lambda p: p["tag"].rlike("^h[1-6]$") | ((p["text"] != "") & ~p["tag"].rlike("^/(div|section|h[1-6])$"))
     )
     shape = "struct<out:array<struct<heading:string,level:int,content:string>>,heading:string,level:int,cur:string>"
     zero = F.struct(F.array(), F.lit(None), F.lit(None), F.lit("")).cast(shape)

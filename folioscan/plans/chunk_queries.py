@@ -191,7 +191,7 @@ def _plain(x: str) -> str:
 
 _HTML_SEC = f"""bl as (select page_id, unnest(string_split({_BLOCKS}, chr(1))) p, generate_subscripts(string_split({_BLOCKS}, chr(1)), 1) i from pages),
 bt as (select page_id, i, lower(split_part(p, chr(2), 1)) tag, {S.strip(_plain("split_part(p, chr(2), 2)"))} t from bl where i > 1),
-bk as (select *, regexp_matches(tag, '^h[1-6]$') is_h from bt where regexp_matches(tag, '^h[1-6]$') or (t <> '' and tag not in ('/div', '/section'))),
+bk as (select *, regexp_matches(tag, '^h[1-6]$') is_h from bt where regexp_matches(tag, '^h[1-6]$') or (t <> '' and not regexp_matches(tag, '^/(div|section|h[1-6])$'))),
 bs as (select *, sum(case when is_h then 1 else 0 end) over (partition by page_id order by i) sec from bk),
 hsec as (select page_id, sec, max(case when is_h then t end) heading, max(case when is_h then cast(substr(tag, 2, 1) as integer) end) as level,
   string_agg(t, ' ' order by i) filter (not is_h) content from bs group by 1, 2 having count(case when not is_h then 1 end) > 0)"""
