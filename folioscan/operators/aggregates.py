@@ -11,8 +11,8 @@ def click_stats(clicks: DataFrame, keys: list[str]) -> DataFrame:
         F.count(F.lit(1)).alias("total_clicks"),
         F.countDistinct("query").alias("unique_queries"),
         F.countDistinct("session_id").alias("unique_sessions"),
-        F.round(F.avg("position"), 6).alias("avg_position"),
-        F.round(F.avg("dwell_time"), 6).alias("avg_dwell"),
+        F.round(F.avg("position"), 10).alias("avg_position"),
+        F.round(F.avg("dwell_time"), 10).alias("avg_dwell"),
     )
 
 

@@ -21,9 +21,9 @@ def _ratio(part: Column, whole: Column) -> Column:
 def request_summary(requests: DataFrame, hours: int) -> DataFrame:
     total, errors = F.count(F.lit(1)), F.count_if(F.col("status_code") >= 400)
     return requests.agg(
-        total.alias("total"), errors.alias("errors"), F.round(_ratio(errors, total), 6).alias("error_rate"),
-        F.round(F.coalesce(F.avg("response_time"), F.lit(0.0)), 6).alias("avg_response_time"),
-        F.round(total / hours, 6).alias("requests_per_hour"),
+        total.alias("total"), errors.alias("errors"), F.round(_ratio(errors, total), 10).alias("error_rate"),
+        F.round(F.coalesce(F.avg("response_time"), F.lit(0.0)), 10).alias("avg_response_time"),
+        F.round(total / hours, 10).alias("requests_per_hour"),
     )
 
 
@@ -43,8 +43,8 @@ def endpoint_stats(requests: DataFrame, history: int = 1000, least: int = 20) ->
     )
     p95 = F.when(F.col("n") > least, F.col("at95")).otherwise(F.col("mean"))
     return totals.join(stats, "endpoint").select(
-        "endpoint", "total_requests", "error_count", F.round(F.col("error_count") / F.col("total_requests"), 6).alias("error_rate"),
-        F.round("mean", 6).alias("avg_response_time"), F.round(p95, 6).alias("p95_response_time"),
+        "endpoint", "total_requests", "error_count", F.round(F.col("error_count") / F.col("total_requests"), 10).alias("error_rate"),
+        F.round("mean", 10).alias("avg_response_time"), F.round(p95, 10).alias("p95_response_time"),
     )
 
 
@@ -63,18 +63,18 @@ def latency_stats(requests: DataFrame, keys: list[str]) -> DataFrame:
         F.avg(F.when(good, t)).alias("mean"), F.min(F.when(good, t)).alias("min"), F.max(F.when(good, t)).alias("max"),
         F.sum(F.when(good, t)).alias("spent"),
     )
-    r = lambda c: F.round(c, 6).alias(c)
+    r = lambda c: F.round(c, 10).alias(c)
     return base.join(at, keys).select(
         *keys, "total", "successful", r("mean"), r("min"), r("max"), r("median"), r("p95"), r("p99"),
-        F.round(F.col("successful") / F.col("total"), 6).alias("success_rate"),
-        F.round(F.col("successful") / F.col("spent"), 6).alias("per_second"),
+        F.round(F.col("successful") / F.col("total"), 10).alias("success_rate"),
+        F.round(F.col("successful") / F.col("spent"), 10).alias("per_second"),
     )
 
 
 def windowed(rows: DataFrame, keys: list[str], width: str, slide: str | None = None) -> DataFrame:
     """Tumbling or sliding window statistics by event time."""
     return rows.groupBy(F.window("ts", width, slide), *keys).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"), F.round(F.avg("value"), 6).alias("mean")
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 10).alias("total"), F.round(F.avg("value"), 10).alias("mean")
     ).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), *keys, "n", "total", "mean")
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscan.functions.vectors import cosine
 from folioscan.session import BROADCAST_LIMIT_BYTES
 
 SCORE_DIGITS = 6
@@ -78,36 +77,60 @@ def top_k_similar(
 ) -> DataFrame:
     """Best k chunks per query by cosine similarity (rounded), ties by chunk id.
 
-    queries(query_id long, vector array) and chunks(chunk_id long, vector array). A set of query vectors
-    below query_limit_bytes is sent to the tasks that scan the chunks; a larger set is matched block
-    against block, with bounded cells and the same result.
+    queries(query_id, vector array) and chunks(chunk_id, vector array). A set of query vectors below
+    query_limit_bytes is sent to the tasks that scan the chunks; a larger set is matched block against
+    block, with bounded cells and the same result.
     """
-    chunks = chunks.filter(F.col("vector").isNotNull() & (F.size("vector") > 0))
-    queries = queries.filter(F.col("vector").isNotNull() & (F.size("vector") > 0))
+    return _search(_present(queries), _present(chunks), k, min_similarity, query_limit_bytes, None)
+
+
+def probe_centroids(
+    queries: DataFrame, chunks: DataFrame, cells: DataFrame, k: int, probes: int, query_limit_bytes: int = BROADCAST_LIMIT_BYTES
+) -> DataFrame:
+    """Approximate search: each query is scored only against the chunks of its `probes` nearest cells.
+
+    cells(cell_id, vector) partitions the chunks; chunks(chunk_id, cell_id, vector).
+    """
+    nearest = top_k_similar(queries, cells.select(F.col("cell_id").alias("chunk_id"), "vector"), probes)
+    visits = nearest.select("query_id", F.col("chunk_id").alias("cell_id"))
+    return _search(_present(queries).join(visits, "query_id"), _present(chunks), k, None, query_limit_bytes, "cell_id")
+
+
+def _present(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.col("vector").isNotNull() & (F.size("vector") > 0))
+
+
+def _search(queries, chunks, k, floor, limit_bytes, cell: str | None) -> DataFrame:
     n_queries, n_values = queries.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("vector")), F.lit(0))).first()
-    if n_values * 8 <= query_limit_bytes:
-        return _rank(_scan(queries, chunks, k, min_similarity), k)
-    per_block = max(1, int(query_limit_bytes // (8 * max(1, n_values // n_queries))))
-    return _rank(_grid(queries, chunks, k, min_similarity, n_queries, per_block), k)
+    if n_values * 8 <= limit_bytes:
+        return _rank(_scan(queries, chunks, k, floor, cell), k)
+    per_block = max(1, int(limit_bytes // (8 * max(1, n_values // n_queries))))
+    return _rank(_grid(queries, chunks, k, floor, n_queries, per_block, cell), k)
 
 
-def _scan(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None) -> DataFrame:
-    held = queries.select("query_id", "vector").toArrow()  # size checked by the caller
+def _scan(queries: DataFrame, chunks: DataFrame, k: int, floor: float | None, cell: str | None) -> DataFrame:
+    extra = [cell] if cell else []
+    held = queries.select("query_id", "vector", *extra).toArrow()  # size checked by the caller
     q_ids = held["query_id"].to_numpy()
+    q_cells = held[cell].to_numpy() if cell else np.zeros(len(q_ids))
     q_unit = _unit_rows(_matrix(held["vector"], None))
-    shared = queries.sparkSession.sparkContext.broadcast((q_ids, q_unit))
+    shared = queries.sparkSession.sparkContext.broadcast((q_ids, q_cells, q_unit))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, unit = shared.value
+        ids, ids_cells, unit = shared.value
         for batch in batches:
-            if batch.num_rows and len(ids):
-                c_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
-                c_unit = _unit_rows(_matrix(batch.column("vector"), unit.shape[1]))
-                yield pa.RecordBatch.from_pandas(
-                    _score_block(ids, unit, c_ids, c_unit, k, floor), preserve_index=False
-                )
+            if not batch.num_rows or not len(ids):
+                continue
+            c_ids = batch.column("chunk_id").to_numpy(zero_copy_only=False)
+            c_unit = _unit_rows(_matrix(batch.column("vector"), unit.shape[1]))
+            c_cells = batch.column(cell).to_numpy(zero_copy_only=False) if cell else np.zeros(len(c_ids))
+            for value in np.unique(c_cells):
+                q, c = ids_cells == value, c_cells == value
+                if q.any():
+                    scored = _score_block(ids[q], unit[q], c_ids[c], c_unit[c], k, floor)
+                    yield pa.RecordBatch.from_pandas(scored, preserve_index=False)
 
-    return chunks.select("chunk_id", "vector").mapInArrow(score, _pair_schema(queries, chunks))
+    return chunks.select("chunk_id", "vector", *extra).mapInArrow(score, _pair_schema(queries, chunks))
 
 
 def _pair_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
@@ -120,34 +143,28 @@ def _pair_schema(queries: DataFrame, chunks: DataFrame) -> T.StructType:
     )
 
 
-def _grid(queries, chunks, k, floor, n_queries, per_block) -> DataFrame:
-    """Block nested loop: each (query block, chunk block) cell is one bounded task group."""
+def _grid(queries, chunks, k, floor, n_queries, per_block, cell: str | None) -> DataFrame:
+    """Block nested loop: each (query block, chunk block[, cell]) is one bounded task group."""
     q_blocks = -(-n_queries // per_block)
     c_blocks = max(1, -(-chunks.count() // max(per_block, 4096)))
+    extra = [cell] if cell else []
     upto = lambda n: F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
-    q = queries.select(
-        "query_id",
-        "vector",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(upto(c_blocks)).alias("cb"),
-    )
-    c = chunks.select(
-        "chunk_id",
-        "vector",
-        F.explode(upto(q_blocks)).alias("qb"),
-        F.pmod(F.xxhash64("chunk_id"), F.lit(c_blocks)).alias("cb"),
-    )
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    q = queries.select("query_id", "vector", *extra, block("query_id", q_blocks).alias("qb"), F.explode(upto(c_blocks)).alias("cb"))
+    c = chunks.select("chunk_id", "vector", *extra, F.explode(upto(q_blocks)).alias("qb"), block("chunk_id", c_blocks).alias("cb"))
 
-    def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
-            return pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
+            none = np.empty(0)
+            return pd.DataFrame({"query_id": none.astype(object), "chunk_id": none.astype(object), "similarity": none})
         a, b = np.stack(left["vector"].to_numpy()), np.stack(right["vector"].to_numpy())
         return _score_block(
             left["query_id"].to_numpy(), _unit_rows(a.astype(float)),
             right["chunk_id"].to_numpy(), _unit_rows(b.astype(float)), k, floor,
         )
 
-    return q.groupBy("qb", "cb").cogroup(c.groupBy("qb", "cb")).applyInPandas(cell, _pair_schema(queries, chunks))
+    keys = ["qb", "cb", *extra]
+    return q.groupBy(*keys).cogroup(c.groupBy(*keys)).applyInPandas(match, _pair_schema(queries, chunks))
 
 
 def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFrame:
@@ -156,18 +173,3 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     means = cells.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))  # as many entries as dimensions
     return means.groupBy(key).agg(F.transform(ordered, lambda s: s["x"]).alias("vector"))
-
-
-def probe_centroids(queries: DataFrame, chunks: DataFrame, cells: DataFrame, k: int, probes: int) -> DataFrame:
-    """Approximate search: visit only the `probes` nearest cells of each query.
-
-    cells(cell_id long, vector) partitions the chunks; chunks(chunk_id, cell_id, vector) may be written
-    partitioned by cell_id so that a probe prunes files.
-    """
-    nearest = top_k_similar(queries, cells.select(F.col("cell_id").alias("chunk_id"), "vector"), probes)
-    visits = nearest.select("query_id", F.col("chunk_id").alias("cell_id"))
-    wanted = queries.select("query_id", F.col("vector").alias("query_vector")).join(visits, "query_id")
-    scored = chunks.join(wanted, "cell_id").select(
-        "query_id", "chunk_id", F.round(cosine(F.col("query_vector"), F.col("vector")), SCORE_DIGITS).alias("similarity")
-    )
-    return _rank(scored, k)

@@ -13,7 +13,7 @@ from folioscan.session import as_of, load, load_spread
 
 @query("click_stats_overall", "AGG2", f"""
 with {X.CLICKS_SQL} select count(*) as total_clicks, count(distinct query) as unique_queries, count(distinct session_id) as unique_sessions,
- round(avg(position), 6) as avg_position, round(avg(dwell_time), 6) as avg_dwell from clicks where ts >= (select max(ts) from events) - interval 30 day""")
+ round(avg(position), 10) as avg_position, round(avg(dwell_time), 10) as avg_dwell from clicks where ts >= (select max(ts) from events) - interval 30 day""")
 def click_stats_overall(spark, d):
     c = filters.within(X.clicks(spark, d), "ts", as_of(load(spark, d, "events")), days=30)
     return aggregates.click_stats(c, []).select("total_clicks", "unique_queries", "unique_sessions", "avg_position", "avg_dwell")
@@ -21,19 +21,19 @@ def click_stats_overall(spark, d):
 
 @query("click_stats_by_query", "AGG1 AGG29 PF7", f"""
 with {X.CLICKS_SQL} select query, count(*) as total_clicks, count(distinct session_id) as unique_sessions,
- round(avg(position), 6) as avg_position, round(avg(dwell_time), 6) as avg_dwell from clicks where ts >= (select max(ts) from events) - interval 14 day group by 1""")
+ round(avg(position), 10) as avg_position, round(avg(dwell_time), 10) as avg_dwell from clicks where ts >= (select max(ts) from events) - interval 14 day group by 1""")
 def click_stats_by_query(spark, d):
     c = filters.within(X.clicks(spark, d), "ts", as_of(load(spark, d, "events")), days=14)
     return aggregates.click_stats(c, ["query"]).select("query", "total_clicks", "unique_sessions", "avg_position", "avg_dwell")
 
 
 @query("chunk_click_features", "AGG3", f"""
-with {X.CLICKS_SQL} select chunk_id, count(*) as clicks, least(count(*) / 100.0, 1.0) as click_rate, round(avg(dwell_time), 6) as avg_dwell
+with {X.CLICKS_SQL} select chunk_id, count(*) as clicks, least(count(*) / 100.0, 1.0) as click_rate, round(avg(dwell_time), 10) as avg_dwell
 from clicks where ts >= (select max(ts) from events) - interval 30 day group by 1""")
 def chunk_click_features(spark, d):
     since = as_of(load(spark, d, "events")) - F.make_interval(days=F.lit(30))
     f = fusion.click_features(X.clicks(spark, d), since)
-    return f.select("chunk_id", "clicks", "click_rate", F.round("avg_dwell_time", 6).alias("avg_dwell"))
+    return f.select("chunk_id", "clicks", "click_rate", F.round("avg_dwell_time", 10).alias("avg_dwell"))
 
 
 @query("database_stats", "AGG4", f"""

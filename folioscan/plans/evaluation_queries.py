@@ -103,8 +103,8 @@ def result_consistency(spark, d):
 
 @query("response_time_metrics", "E11 AGG16", f"""
 with {X.REQUESTS_SQL}, ok as (select * from requests where status_code < 400)
-select endpoint, round(avg(response_time), 6) as avg_time, round(quantile_cont(response_time, 0.5), 6) as p50, round(quantile_cont(response_time, 0.95), 6) as p95,
- round(count(*) / sum(response_time), 6) as throughput from ok group by 1""")
+select endpoint, round(avg(response_time), 10) as avg_time, round(quantile_cont(response_time, 0.5), 10) as p50, round(quantile_cont(response_time, 0.95), 10) as p95,
+ round(count(*) / sum(response_time), 10) as throughput from ok group by 1""")
 def response_time_metrics(spark, d):
     ok = X.requests(spark, d).filter("status_code < 400")
     at = lambda q, up: (F.ceil if up else F.floor)((F.col("n") - 1) * q)
@@ -114,8 +114,8 @@ def response_time_metrics(spark, d):
     base = ok.groupBy("endpoint").agg(F.count(F.lit(1)).alias("n"), F.avg("response_time").alias("a"), F.sum("response_time").alias("s"))
     between = lambda n, q: F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * ((F.col("n") - 1) * q - F.floor((F.col("n") - 1) * q))
     return base.join(stats, "endpoint").select(
-        "endpoint", F.round("a", 6).alias("avg_time"), *[F.round(between(n, q), 6).alias(n) for n, q in qs.items()],
-        F.round(F.col("n") / F.col("s"), 6).alias("throughput"),
+        "endpoint", F.round("a", 10).alias("avg_time"), *[F.round(between(n, q), 10).alias(n) for n, q in qs.items()],
+        F.round(F.col("n") / F.col("s"), 10).alias("throughput"),
     )
 
 
@@ -195,22 +195,22 @@ def quality_alerts(spark, d):
 
 @query("baseline_vs_candidate", "E14 M9 J21", f"""
 with {X.REQUESTS_SQL}, m as (select endpoint, avg(response_time) filter (ts < timestamp '2024-01-16') b, avg(response_time) filter (ts >= timestamp '2024-01-16') c from requests group by 1)
-select endpoint, round((c - b) / b * 100, 6) as improvement_pct, round(greatest(0.001, 1 - (c - b) / b), 6) as heuristic_p from m""")
+select endpoint, round((c - b) / b * 100, 10) as improvement_pct, round(greatest(0.001, 1 - (c - b) / b), 10) as heuristic_p from m""")
 def baseline_vs_candidate(spark, d):
     mid = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     r, t = X.requests(spark, d), F.col("response_time")
     m = r.groupBy("endpoint").agg(F.avg(F.when(F.col("ts") < mid, t)).alias("b"), F.avg(F.when(F.col("ts") >= mid, t)).alias("c"))
     b, c = F.col("b"), F.col("c")
     return m.select(
-        "endpoint", F.round(E.relative_improvement(b, c), 6).alias("improvement_pct"), F.round(E.heuristic_p_value(b, c), 6).alias("heuristic_p")
+        "endpoint", F.round(E.relative_improvement(b, c), 10).alias("improvement_pct"), F.round(E.heuristic_p_value(b, c), 10).alias("heuristic_p")
     )
 
 
 @query("metric_history", "E19", f"""
-with {X.REQUESTS_SQL}, h as (select endpoint, strftime(ts, '%Y-%m-%d') run, round(avg(response_time), 6) v from requests group by 1, 2),
+with {X.REQUESTS_SQL}, h as (select endpoint, strftime(ts, '%Y-%m-%d') run, round(avg(response_time), 10) v from requests group by 1, 2),
 l as (select *, lag(v) over (partition by endpoint order by run) previous from h)
 select endpoint, run, v as value, previous from l where previous - v > 0.005""")
 def metric_history(spark, d):
     """Daily metric snapshots that fell by more than 5 ms against the day before."""
-    h = X.requests(spark, d).groupBy("endpoint", F.date_format("ts", "yyyy-MM-dd").alias("run")).agg(F.round(F.avg("response_time"), 6).alias("value"))
+    h = X.requests(spark, d).groupBy("endpoint", F.date_format("ts", "yyyy-MM-dd").alias("run")).agg(F.round(F.avg("response_time"), 10).alias("value"))
     return E.regressions(h, ["endpoint"], "value", 0.005).select("endpoint", "run", "value", "previous")

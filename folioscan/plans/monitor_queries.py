@@ -15,8 +15,8 @@ BOUNDS = [0.01, 0.05, 0.1, 0.25, 0.5, 1.0, 2.5, 5.0, 10.0]  # fixed values: seco
 
 @query("request_summary", "AGG13 Z17 M8", f"""
 with {X.REQUESTS_SQL}, r as (select * from requests where ts >= (select max(ts) from requests) - interval 24 hour)
-select count(*) as total, sum((status_code >= 400)::int)::bigint as errors, round(sum((status_code >= 400)::int) / count(*), 6) as error_rate,
- round(avg(response_time), 6) as avg_response_time, round(count(*) / 24, 6) as requests_per_hour from r""")
+select count(*) as total, sum((status_code >= 400)::int)::bigint as errors, round(sum((status_code >= 400)::int) / count(*), 10) as error_rate,
+ round(avg(response_time), 10) as avg_response_time, round(count(*) / 24, 10) as requests_per_hour from r""")
 def request_summary(spark, d):
     r = X.requests(spark, d)
     return monitoring.request_summary(filters.within(r, "ts", as_of(r), hours=24), 24)
@@ -26,8 +26,8 @@ def request_summary(spark, d):
 with {X.REQUESTS_SQL}, t as (select endpoint, count(*) n, sum((status_code >= 400)::int)::bigint e from requests group by 1),
 l as (select endpoint, response_time from requests qualify row_number() over (partition by endpoint order by ts desc, event_id desc) <= 1000),
 s as (select endpoint, avg(response_time) m, list_sort(list(response_time)) v, count(*) k from l group by 1)
-select endpoint, n as total_requests, e as error_count, round(e / n, 6) as error_rate, round(m, 6) as avg_response_time,
- round(case when k > 20 then v[1 + cast(floor(k * 0.95) as int)] else m end, 6) as p95_response_time from t join s using (endpoint)""")
+select endpoint, n as total_requests, e as error_count, round(e / n, 10) as error_rate, round(m, 10) as avg_response_time,
+ round(case when k > 20 then v[1 + cast(floor(k * 0.95) as int)] else m end, 10) as p95_response_time from t join s using (endpoint)""")
 def endpoint_stats_p95_index(spark, d):
     return monitoring.endpoint_stats(X.requests(spark, d))
 
@@ -35,21 +35,21 @@ def endpoint_stats_p95_index(spark, d):
 @query("latency_percentiles", "AGG15 E11", f"""
 with {X.REQUESTS_SQL}, g as (select endpoint, count(*) total from requests group by 1),
 s as (select endpoint, count(*) n, avg(response_time) mean, min(response_time) mn, max(response_time) mx, sum(response_time) sp, list_sort(list(response_time)) v from requests where status_code < 400 group by 1)
-select endpoint, total, n as successful, round(mean, 6) as mean, round(mn, 6) as min, round(mx, 6) as max, round(v[1 + n // 2], 6) as median, round(v[1 + cast(floor(n * 0.95) as int)], 6) as p95,
- round(v[1 + cast(floor(n * 0.99) as int)], 6) as p99, round(n / total, 6) as success_rate, round(n / sp, 6) as per_second from g join s using (endpoint)""")
+select endpoint, total, n as successful, round(mean, 10) as mean, round(mn, 10) as min, round(mx, 10) as max, round(v[1 + n // 2], 10) as median, round(v[1 + cast(floor(n * 0.95) as int)], 10) as p95,
+ round(v[1 + cast(floor(n * 0.99) as int)], 10) as p99, round(n / total, 10) as success_rate, round(n / sp, 10) as per_second from g join s using (endpoint)""")
 def latency_percentiles(spark, d):
     return monitoring.latency_stats(X.requests(spark, d), ["endpoint"])
 
 
 @query("user_latency_percentiles", "AGG15 AGG16", f"""
 with {X.REQUESTS_SQL}, s as (select user_id, count(*) n, list_sort(list(response_time)) v from requests where status_code < 400 group by 1)
-select user_id, n as successful, round(v[1 + n // 2], 6) as median, round(v[1 + cast(floor(n * 0.95) as int)], 6) as p95 from s""")
+select user_id, n as successful, round(v[1 + n // 2], 10) as median, round(v[1 + cast(floor(n * 0.95) as int)], 10) as p95 from s""")
 def user_latency_percentiles(spark, d):
     return monitoring.latency_stats(X.requests(spark, d), ["user_id"]).select("user_id", "successful", "median", "p95")
 
 
 @query("metric_windows", "AGG17 Z20 S1", """
-select strftime(time_bucket(interval 5 minute, ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, round(sum(value), 6) as total, round(avg(value), 6) as mean from events group by 1, 2""")
+select strftime(time_bucket(interval 5 minute, ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, round(sum(value), 10) as total, round(avg(value), 10) as mean from events group by 1, 2""")
 def metric_windows(spark, d):
     w = monitoring.windowed(load(spark, d, "events"), ["event_type"], "5 minutes")
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "event_type", "n", "total", "mean")
@@ -57,12 +57,12 @@ def metric_windows(spark, d):
 
 @query("sliding_error_rate", "AGG17 M8 S1", """
 with w as (select unnest(range(time_bucket(interval 5 minute, ts) - interval 10 minute, time_bucket(interval 5 minute, ts) + interval 1 minute, interval 5 minute)) s, event_type from events)
-select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n, round(sum((event_type = 'error')::int) / greatest(1, count(*)), 6) as error_rate from w group by 1""")
+select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n, round(sum((event_type = 'error')::int) / greatest(1, count(*)), 10) as error_rate from w group by 1""")
 def sliding_error_rate(spark, d):
     g = load(spark, d, "events").groupBy(F.window("ts", "15 minutes", "5 minutes")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "error").alias("e")
     )
-    return g.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round(F.col("e") / F.greatest(F.lit(1), F.col("n")), 6).alias("error_rate"))
+    return g.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("window_start"), "n", F.round(F.col("e") / F.greatest(F.lit(1), F.col("n")), 10).alias("error_rate"))
 
 
 @query("kind_distributions", "AGG18 Z19", """
@@ -74,14 +74,14 @@ def kind_distributions(spark, d):
 
 @query("hit_rate", "AGG19 Z17 C8", f"""
 with p as (select user_id, {X.PROP_K} k, row_number() over (partition by user_id, {X.PROP_K} order by ts, event_id) nth from events)
-select user_id, sum((nth > 1)::int)::bigint as hits, sum((nth = 1)::int)::bigint as misses, round(sum((nth > 1)::int) / count(*), 6) as hit_rate from p group by 1""")
+select user_id, sum((nth > 1)::int)::bigint as hits, sum((nth = 1)::int)::bigint as misses, round(sum((nth > 1)::int) / count(*), 10) as hit_rate from p group by 1""")
 def hit_rate(spark, d):
     """With an unbounded cache the first request of a key misses and the others hit."""
     k = F.get_json_object("props", "$.k")
     keys = load(spark, d, "events").groupBy("user_id", k.alias("k")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n")
     misses = F.count(F.lit(1))
-    return keys.groupBy("user_id").agg((total - misses).alias("hits"), misses.alias("misses"), F.round((total - misses) / total, 6).alias("hit_rate"))
+    return keys.groupBy("user_id").agg((total - misses).alias("hits"), misses.alias("misses"), F.round((total - misses) / total, 10).alias("hit_rate"))
 
 
 @query("histogram_buckets", "AGG20 SNK12 Z21", f"""
@@ -108,7 +108,7 @@ def histogram_quantile(spark, d):
 
 @query("counter_increase", "AGG30", """
 with h as (select date_trunc('hour', ts) hr, count(*) n from events group by 1), c as (select hr, sum(n) over (order by hr) total from h)
-select strftime(hr, '%Y-%m-%d %H') as hour, total::bigint as total, (total - lag(total, 6) over (order by hr))::bigint as increase_6 from c""")
+select strftime(hr, '%Y-%m-%d %H') as hour, total::bigint as total, (total - lag(total, 10) over (order by hr))::bigint as increase_6 from c""")
 def counter_increase(spark, d):
     """Running event counter per hour and its increase over the six hours before."""
     from pyspark.sql import Window
@@ -116,7 +116,7 @@ def counter_increase(spark, d):
     hours = load(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hr")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("hr")  # one row per hour
     total = hours.withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return total.select(F.date_format("hr", "yyyy-MM-dd HH").alias("hour"), "total", (F.col("total") - F.lag("total", 6).over(order)).alias("increase_6"))
+    return total.select(F.date_format("hr", "yyyy-MM-dd HH").alias("hour"), "total", (F.col("total") - F.lag("total", 10).over(order)).alias("increase_6"))
 
 
 @query("rate_limit_breaches", "P9 S4 Z25", """

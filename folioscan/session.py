@@ -52,11 +52,13 @@ def shared_dir(spark: SparkSession) -> str:
     """
     sc = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
     if configured:
+        if current is None:
+            sc.setCheckpointDir(configured)
         return configured.rstrip("/")
-    current = sc._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get().rstrip("/")
+    if current is not None:
+        return current.rstrip("/")
     if not sc.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     folder = tempfile.mkdtemp(prefix="folioscan-")

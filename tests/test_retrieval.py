@@ -50,6 +50,26 @@ def test_scan_blocks_and_brute_force_agree(spark):
     assert scan == grid == sorted(want)
 
 
+def test_probe_scans_only_chosen_cells(spark):
+    rng = np.random.default_rng(11)
+    rows = [(i, i % 3 if i < 40 else 0, [float(x) for x in rng.normal(size=4)]) for i in range(120)]  # one hot cell
+    chunks = spark.createDataFrame(rows, "chunk_id long, cell_id long, vector array<double>")
+    cells = spark.createDataFrame([(j, [1.0 if i == j else 0.0 for i in range(4)]) for j in range(3)], "cell_id long, vector array<double>")
+    q = spark.createDataFrame([("a", [1.0, 0.2, 0.0, 0.0]), ("b", [0.0, 0.1, 1.0, 0.0])], "query_id string, vector array<double>")
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, r.similarity) for r in df.collect())
+    scan = key(nearest.probe_centroids(q, chunks, cells, 5, 2))
+    assert scan == key(nearest.probe_centroids(q, chunks, cells, 5, 2, query_limit_bytes=40))
+    allowed = {"a": {0, 1}, "b": {2, 1}}
+    cell_of = {i: c for i, c, _ in rows}
+    assert all(cell_of[c] in allowed[n] for n, _, c, _ in scan) and len(scan) == 10
+    exact = {n: [] for n in allowed}
+    for n, v in (("a", [1.0, 0.2, 0.0, 0.0]), ("b", [0.0, 0.1, 1.0, 0.0])):
+        a = np.array(v)
+        s = sorted((-round(float(a @ np.array(w) / np.linalg.norm(a) / np.linalg.norm(w)), 6), i) for i, c, w in rows if c in allowed[n])
+        exact[n] = [i for _, i in s[:5]]
+    assert {n: [c for m, _, c, _ in scan if m == n] for n in allowed} == exact
+
+
 def test_bm25_all_is_any_with_every_term(spark):
     docs = spark.createDataFrame(
         [(i, "the common words " + ("rare find" if i % 4 == 0 else "") + (" deep" if i % 6 == 0 else "")) for i in range(40)], "doc_id long, text string"
