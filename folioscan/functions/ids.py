@@ -62,3 +62,19 @@ def client_key(user_id: Column, ip: Column) -> Column:
     return F.when(user_id.isNotNull(), F.concat_ws(":", F.lit("user"), user_id.cast("string"), ip)).otherwise(
         F.concat_ws(":", F.lit("ip"), ip)
     )
+
+
+def random_id() -> Column:
+    return F.uuid()
+
+
+def register_sql_functions(spark) -> None:
+    """SQL form of the lineage ids, for use in SQL text and views."""
+    spark.sql(
+        "create or replace temporary function generate_lineage_id(chunker string, model string, model_version string) "
+        "returns string return substring(md5(concat_ws('-', chunker, model, model_version)), 1, 16)"
+    )
+    spark.sql(
+        "create or replace temporary function generate_chunk_lineage(url string, chunk_index bigint, pipeline string, chunker string) "
+        "returns string return md5(concat_ws(':', url, chunk_index, pipeline, chunker))"
+    )

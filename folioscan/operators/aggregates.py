@@ -51,7 +51,8 @@ def dataset_statistics(qrels: DataFrame) -> DataFrame:
 
 def hash_split(df: DataFrame, key: str, train: float, seed: int) -> DataFrame:
     """Seeded split that depends on the key only, hence the same on every run and partitioning."""
-    share = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key))), 1, 7)
+    share = F.conv(digest, 16, 10).cast("long") / (1 << 28)
     return df.withColumn("part", F.when(share < train, "train").otherwise("test"))
 
 

@@ -134,3 +134,15 @@ def updated_weights(clicks: DataFrame, since: Column, rate: float = 0.01, newest
         "n", "mean_position",
         *[F.when(enough, s / length).otherwise(F.lit(w)).alias(f"w_{f}") for f, w, s in zip(FEATURES, DEFAULT_WEIGHTS, stepped)],
     )
+
+
+def pair_rerank(results: DataFrame, scorer=None, head: int = 512) -> DataFrame:
+    """Rank again by a pluggable (query text, first characters of the document) scorer.
+
+    Without a scorer the given order stays, which is also how a missing model degrades.
+    """
+    if scorer is None:
+        return results.withColumn("new_rank", F.col("rank"))
+    scored = results.withColumn("pair_score", scorer(F.col("query_text"), F.substring("text", 1, head)))
+    order = Window.partitionBy("query_id").orderBy(F.desc("pair_score"), "rank")
+    return scored.withColumn("new_rank", F.row_number().over(order))

@@ -103,7 +103,9 @@ def dataset_statistics(spark, d):
     return aggregates.dataset_statistics(qrels)
 
 
-@query("dataset_merge_split", "SO4 SO6 Z14", None)
+@query("dataset_merge_split", "SO4 SO6 Z14", """
+with u as (select 'b' || item_id k from benchmark union all select 'd' || doc_id from documents)
+select case when cast(('0x' || substr(md5('42:' || k), 1, 7)) as bigint) / 268435456 < 0.8 then 'train' else 'test' end as part, count(*) as n from u group by 1""")
 def dataset_merge_split(spark, d):
     """Union of two query sets with a seeded hash split into train and test."""
     a = load(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pair_id"), F.col("text").alias("query"))

@@ -66,7 +66,13 @@ def size_chunks(spark, d):
     return docs.select("doc_id", F.posexplode(chunking.size_windows(F.col("text"))).alias("chunk_index", "content"))
 
 
-@query("overlapping_size_chunks", "CH2", None)
+@query("overlapping_size_chunks", "CH2", """
+with recursive cut as (select doc_id, text, 0 s, case when length(text) <= 1000 then length(text) when length(regexp_extract(substring(text, 801, 200), '(?s)^(.*[.!?]\\s+)', 1)) > 0
+      then 800 + length(regexp_extract(substring(text, 801, 200), '(?s)^(.*[.!?]\\s+)', 1)) else 1000 end e from documents
+  union all select doc_id, text, e - 200, case when e + 800 < length(text) and length(regexp_extract(substring(text, e + 601, 200), '(?s)^(.*[.!?]\\s+)', 1)) > 0
+      then e + 600 + length(regexp_extract(substring(text, e + 601, 200), '(?s)^(.*[.!?]\\s+)', 1)) else e + 800 end from cut where e < length(text)),
+c as (select doc_id, case when length(text) <= 1000 then text else regexp_replace(substring(text, s + 1, e - s), '^\\s+|\\s+$', '', 'g') end content, length(text) <= 1000 whole from cut)
+select doc_id, count(*) as chunks, max(length(content))::int as longest from c where whole or length(content) >= 100 group by 1""")
 def overlapping_size_chunks(spark, d):
     docs = load_spread(spark, d, "documents", "doc_id")
     cut = docs.select("doc_id", F.posexplode(chunking.size_windows(F.col("text"), overlap=200)).alias("chunk_index", "content"))
