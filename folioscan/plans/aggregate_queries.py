@@ -109,7 +109,7 @@ select case when cast(('0x' || substr(md5('42:' || k), 1, 7)) as bigint) / 26843
 def dataset_merge_split(spark, d):
     """Union of two query sets with a seeded hash split into train and test."""
     a = load(spark, d, "benchmark").select(F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("pair_id"), F.col("text").alias("query"))
-    b = load(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("pair_id"), F.substring("text", 1, 60).alias("query"))
+    b = load(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("pair_id"), F.col("text").alias("query"))
     return aggregates.hash_split(a.unionByName(b), "pair_id", train=0.8, seed=42).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -143,7 +143,7 @@ def safe_https_url(spark, d):
 
 
 @query("validate_documents", "P10 Z10", """
-with s as (select doc_id n, case when lang = 'fr' then 'doc ' || doc_id when lang = 'es' and n_chars < 300 then '' else 'doc-' || doc_id end doc_id, substring(text, 1, n_chars // 4) title,
+with s as (select doc_id n, case when lang = 'fr' then 'doc ' || doc_id when lang = 'es' and n_chars < 300 then '' else 'doc-' || doc_id end doc_id, string_split(text, chr(10))[1] title,
   case source when 'src4' then 'not a url' else 'https://docs.example.org/' || source end url, text content,
   case when n_chars > 3000 then list_transform(range(0, 60), lambda i: 'tag') else [source, lang || case when lang = 'de' then '!' else '' end] end tags, 1000 - n_chars file_size from documents),
 e as (select n, unnest(list_filter([case when doc_id = '' then 'doc_id_empty' end, case when doc_id <> '' and not regexp_matches(doc_id, '^[a-zA-Z0-9._-]+$') then 'doc_id_characters' end,
@@ -156,7 +156,7 @@ def validate_documents(spark, d):
     rows = docs.select(
         F.col("doc_id").alias("n"),
         F.when(lang == "fr", F.concat(F.lit("doc "), i)).when((lang == "es") & (n < 300), "").otherwise(F.concat(F.lit("doc-"), i)).alias("doc_id"),
-        F.substring("text", F.lit(1), F.floor(n / 4).cast("int")).alias("title"),
+        F.get(F.split("text", "\n"), F.lit(0)).alias("title"),
         F.when(F.col("source") == "src4", "not a url").otherwise(F.concat(F.lit("https://docs.example.org/"), "source")).alias("url"),
         F.col("text").alias("content"),
         F.when(n > 3000, F.array_repeat(F.lit("tag"), 60)).otherwise(F.array("source", F.concat("lang", F.when(lang == "de", "!").otherwise("")))).alias("tags"),

@@ -194,13 +194,13 @@ def query_variations(spark, d):
 
 
 @query("trigram_similarity", "ST13 ST8", """
-with t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) a, lower(substring(regexp_extract(html, '<h1>([^<]*)</h1>', 1), 1, 40)) b from pages),
+with t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) a, lower(regexp_extract(html, '<p>(?:<b>)?([^<]*)', 1)) b from pages),
 g as (select page_id, a, b, list_distinct(list_transform(range(1, greatest(length(a) - 1, 1)), lambda i: substring(a, i, 3))) ga,
   list_distinct(list_transform(range(1, greatest(length(b) - 1, 1)), lambda i: substring(b, i, 3))) gb from t)
 select page_id, contains(a, b) as title_contains, round(case when len(list_distinct(ga || gb)) = 0 then 1.0 else len(list_intersect(ga, gb)) / len(list_distinct(ga || gb)) end, 6) as similarity from g""")
 def trigram_similarity(spark, d):
     a = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    b = F.substring(F.regexp_extract("html", "<h1>([^<]*)</h1>", 1), 1, 40)
+    b = F.regexp_extract("html", "<p>(?:<b>)?([^<]*)", 1)
     titles = load(spark, d, "pages").select("page_id", a.alias("a"), b.alias("b"))
     grams = titles.withColumns({"ga": text.trigrams(F.col("a")), "gb": text.trigrams(F.col("b"))})
     return grams.select(
@@ -274,12 +274,12 @@ def lineage_ids(spark, d):
 
 
 @query("cache_keys", "H7 Z23", """
-select doc_id, 'search:' || md5('lang=' || lang || '&source=' || source || '|hybrid|' || regexp_replace(lower(substring(text, 1, 40)), '^\\s+|\\s+$', '', 'g')) as search_key,
+select doc_id, 'search:' || md5('lang=' || lang || '&source=' || source || '|hybrid|' || regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')) as search_key,
  'embedding:default:' || sha256(text) as embedding_key from documents""")
 def cache_keys(spark, d):
     one = F.create_map(F.lit("source"), F.col("source"), F.lit("lang"), F.col("lang"))
     return load(spark, d, "documents").select(
-        "doc_id", ids.search_cache_key(F.substring("text", 1, 40), one, F.lit("hybrid")).alias("search_key"),
+        "doc_id", ids.search_cache_key(F.col("text"), one, F.lit("hybrid")).alias("search_key"),
         ids.embedding_cache_key(F.col("text"), F.lit("default")).alias("embedding_key"),
     )
 
