@@ -5,12 +5,13 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from folioscan.session import build_session  # noqa: E402
+from folioscan.session import build_session, ship_package  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", cores="4", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
     session.stop()
