@@ -99,7 +99,7 @@ def decided(docs: DataFrame, in_snapshot: Column) -> DataFrame:
     # Bytes: rows of one digest are one group only if their texts are one text.
     texts = (
         docs.select("doc_id", normalised("text").alias("body"), digest_of("text").alias("digest"))
-        .join(many.select("digest"), "digest", "left_semi")
+        .join(many.select("digest").hint("merge"), "digest", "left_semi")
     )
     buckets = texts.groupBy("digest", "body").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     clashes = saved(
