@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscan.llm import byte_bpe, mixing, preference, quality_rules, token_counts
 from folioscan.llm import exact_dedup as dedup
-from folioscan.llm import mixing
 from folioscan.llm.common import documents
 from folioscan.plans.registry import Entry
+from folioscan.session import load
 
 OP4_SQL = r"""
 select doc_id, min(doc_id) over g as keep_id, count(*) over g as group_size, doc_id is not distinct from min(doc_id) over g as kept, text_sha256
@@ -54,6 +55,26 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded and decoded again; no SQL twin, tested against the library."""
+    return byte_bpe.digests(documents(spark, sf_dir))
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; no SQL twin, tested against the library."""
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and anomaly of all documents; no SQL twin for the forest, the counts are tested against brute force."""
+    return quality_rules.quality_rules(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+
+
+def op9_preference_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents; no SQL twin, tested by held-out accuracy."""
+    return preference.ranked(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
+
+
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all documents at 150 % of their size."""
     return mixing.mixture(documents(spark, sf_dir))
@@ -61,6 +82,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries() -> dict[str, Entry]:
     return {
+        "op2_byte_bpe": Entry(op2_byte_bpe, None, ("LLM2",)),
+        "op3_token_counts": Entry(op3_token_counts, None, ("LLM3",)),
+        "op6_quality_rules": Entry(op6_quality_rules, None, ("LLM6",)),
+        "op9_preference_ranking": Entry(op9_preference_ranking, None, ("LLM9",)),
         "op4_exact_dedup": Entry(op4_exact_dedup, OP4_SQL.strip(), ("LLM4",)),
         "op10_source_mix": Entry(op10_source_mix, OP10_SQL.strip(), ("LLM10",)),
     }
