@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import byte_bpe, mixing, preference, quality_rules, token_counts
+from folioscan.llm import byte_bpe, mixing, near_dedup, preference, quality_rules, token_counts
 from folioscan.llm import exact_dedup as dedup
 from folioscan.llm.common import documents
 from folioscan.plans.registry import Entry
@@ -55,6 +55,28 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(documents(spark, sf_dir))
 
 
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as shingle
+  from w),
+n as (select doc_id, count(*) as n from s group by 1),
+c as (select a.doc_id as a, b.doc_id as b, count(*) as both from s a join s b on a.shingle = b.shingle and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from c join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c.both >= 75 * (x.n + y.n - c.both)),
+r(a, b) as (
+  select a, b from (select a, b from l union all select b, a from l)
+  union
+  select r.a, l.b from r join (select a, b from l union all select b, a from l) l on r.b = l.a),
+m as (select a as doc_id, min(b) as low from r group by 1)
+select w.doc_id, coalesce(n.n, 0) as n_shingles, least(w.doc_id, coalesce(m.low, w.doc_id)) as component_id,
+  w.doc_id = least(w.doc_id, coalesce(m.low, w.doc_id)) as kept
+from w left join n on n.doc_id = w.doc_id left join m on m.doc_id = w.doc_id
+"""
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again; no SQL twin, tested against the library."""
     return byte_bpe.digests(documents(spark, sf_dir))
@@ -70,6 +92,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates over the whole of documents."""
+    return near_dedup.near_dedup(documents(spark, sf_dir))
+
+
 def op9_preference_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents; no SQL twin, tested by held-out accuracy."""
     return preference.ranked(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
@@ -85,6 +112,7 @@ def entries() -> dict[str, Entry]:
         "op2_byte_bpe": Entry(op2_byte_bpe, None, ("LLM2",)),
         "op3_token_counts": Entry(op3_token_counts, None, ("LLM3",)),
         "op6_quality_rules": Entry(op6_quality_rules, None, ("LLM6",)),
+        "op8_near_dedup": Entry(op8_near_dedup, OP8_SQL.strip(), ("LLM8",)),
         "op9_preference_ranking": Entry(op9_preference_ranking, None, ("LLM9",)),
         "op4_exact_dedup": Entry(op4_exact_dedup, OP4_SQL.strip(), ("LLM4",)),
         "op10_source_mix": Entry(op10_source_mix, OP10_SQL.strip(), ("LLM10",)),

@@ -1,8 +1,9 @@
 """Quality rules: counts of each text, two fixed rules, and an isolation forest over the rule statistics.
 
-The counts are taken once per text and kept. The forest is grown on the driver from at most FOREST_ROWS labelled good
-rows, chosen by a hash of doc_id: TREES trees of DRAWN rows each, random features and random cuts. A short mean path
-means a text unlike the good ones. The threshold on that score comes from all labelled rows: a histogram of BINS bins
+The counts are taken once per text and kept. A rule is a band for one statistic, from the good rows' quantiles at TAIL
+on either side; a text's rule statistics are how far it lies outside of all bands together and of its worst one. The
+forest is grown on the driver from at most FOREST_ROWS labelled good rows, chosen by a hash of doc_id: TREES trees of
+DRAWN rows each, random features and random cuts. A short mean path means a text unlike the good ones. The threshold on that score comes from all labelled rows: a histogram of BINS bins
 per label, read for the best sum of caught bad and kept good rows while at most LOSS of the good ones are lost.
 
 Null and blank texts have no words and fail the first rule. Rows that repeat a doc_id are judged alike. Without
@@ -23,6 +24,7 @@ from folioscan.llm.common import saved
 from folioscan.llm.textstats import COUNTS, bodies, counts, shares
 
 FOREST_ROWS, TREES, DRAWN, DEPTH = 8192, 100, 256, 8
+TAIL = 0.02
 BINS, LOSS = 1000, 0.003
 LEAST_WORDS, MOST_REPEATED = 50, 50
 
@@ -56,10 +58,24 @@ def mean_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
+class Bands:
+    """What is usual for each statistic, and how far rows lie outside."""
+
+    def __init__(self, good: np.ndarray):
+        self.low, self.high = np.quantile(good, [TAIL, 1 - TAIL], axis=0)
+        self.unit = np.maximum(good.std(0), 1e-3)
+
+    def outside(self, rows: np.ndarray) -> np.ndarray:
+        over = np.log1p(np.maximum(np.maximum(rows - self.high, self.low - rows), 0) / self.unit)
+        return np.column_stack([over.sum(1), over.max(1)])
+
+
 class Forest:
     """Trees as heaps: node i has the children 2i + 1 and 2i + 2; a leaf has no feature."""
 
-    def __init__(self, rows: np.ndarray, seed: int = 7):
+    def __init__(self, good: np.ndarray, seed: int = 7):
+        self.bands = Bands(good)
+        rows = self.bands.outside(good)
         rng = np.random.default_rng(seed)
         nodes = 2 ** (DEPTH + 1) - 1
         self.feature = np.full((TREES, nodes), -1, np.int16)
@@ -85,6 +101,7 @@ class Forest:
 
     def score(self, rows: np.ndarray) -> np.ndarray:
         """0 to 1; the higher, the more easily a row is told apart from those the forest has seen."""
+        rows = self.bands.outside(rows)
         total = np.zeros(len(rows))
         every = np.arange(len(rows))
         for t in range(TREES):
