@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscan.llm import byte_bpe, mixing, near_dedup, preference, quality_rules, token_counts
+import corpus_pipeline
+from folioscan.llm import byte_bpe, language_id, mixing, near_dedup, preference, quality_rules, token_counts
 from folioscan.llm import exact_dedup as dedup
 from folioscan.llm.common import documents
 from folioscan.plans.registry import Entry
@@ -92,6 +93,16 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of all documents; no SQL twin, tested by held-out declarations and a brute-force fusion."""
+    return language_id.identified(language_id.of_documents(documents(spark, sf_dir))).withColumnRenamed("key", "doc_id")
+
+
+def page_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over all web pages: markup language, host suffix and host."""
+    return language_id.identified(language_id.of_pages(load(spark, sf_dir, "pages"))).withColumnRenamed("key", "page_id")
+
+
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates over the whole of documents."""
     return near_dedup.near_dedup(documents(spark, sf_dir))
@@ -109,9 +120,12 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entries() -> dict[str, Entry]:
     return {
+        "pipeline": Entry(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL, ("LLM2", "LLM4", "LLM7", "LLM8", "LLM10")),
         "op2_byte_bpe": Entry(op2_byte_bpe, None, ("LLM2",)),
         "op3_token_counts": Entry(op3_token_counts, None, ("LLM3",)),
         "op6_quality_rules": Entry(op6_quality_rules, None, ("LLM6",)),
+        "op7_language_id": Entry(op7_language_id, None, ("LLM7",)),
+        "page_languages": Entry(page_languages, None, ("LLM7",)),
         "op8_near_dedup": Entry(op8_near_dedup, OP8_SQL.strip(), ("LLM8",)),
         "op9_preference_ranking": Entry(op9_preference_ranking, None, ("LLM9",)),
         "op4_exact_dedup": Entry(op4_exact_dedup, OP4_SQL.strip(), ("LLM4",)),
