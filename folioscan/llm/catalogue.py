@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from folioscan.llm import byte_bpe, language_id, mixing, near_dedup, preference, quality_rules, token_counts
+from folioscan.llm import byte_bpe, language_id, license_scan, mixing, near_dedup, preference, private_data, quality_rules, token_counts
 from folioscan.llm import exact_dedup as dedup
 from folioscan.llm.common import documents
 from folioscan.plans.registry import Entry
@@ -78,6 +78,11 @@ from w left join n on n.doc_id = w.doc_id left join m on m.doc_id = w.doc_id
 """
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences named in all documents; no SQL twin for the sweep, tested against brute force."""
+    return license_scan.license_scan(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded and decoded again; no SQL twin, tested against the library."""
     return byte_bpe.digests(documents(spark, sf_dir))
@@ -88,6 +93,11 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op5_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents; no SQL twin for the added terms, tested against brute force."""
+    return private_data.private_data(documents(spark, sf_dir))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and anomaly of all documents; no SQL twin for the forest, the counts are tested against brute force."""
     return quality_rules.quality_rules(documents(spark, sf_dir), load(spark, sf_dir, "labels"))
@@ -121,8 +131,10 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries() -> dict[str, Entry]:
     return {
         "pipeline": Entry(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL, ("LLM2", "LLM4", "LLM7", "LLM8", "LLM10")),
+        "op1_license_scan": Entry(op1_license_scan, None, ("LLM1",)),
         "op2_byte_bpe": Entry(op2_byte_bpe, None, ("LLM2",)),
         "op3_token_counts": Entry(op3_token_counts, None, ("LLM3",)),
+        "op5_private_data": Entry(op5_private_data, None, ("LLM5",)),
         "op6_quality_rules": Entry(op6_quality_rules, None, ("LLM6",)),
         "op7_language_id": Entry(op7_language_id, None, ("LLM7",)),
         "page_languages": Entry(page_languages, None, ("LLM7",)),
