@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import saved
+from folioscan.llm.common import mapped, saved
 from folioscan.llm.textstats import COUNTS, bodies, counts, shares
 
 FOREST_ROWS, TREES, DRAWN, DEPTH = 8192, 100, 256, 8
@@ -37,7 +37,7 @@ def counted(docs: DataFrame) -> DataFrame:
             found = np.array([counts(t) for t in bodies(b.column(1))], np.int64).reshape(-1, len(COUNTS))
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(x) for x in found.T]], ["doc_id", *COUNTS])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS))
 
 
 def labelled(rows: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -87,9 +87,12 @@ class Forest:
         self.norm = max(float(mean_path(np.array(size))), 1e-9)
 
     def grow(self, t: int, node: int, depth: int, rows: np.ndarray, rng: np.random.Generator) -> None:
+        if len(rows) < 2:  # also where rounding puts the cut on the upper bound
+            self.path[t, node] = depth
+            return
         low, high = rows.min(0), rows.max(0)
         open_ = np.flatnonzero(high > low)
-        if depth == DEPTH or len(rows) < 2 or not len(open_):
+        if depth == DEPTH or not len(open_):
             self.path[t, node] = depth + mean_path(np.array(len(rows)))
             return
         f = int(rng.choice(open_))
@@ -127,7 +130,7 @@ def scored(rows: DataFrame, forest: Forest) -> DataFrame:
             table = shares({c: b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in COUNTS})
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(forest.score(table))], [*names, "anomaly"])
 
-    return rows.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", anomaly double")
+    return mapped(rows, run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema) + ", anomaly double")
 
 
 def threshold(rows: DataFrame, labels: DataFrame) -> float:
