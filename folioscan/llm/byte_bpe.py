@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from folioscan.llm.bpe import RankedBytes, ranked_bytes
+from folioscan.llm.common import mapped
 
 STATES, PIECES = 200_000, 150_000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -269,7 +270,7 @@ def encoded(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
                     ["doc_id", "ids", "decoded"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
@@ -286,4 +287,4 @@ def digests(docs: DataFrame, path: str = RANKS, pattern: str = public_tokenizers
                 back.append(hashlib.sha256(c.decode(ids).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(marks, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

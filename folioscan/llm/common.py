@@ -29,6 +29,18 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+#: Rows that a Python worker holds at once; whole texts may be long.
+BATCH_ROWS = 1000
+
+
+def mapped(df: DataFrame, run, schema: str) -> DataFrame:
+    """`mapInArrow` with batches small enough for whole texts, for this session from now on."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df.mapInArrow(run, schema)
+
+
 def word_count(text: Column) -> Column:
     """Number of words; blank runs are folded first so that only one split runs over the text."""
     pieces = F.split(text, f"[{BLANKS}]+")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import saved, whole
+from folioscan.llm.common import mapped, saved, whole
 from folioscan.llm.textstats import bodies
 
 LANGUAGES = ("de", "en", "es", "fr")
@@ -82,7 +82,7 @@ def text_model(seen: DataFrame) -> np.ndarray:
         lang, cell = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lang, pa.int32()), pa.array(cell, pa.int32()), pa.array(total[lang, cell])], ["lang", "cell", "n"])
 
-    parts = seen.filter(F.col("declared").isin(*LANGUAGES)).select("text", "declared").mapInArrow(run, "lang int, cell int, n long")
+    parts = mapped(seen.filter(F.col("declared").isin(*LANGUAGES)).select("text", "declared"), run, "lang int, cell int, n long")
     table = parts.groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()  # languages x cells at most
     counts = np.full((len(LANGUAGES), CELLS), 0.5)
     np.add.at(counts, (table["lang"].to_numpy(int), table["cell"].to_numpy(int)), table["n"].to_numpy(float))
@@ -107,7 +107,7 @@ def text_evidence(seen: DataFrame, model: np.ndarray) -> DataFrame:
 
     key = seen.schema["key"].dataType.simpleString()
     spec = f"key {key}, declared string, suffix string, host string, domain string, grams long, " + ", ".join(f"{n} double" for n in names)
-    found = seen.select("text", *rest).mapInArrow(run, spec)
+    found = mapped(seen.select("text", *rest), run, spec)
     best = F.greatest(*[F.col(n) for n in names])
     guess = F.coalesce(*[F.when(F.col(n) == best, F.lit(x)) for n, x in zip(names, LANGUAGES)])
     return found.withColumn("guess", F.when(F.col("grams") >= LEAST_GRAMS, guess))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import saved
+from folioscan.llm.common import mapped, saved
 from folioscan.llm.components import components
 from folioscan.llm.textstats import bodies
 
@@ -37,7 +37,7 @@ WORDS_PER_SHINGLE, PERCENT = 5, 75
 TREES, DEPTH, PLACES = 32, 4, 128
 LIKELY = 0.5
 BLOCK, HUBS = 192, 8
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 U64 = np.uint64
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 2**63, WORDS_PER_SHINGLE, dtype=np.int64).astype(U64) * U64(2) + U64(1)
@@ -105,7 +105,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 places.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(kind, pa.int64()), pa.array(places, pa.binary())], ["doc_id", "n_shingles", "class", "places"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, class long, places binary")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_shingles long, class long, places binary")
 
 
 def orders(classes: DataFrame) -> DataFrame:
@@ -128,7 +128,7 @@ def orders(classes: DataFrame) -> DataFrame:
                 ids = np.repeat(b.column(0).to_numpy(zero_copy_only=False), TREES)
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(tree), pa.array(region.view(np.int64).ravel()), pa.array(deeper.view(np.int64).ravel())], ["doc_id", "tree", "region", "deeper"])
 
-    return classes.select("doc_id", "places").mapInArrow(run, "doc_id long, tree int, region long, deeper long")
+    return mapped(classes.select("doc_id", "places"), run, "doc_id long, tree int, region long, deeper long")
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def neighbours(rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], ["a", "b"])
 
     keys = ["tree", "region", "deeper", "doc_id"]
-    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return mapped(rows.repartitionByRange(*keys).sortWithinPartitions(*keys), run, "a long, b long").distinct()
 
 
 def candidates(classes: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def candidates(classes: DataFrame) -> DataFrame:
     pairs = saved(neighbours(orders(classes)), "neighbours")
     left = classes.select(F.col("doc_id").alias("a"), F.col("places").alias("x"))
     right = classes.select(F.col("doc_id").alias("b"), F.col("places").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return mapped(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y"), run, "a long, b long")
 
 
 class Links:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import saved
+from folioscan.llm.common import mapped, saved
 from folioscan.llm.quality_rules import drawn, labelled
 from folioscan.llm.textstats import COUNTS, bodies, counts, shares
 
@@ -71,7 +71,7 @@ def featured(docs: DataFrame) -> DataFrame:
             rows = pa.array(list(features(list(bodies(b.column(1))))), pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), rows], ["doc_id", "label", "x"])
 
-    return docs.select("doc_id", "text", F.col("label").cast("int").alias("label")).mapInArrow(run, "doc_id long, label int, x array<double>")
+    return mapped(docs.select("doc_id", "text", F.col("label").cast("int").alias("label")), run, "doc_id long, label int, x array<double>")
 
 
 def with_scores(docs: DataFrame, weights: np.ndarray, centre: np.ndarray) -> DataFrame:
@@ -80,7 +80,7 @@ def with_scores(docs: DataFrame, weights: np.ndarray, centre: np.ndarray) -> Dat
             raw = (features(list(bodies(b.column(1)))) - centre) @ weights
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw)], ["doc_id", "raw"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, raw double")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, raw double")
 
 
 def ranked(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from folioscan.llm.bpe import WordMerges, word_merges
+from folioscan.llm.common import mapped
 
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 LIMIT = 2048
@@ -171,4 +172,4 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str = VOCABULARY) ->
                 ["doc_id", "n_bytes", "n_tokens", "over_limit", "fit_words", "fit_bytes"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_words long, fit_bytes long")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fit_words long, fit_bytes long")
