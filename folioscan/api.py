@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from folioscan.functions.vectors import embedder
 from folioscan.operators import aggregates, filters, fusion, lexical, monitoring, nearest
 
-MAX_RESULTS = 100
-
 
 class Corpus:
     """Batch search over documents(doc_id, text, source, lang, ...).
@@ -32,7 +30,7 @@ class Corpus:
         return lexical.tokenised(self._scope(where), "doc_id", F.col("text"))
 
     def search_fulltext(self, queries: DataFrame, k: int = 5, where: Mapping[str, object] | None = None, match: str = "any") -> DataFrame:
-        return lexical.rank_top_k(lexical.bm25(queries, self._tokens(where), match), min(k, MAX_RESULTS))
+        return lexical.rank_top_k(lexical.bm25(queries, self._tokens(where), match), k)
 
     def search_semantic(
         self, queries: DataFrame, k: int = 5, min_similarity: float = 0.3, where: Mapping[str, object] | None = None
@@ -43,7 +41,7 @@ class Corpus:
         asked = queries.filter(F.regexp_replace("query_text", r"\s", "") != "")
         hits = nearest.top_k_similar(
             asked.select("query_id", q_vector.alias("vector")),
-            docs.select(F.col("doc_id").alias("chunk_id"), vector.alias("vector")), min(k, MAX_RESULTS), min_similarity,
+            docs.select(F.col("doc_id").alias("chunk_id"), vector.alias("vector")), k, min_similarity,
         )
         return hits.withColumnRenamed("chunk_id", "doc_id")
 
@@ -52,7 +50,7 @@ class Corpus:
         where: Mapping[str, object] | None = None, since: Column | None = None,
     ) -> DataFrame:
         """Rank fusion of both searches; with clicks and `since`, reranked by the click-trained linear model."""
-        deep = min(3 * k, MAX_RESULTS)
+        deep = 3 * k
         lex = self.search_fulltext(queries, deep, where)
         fused = fusion.reciprocal_rank_fusion(lex, self.search_semantic(queries, deep, min_similarity, where), deep, rrf_k)
         if self.clicks is None or since is None:
@@ -69,7 +67,7 @@ class Corpus:
         return self.documents.filter(F.col("doc_id") == doc_id).drop("vector")
 
     def list_resources(self, after="", limit: int = 100, key: str = "path") -> DataFrame:
-        return filters.keyset_page(self.documents.drop("vector", "text"), key, after, min(limit, 200))
+        return filters.keyset_page(self.documents.drop("vector", "text"), key, after, limit)
 
     def list_sources(self) -> DataFrame:
         return self.documents.groupBy("source").agg(F.count(F.lit(1)).alias("documents"))

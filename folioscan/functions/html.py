@@ -2,19 +2,32 @@
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioscan.functions.text import squeeze_phrases, strip
 
-# fixed values
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&amp;": "&"}
-
-
 def unescape(text: Column) -> Column:
-    for entity, char in ENTITIES.items():
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decimal, hexadecimal and named character references as characters; a non-breaking space becomes a blank.
+
+    Each piece from one "&" to the next begins with at most one reference, so nothing is decoded twice. Unknown
+    names and impossible numbers stay as they are.
+    """
+    names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, code)], F.lit("apos"), F.lit(39))
+
+    def one(piece: Column) -> Column:
+        ref = F.regexp_extract(piece, r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        code = (
+            F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("int"))
+            .when(ref.startswith("#"), F.substring(ref, 2, 7).try_cast("int")).otherwise(F.try_element_at(names, ref))
+        )
+        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+        return F.when(sound, F.concat(char, F.regexp_replace(piece, "^&[^;]*;", ""))).otherwise(piece)
+
+    return F.array_join(F.transform(F.split(text, "(?=&)"), one), "")
 
 
 def drop_code(html: Column) -> Column:
@@ -33,7 +46,9 @@ def visible_text(html: Column) -> Column:
 
 
 def hrefs(html: Column) -> Column:
-    return F.regexp_extract_all(html, F.lit(r'(?i)<a\b[^>]*?\bhref="([^"]*)"'), F.lit(1))
+    """Link targets in order: double-quoted, single-quoted or bare values, character references decoded."""
+    raw = F.regexp_extract_all(html, F.lit(r"""(?i)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""), F.lit(1))
+    return F.transform(raw, lambda v: unescape(F.regexp_replace(v, "^[\"']|[\"']$", "")))
 
 
 def title(html: Column) -> Column:

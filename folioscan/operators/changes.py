@@ -77,8 +77,18 @@ def delete_where_in(rows: DataFrame, doomed: DataFrame, key: str) -> tuple[DataF
     return rows.join(keys, key, "left_anti"), removed
 
 
+def last_sections(rows: DataFrame, key: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in (key, "section_id")]
+    last = rows.groupBy(key, "section_id").agg(F.max_by(F.struct(*rest), F.col("start_pos")).alias("r"))
+    return last.select(key, "section_id", *[F.col(f"r.{c}").alias(c) for c in rest])
+
+
 def section_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Full outer comparison of body sections: added, deleted, modified, unchanged."""
+    """Full outer comparison of body sections: added, deleted, modified, unchanged.
+
+    Sections of one document that share an id count once, the last one in the document.
+    """
+    old, new = last_sections(old, key), last_sections(new, key)
     o = old.select(key, "section_id", F.col("content").alias("old_content"), F.col("content_hash").alias("old_hash"), F.col("path").alias("old_path"))
     n = new.select(key, "section_id", "heading", F.col("content").alias("new_content"), F.col("content_hash").alias("new_hash"), F.col("path").alias("new_path"))
     action = (

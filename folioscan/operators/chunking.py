@@ -83,6 +83,8 @@ def size_windows(body: Column, size: int = SIZE, overlap: int = 0, min_size: int
     overlap 0 starts the next window where the last one ended; a positive overlap steps back by that much.
     Windows shorter than min_size are dropped; a text that fits one window is returned unchanged.
     """
+    if not 0 <= overlap < size - LOOK_BACK:
+        raise ValueError(f"overlap must be at least 0 and under {size - LOOK_BACK}")
     shape = "struct<start:int,out:array<string>>"
     n = F.length(body)
     turns = F.sequence(F.lit(0), F.floor(n / (size - LOOK_BACK - overlap)).cast("int") + 1)

@@ -130,9 +130,8 @@ def relative_improvement(base: Column, new: Column) -> Column:
 
 
 def heuristic_p_value(base: Column, new: Column) -> Column:
-    """A heuristic, not a statistical test: 1 - relative gain, at least 0.001."""
-    gain = F.when(base > 0, (new - base) / base).otherwise(0.0)
-    return F.greatest(F.lit(0.001), 1 - gain)
+    """A heuristic, not a statistical test: 1 - relative change either way, at least 0.001."""
+    return F.greatest(F.lit(0.001), 1 - F.abs(new - base) / F.greatest(base, F.lit(0.001)))
 
 
 def alerts(modes: DataFrame, max_latency_ms: float, min_success: float, min_f1: float) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,11 +51,11 @@ def within_rules(url: Column, home: str, allow: list[str], deny: list[str]) -> C
 
 
 def follow_link(url: Column, base_domain: Column, include: list[str], exclude: list[str]) -> Column:
-    """Same domain (or no domain), some include pattern if any are given, and no exclude pattern."""
+    """Same domain (or no domain), some include text in the URL if any are given, and no exclude text."""
     domain = urls.netloc(url)
     same = (domain == "") | (domain == base_domain)
-    included = matches_any(url, include) if include else F.lit(True)
-    return same & included & ~matches_any(url, exclude)
+    holds = lambda parts: reduce(lambda a, b: a | b, [F.contains(url, F.lit(p)) for p in parts], F.lit(False))
+    return same & (holds(include) if include else F.lit(True)) & ~holds(exclude)
 
 
 def url_pattern_verdict(url: Column, whitelist: list[str], blacklist: list[str]) -> Column:

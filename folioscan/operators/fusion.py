@@ -43,11 +43,16 @@ def reciprocal_rank_fusion(
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
-def lexical_boost(fused: DataFrame, lexical: DataFrame) -> DataFrame:
-    """Multiply the fused score by 1 + min(bm25, 10)/10 where the document had a lexical hit."""
-    hits = lexical.select("query_id", "doc_id", F.col("score").alias("bm25_score"))
-    boost = 1 + F.least(F.coalesce(F.col("bm25_score"), F.lit(0.0)), F.lit(10.0)) / 10
-    return fused.join(hits, ["query_id", "doc_id"], "left").withColumn("boosted", F.col("rrf_score") * boost)
+def boosted_fusion(lexical: DataFrame, semantic: DataFrame, limit: int, rrf_k: int = 60) -> DataFrame:
+    """Rank fusion with places from 0 whose lexical part is multiplied by 1 + min(bm25, 10)/10; ranked by the boosted sum."""
+    a = lexical.select("query_id", "doc_id", (F.col("rank") - 1).alias("lexical_rank"), F.col("score").alias("bm25_score"))
+    b = semantic.select("query_id", "doc_id", (F.col("rank") - 1).alias("semantic_rank"))
+    dense = F.coalesce(1 / (F.col("semantic_rank") + rrf_k), F.lit(0.0))
+    sparse = F.coalesce((1 + F.least(F.col("bm25_score"), F.lit(10.0)) / 10) / (F.col("lexical_rank") + rrf_k), F.lit(0.0))
+    scored = a.join(b, ["query_id", "doc_id"], "full").withColumn("boosted", dense + sparse)
+    # equal scores keep the semantic hit first, then the smaller id
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("boosted", 12)), F.asc_nulls_last("semantic_rank"), "doc_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def weighted_sum(lexical: DataFrame, semantic: DataFrame, w_lexical: float, w_semantic: float) -> DataFrame:
@@ -136,13 +141,13 @@ def updated_weights(clicks: DataFrame, since: Column, rate: float = 0.01, newest
     )
 
 
-def pair_rerank(results: DataFrame, scorer=None, head: int = 512) -> DataFrame:
-    """Rank again by a pluggable (query text, first characters of the document) scorer.
+def pair_rerank(results: DataFrame, scorer=None) -> DataFrame:
+    """Rank again by a pluggable (query text, document text) scorer; a scorer may read as much as it wants.
 
     Without a scorer the given order stays, which is also how a missing model degrades.
     """
     if scorer is None:
         return results.withColumn("new_rank", F.col("rank"))
-    scored = results.withColumn("pair_score", scorer(F.col("query_text"), F.substring("text", 1, head)))
+    scored = results.withColumn("pair_score", scorer(F.col("query_text"), F.col("text")))
     order = Window.partitionBy("query_id").orderBy(F.desc("pair_score"), "rank")
     return scored.withColumn("new_rank", F.row_number().over(order))

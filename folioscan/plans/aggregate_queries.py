@@ -80,9 +80,9 @@ def keyword_extraction(spark, d):
 @query("site_stats", "AGG24 AGG25", f"""
 with {X.CHUNKS_SQL} select source as site, count(distinct doc_id) as documents, count(chunk_id) as chunks,
  round(count(chunk_id) / greatest(count(distinct doc_id), 1), 2) as avg_chunks_per_doc
-from documents left join (select document_id, chunk_id from chunks where length(content) >= 100) on document_id = doc_id group by 1""")
+from documents left join (select document_id, chunk_id from chunks) on document_id = doc_id group by 1""")
 def site_stats(spark, d):
-    ch = X.chunks(spark, d).filter(F.length("content") >= 100).groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
+    ch = X.chunks(spark, d).groupBy(F.col("document_id").alias("doc_id")).agg(F.count(F.lit(1)).alias("n"))
     per_doc = load(spark, d, "documents").join(ch, "doc_id", "left")
     chunks = F.coalesce(F.sum("n"), F.lit(0))
     docs = F.count(F.lit(1))

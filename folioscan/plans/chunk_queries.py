@@ -192,7 +192,7 @@ _BLOCKS = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '
 
 
 def _plain(x: str) -> str:
-    return f"replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+    return f"replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace({x}, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 _HTML_SEC = f"""bl as (select page_id, unnest(string_split({_BLOCKS}, chr(1))) p, generate_subscripts(string_split({_BLOCKS}, chr(1)), 1) i from pages),

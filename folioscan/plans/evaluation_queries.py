@@ -195,7 +195,7 @@ def quality_alerts(spark, d):
 
 @query("baseline_vs_candidate", "E14 M9 J21", f"""
 with {X.REQUESTS_SQL}, m as (select endpoint, avg(response_time) filter (ts < timestamp '2024-01-16') b, avg(response_time) filter (ts >= timestamp '2024-01-16') c from requests group by 1)
-select endpoint, round((c - b) / b * 100, 10) as improvement_pct, round(greatest(0.001, 1 - (c - b) / b), 10) as heuristic_p from m""")
+select endpoint, round((c - b) / b * 100, 10) as improvement_pct, round(greatest(0.001, 1 - abs(c - b) / greatest(b, 0.001)), 10) as heuristic_p from m""")
 def baseline_vs_candidate(spark, d):
     mid = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
     r, t = X.requests(spark, d), F.col("response_time")

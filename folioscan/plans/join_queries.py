@@ -106,9 +106,9 @@ def jaccard_join(spark, d):
 
 
 @query("doc_info_scalar_subquery", "J18 R14 Z1", f"""
-with {X.CHUNKS_SQL} select doc_id, source, sha256(text) as hash, (select count(*) from chunks where document_id = doc_id and length(content) >= 100) as chunk_count from documents""")
+with {X.CHUNKS_SQL} select doc_id, source, sha256(text) as hash, (select count(*) from chunks where document_id = doc_id) as chunk_count from documents""")
 def doc_info_scalar_subquery(spark, d):
-    ch = X.chunks(spark, d).filter(F.length("content") >= 100)
+    ch = X.chunks(spark, d)
     counted = ch.where(F.col("document_id") == F.col("this_doc").outer()).select(F.count(F.lit(1)))
     docs = load(spark, d, "documents").withColumnRenamed("doc_id", "this_doc")
     return docs.select(F.col("this_doc").alias("doc_id"), "source", ids.content_hash(F.col("text")).alias("hash"), counted.scalar().alias("chunk_count"))

@@ -66,7 +66,7 @@ def lineage_reprocessing_stats(spark, d):
     return lineage.reprocessing_stats(X.document_state(spark, d), X.chunks(spark, d), *TARGET)
 
 
-_ISSUES = f"""{X.CHUNKS_SQL}, {X.STATE_SQL}, big as (select * from chunks where length(content) >= 100),
+_ISSUES = f"""{X.CHUNKS_SQL}, {X.STATE_SQL}, big as (select * from chunks),
 i as (select 'documents_without_chunks' issue, count(*) n from doc_state where doc_id not in (select document_id from big)
  union all select 'chunks_without_embeddings', count(*) from big where not has_embedding
  union all select 'chunks_missing_lineage', count(*) from big where embedding_model is null or chunker_version is null or processing_timestamp is null
@@ -74,7 +74,7 @@ i as (select 'documents_without_chunks' issue, count(*) n from doc_state where d
 
 
 def _issues(spark, d):
-    chunks = X.chunks(spark, d).filter(F.length("content") >= 100)
+    chunks = X.chunks(spark, d)
     return lineage.consistency_issues(X.document_state(spark, d), chunks)
 
 

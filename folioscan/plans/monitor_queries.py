@@ -108,15 +108,17 @@ def histogram_quantile(spark, d):
 
 @query("counter_increase", "AGG30", """
 with h as (select date_trunc('hour', ts) hr, count(*) n from events group by 1), c as (select hr, sum(n) over (order by hr) total from h)
-select strftime(hr, '%Y-%m-%d %H') as hour, total::bigint as total, (total - lag(total, 10) over (order by hr))::bigint as increase_6 from c""")
+select strftime(hr, '%Y-%m-%d %H') as hour, total::bigint as total,
+ (select sum(n) from h where h.hr > c.hr - interval 6 hour and h.hr <= c.hr)::bigint as increase_6 from c""")
 def counter_increase(spark, d):
-    """Running event counter per hour and its increase over the six hours before."""
+    """Running event counter per hour and its increase over the last six hours, also where hours have no event."""
     from pyspark.sql import Window
 
     hours = load(spark, d, "events").groupBy(F.date_trunc("hour", "ts").alias("hr")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.orderBy("hr")  # one row per hour
+    last = Window.orderBy(F.unix_seconds(F.col("hr").cast("timestamp"))).rangeBetween(-5 * 3600, 0)
     total = hours.withColumn("total", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return total.select(F.date_format("hr", "yyyy-MM-dd HH").alias("hour"), "total", (F.col("total") - F.lag("total", 10).over(order)).alias("increase_6"))
+    return total.select(F.date_format("hr", "yyyy-MM-dd HH").alias("hour"), "total", F.sum("n").over(last).alias("increase_6"))
 
 
 @query("rate_limit_breaches", "P9 S4 Z25", """

@@ -169,16 +169,13 @@ def hybrid_rrf(spark, d):
 
 @query("hybrid_rrf_boosted", "R8 W3", f"""
 with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 50, 'lex')}, {SEM_SQL}, {S.ranked('sim', 'similarity', 50, 'sem')},
-f as (select query_id, doc_id, l.rk - 1 lr, s.rk - 1 sr, l.score, coalesce(1.0 / (59 + l.rk), 0) + coalesce(1.0 / (59 + s.rk), 0) sc
+f as (select query_id, doc_id, l.rk - 1 lr, s.rk - 1 sr, coalesce(1.0 / (59 + s.rk), 0) + coalesce((1 + least(l.score, 10) / 10) / (59 + l.rk), 0) sc
   from lex l full join sem s using (query_id, doc_id)),
 r as (select *, row_number() over (partition by query_id order by round(sc, 12) desc, sr nulls last, doc_id) rk from f)
-select query_id, doc_id, round(sc, 8) as rrf_score, round(sc * (1 + least(coalesce(score, 0), 10) / 10), 8) as boosted, rk as rank from r where rk <= 24""")
+select query_id, doc_id, round(sc, 8) as boosted, rk as rank from r where rk <= 24""")
 def hybrid_rrf_boosted(spark, d):
-    lex = lexical_hits(spark, d, 50)
-    fused = fusion.reciprocal_rank_fusion(lex, semantic_hits(spark, d, 50, None), 24, first_rank=0)
-    return fusion.lexical_boost(fused, lex).select(
-        "query_id", "doc_id", F.round("rrf_score", 8).alias("rrf_score"), F.round("boosted", 8).alias("boosted"), "rank"
-    )
+    fused = fusion.boosted_fusion(lexical_hits(spark, d, 50), semantic_hits(spark, d, 50, None), 24)
+    return fused.select("query_id", "doc_id", F.round("boosted", 8).alias("boosted"), "rank")
 
 
 @query("weighted_fusion", "R9", f"""
@@ -257,5 +254,5 @@ def stem_vocabulary(spark, d):
     """Porter stems of the corpus vocabulary with their document counts."""
     docs = lexical.tokenised(load_spread(spark, d, "documents", "doc_id"), "doc_id", F.col("text"))
     words = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
-    stems = stem_terms(words.filter(F.col("term").rlike("^[a-z]+$")))
+    stems = stem_terms(words)
     return stems.groupBy("stem").agg(F.count(F.lit(1)).alias("terms"), F.sum("docs").alias("uses"))

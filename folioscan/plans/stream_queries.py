@@ -16,30 +16,36 @@ def _stamp(c: str, fmt: str = MINUTE):
     return F.date_format(c, fmt).alias(c)
 
 
+def both(spark, d, end, late, shape):
+    """The stream, and the part of a finished table that it holds back."""
+    events = jobs.event_table(spark, d, "events")
+    return shape(jobs.stream_table(spark, d, "events")), jobs.tail(shape(events), events, end, late)
+
+
 @query("stream_tumbling_by_type", "S2 S1 AGG17 S10", """
 with w as (select time_bucket(interval 1 hour, ts) s, event_type, count(*) n, sum(value) total from events group by 1, 2)
-select strftime(s, '%Y-%m-%d %H:%M') as window_start, event_type, n, round(total, 6) as total from w where s + interval 1 hour <= (select max(ts) from events) - interval 2 hour""")
+select strftime(s, '%Y-%m-%d %H:%M') as window_start, event_type, n, round(total, 6) as total from w""")
 def stream_tumbling_by_type(spark, d):
-    w = jobs.windows(jobs.stream_table(spark, d, "events"), ["event_type"], "1 hour", None, "2 hours")
-    return jobs.drain(w, "tumbling").select(_stamp("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
+    w, rest = both(spark, d, "window_end", "2 hours", lambda e: jobs.windows(e, ["event_type"], "1 hour", None, "2 hours"))
+    return jobs.drain(w, "tumbling", rest).select(_stamp("window_start"), "event_type", "n", F.round("total", 6).alias("total"))
 
 
 @query("stream_sliding_metrics", "S1 Z20", """
 with w as (select unnest(range(time_bucket(interval 5 minute, ts) - interval 10 minute, time_bucket(interval 5 minute, ts) + interval 1 minute, interval 5 minute)) s, value from events)
-select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n, round(avg(value), 6) as mean from w where s + interval 15 minute <= (select max(ts) from events) - interval 24 hour group by 1""")
+select strftime(s, '%Y-%m-%d %H:%M') as window_start, count(*) as n, round(avg(value), 6) as mean from w group by 1""")
 def stream_sliding_metrics(spark, d):
-    w = jobs.windows(jobs.stream_table(spark, d, "events"), [], "15 minutes", "5 minutes", "24 hours")
-    return jobs.drain(w, "sliding").select(_stamp("window_start"), "n", F.round("mean", 6).alias("mean"))
+    w, rest = both(spark, d, "window_end", "24 hours", lambda e: jobs.windows(e, [], "15 minutes", "5 minutes", "24 hours"))
+    return jobs.drain(w, "sliding", rest).select(_stamp("window_start"), "n", F.round("mean", 6).alias("mean"))
 
 
 @query("stream_sessions", "S3", """
 with o as (select *, lag(ts) over (partition by user_id order by ts, event_id) p from events),
 s as (select *, sum(case when p is null or ts >= p + interval 30 minute then 1 else 0 end) over (partition by user_id order by ts, event_id) sid from o),
 g as (select user_id, min(ts) a, max(ts) + interval 30 minute b, sum((event_type = 'view')::int)::bigint q, sum((event_type = 'click')::int)::bigint c from s group by user_id, sid)
-select user_id, strftime(a, '%Y-%m-%d %H:%M') as start_time, strftime(b, '%Y-%m-%d %H:%M') as end_time, q as query_count, c as click_count from g where b <= (select max(ts) from events) - interval 1 hour""")
+select user_id, strftime(a, '%Y-%m-%d %H:%M') as start_time, strftime(b, '%Y-%m-%d %H:%M') as end_time, q as query_count, c as click_count from g""")
 def stream_sessions(spark, d):
-    s = jobs.sessions(jobs.stream_table(spark, d, "events"), "30 minutes", "1 hour")
-    return jobs.drain(s, "sessions").select("user_id", _stamp("start_time"), _stamp("end_time"), "query_count", "click_count")
+    s, rest = both(spark, d, "end_time", "1 hour", lambda e: jobs.sessions(e, "30 minutes", "1 hour"))
+    return jobs.drain(s, "sessions", rest).select("user_id", _stamp("start_time"), _stamp("end_time"), "query_count", "click_count")
 
 
 @query("stream_dedup", "S6 SO1", "select event_id, event_type, value from events")
@@ -52,12 +58,16 @@ def stream_dedup(spark, d):
 @query("stream_alerts", "S9 S4", """
 with w as (select time_bucket(interval 1 hour, ts) s, event_type, count(*) n, avg(value) m from events group by 1, 2)
 select strftime(s, '%Y-%m-%d %H:%M') as window_start, event_type, n, case when event_type = 'error' and n > 3 then 'many_errors' else 'slow' end as alert from w
-where s + interval 1 hour <= (select max(ts) from events) - interval 2 hour and ((event_type = 'error' and n > 3) or m > 75)""")
+where (event_type = 'error' and n > 3) or m > 75""")
 def stream_alerts(spark, d):
-    w = jobs.windows(jobs.stream_table(spark, d, "events"), ["event_type"], "1 hour", None, "2 hours")
     errors = (F.col("event_type") == "error") & (F.col("n") > 3)
-    hit = w.filter(errors | (F.col("mean") > 75)).withColumn("alert", F.when(errors, "many_errors").otherwise("slow"))
-    return jobs.drain(hit, "alerts").select(_stamp("window_start"), "event_type", "n", "alert")
+
+    def hits(e):
+        w = jobs.windows(e, ["event_type"], "1 hour", None, "2 hours")
+        return w.filter(errors | (F.col("mean") > 75)).withColumn("alert", F.when(errors, "many_errors").otherwise("slow"))
+
+    w, rest = both(spark, d, "window_end", "2 hours", hits)
+    return jobs.drain(w, "alerts", rest).select(_stamp("window_start"), "event_type", "n", "alert")
 
 
 @query("stream_change_feed", "S6 SNK3", f"""

@@ -74,10 +74,10 @@ def preview_text(spark, d):
 
 
 @query("glob_allow_deny", "PF15", """
-select page_id, url, regexp_matches(p, '^/(en|fr)/.*$') and not regexp_matches(p, '^.*/7.*$') as allowed
-from (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) p from pages) where url like 'https://%'""")
+select page_id, url, starts_with(url, 'https://') and regexp_matches(p, '^/(en|fr)/.*$') and not regexp_matches(p, '^.*/7.*$') as allowed
+from (select page_id, url, regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) p from pages)""")
 def glob_allow_deny(spark, d):
-    p = load(spark, d, "pages").filter(F.col("url").startswith("https://"))
+    p = load(spark, d, "pages")
     return p.select("page_id", "url", filters.within_rules(F.col("url"), "https://", ["/en/**", "/fr/*"], ["*/7**"]).alias("allowed"))
 
 

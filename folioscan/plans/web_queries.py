@@ -24,11 +24,11 @@ def extract_links(spark, d):
 
 @query("link_graph_edges", "U3 PF16 AGG25", f"""
 with {LINKS_SQL} select regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) as host, count(*) as links, count(distinct link) as targets,
- sum(case when regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) and not regexp_matches(link, '(the|und)') then 1 else 0 end)::bigint as followed
+ sum(case when regexp_extract(link, '^[a-z]+://([^/?#]*)', 1) = regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) and not contains(link, 'the') and not contains(link, 'und') then 1 else 0 end)::bigint as followed
 from links group by 1""")
 def link_graph_edges(spark, d):
     e = links.page_links(load_spread(spark, d, "pages", "page_id")).withColumn("host", urls.netloc(F.col("url")))
-    follow = filters.follow_link(F.col("link"), F.col("host"), [], ["(the|und)"])
+    follow = filters.follow_link(F.col("link"), F.col("host"), [], ["the", "und"])
     return e.groupBy("host").agg(
         F.count(F.lit(1)).alias("links"), F.countDistinct("link").alias("targets"), F.count_if(follow).alias("followed")
     )
@@ -59,7 +59,7 @@ _PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>
 
 
 def _unescape(x: str) -> str:
-    return f"replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
+    return f"replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
 
 
 _TEXT = _unescape(f"regexp_replace({_PLAIN}, '<[^>]*>', '', 'g')")

@@ -12,13 +12,27 @@ from folioscan.session import load, scratch_path
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table's parquet files as a stream; time-zone-free stamps become event-time stamps."""
     schema = load(spark, sf_dir, name).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    # a pattern of one name: it finds the table as a folder of part files as well as as a single file
+    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
     stamps = {f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"}
     return raw.withColumns(stamps) if stamps else raw
 
 
-def drain(rows: DataFrame, label: str) -> DataFrame:
-    """Run an append-mode stream over everything available and return what it wrote.
+def tail(rows: DataFrame, events: DataFrame, end: str, late: str) -> DataFrame:
+    """Rows of a finished table that its stream holds back: those that end after the last watermark."""
+    last = F.date_trunc("millisecond", F.max("ts")) - F.expr(f"interval {late}")
+    return rows.filter(F.col(end) > events.agg(last.alias("t")).scalar())
+
+
+def event_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The same table in one piece, with event-time stamps like the stream's."""
+    table = load(spark, sf_dir, name)
+    stamps = {f.name: F.col(f.name).cast("timestamp") for f in table.schema if f.dataType.typeName() == "timestamp_ntz"}
+    return table.withColumns(stamps) if stamps else table
+
+
+def drain(rows: DataFrame, label: str, rest: DataFrame | None = None) -> DataFrame:
+    """Run an append-mode stream over everything available and return what it wrote, with `rest` after its end.
 
     Output and progress live in the shared folder, so a restarted query continues from its checkpoint.
     """
@@ -29,7 +43,8 @@ def drain(rows: DataFrame, label: str) -> DataFrame:
         .option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start()
     )
     job.awaitTermination()
-    return spark.read.schema(rows.schema).parquet(out)
+    written = spark.read.schema(rows.schema).parquet(out)
+    return written if rest is None else written.unionByName(rest)
 
 
 def drain_complete(rows: DataFrame, label: str) -> DataFrame:
