@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscan.functions.ids import content_hash
 from folioscan.operators.lineage import chunk_facts
@@ -100,26 +96,30 @@ def section_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.DoubleType())
-def match_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Share of matching characters of two texts (1 for two empty texts, 0 for one)."""
+def word_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and similarity of old_content and new_content: twice the common words over all words, counted as multisets.
+
+    1 for two texts without words. Words are counted per section by ordinary aggregation, so a long section is no
+    single task's work and nothing depends on its length.
+    """
 
-    def one(x: str, y: str) -> float:
-        if not x or not y:
-            return float(not x and not y)
-        return difflib.SequenceMatcher(None, x, y).ratio()
+    def words(side: str, old: int) -> DataFrame:
+        parts = F.filter(F.split(F.coalesce(F.col(side), F.lit("")), r"\s+"), lambda w: w != "")
+        return pairs.select(*keys, F.explode(parts).alias("_w"), F.lit(old).alias("_a"), F.lit(1 - old).alias("_b"))
 
-    return pd.Series([one(x or "", y or "") for x, y in zip(a, b)], dtype="float64")
+    each = words("old_content", 1).unionByName(words("new_content", 0)).groupBy(*keys, "_w").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
+    shared = each.groupBy(*keys).agg((2 * F.sum(F.least("_a", "_b")) / F.sum(F.col("_a") + F.col("_b"))).alias("similarity"))
+    return pairs.select(*keys).join(shared, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
 
 
-def reprocess_plan(diff: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Adds similarity and the decision; only modified sections cross to Python."""
-    modified = diff.filter("action = 'modified'").withColumn("similarity", match_ratio(F.col("old_content"), F.col("new_content")))
-    rest = diff.filter("action <> 'modified'").withColumn(
-        "similarity", F.when(F.col("action") == "unchanged", 1.0).otherwise(0.0)
-    )
+def reprocess_plan(diff: DataFrame, key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
+    """Adds similarity and the decision."""
+    keys = [key, "section_id"]
+    alike = word_similarity(diff.filter("action = 'modified'"), keys)
+    known = F.when(F.col("action") == "unchanged", 1.0).when(F.col("action") == "modified", F.col("similarity")).otherwise(0.0)
+    plan = diff.join(alike, keys, "left").withColumn("similarity", known)
     again = F.col("action").isin("added", "deleted") | ((F.col("action") == "modified") & (F.col("similarity") < threshold))
-    return modified.unionByName(rest).withColumn("reprocess", again)
+    return plan.withColumn("reprocess", again)
 
 
 def diff_stats(plan: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,11 +93,14 @@ def spread(results: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFra
 
 
 def consistency(results: DataFrame) -> DataFrame:
-    """Mean pairwise Jaccard of the document sets of a query's runs, for results(query, run, doc_id).
+    """One row: the mean over repeated queries of the mean pairwise Jaccard of their runs' document sets.
 
-    Runs with the same set are folded into one row with a weight, so copies cost nothing; runs without a
-    common document contribute 0 and are only counted. What remains meets on (query, doc_id).
+    `results` has query, run, doc_id and success; failed runs don't count, queries are folded to lower case without
+    outer blanks, and with at most one query, or none that was run twice, the value is 1. Runs of one set are folded into one row with a
+    weight, so copies cost nothing; runs without a common document contribute 0 and are only counted. What remains
+    meets on (query, doc_id).
     """
+    results = results.filter("success").withColumn("query", F.lower(F.trim("query")))
     sets = results.groupBy("query", "run").agg(F.array_sort(F.collect_set("doc_id")).alias("docs"))  # one result list
     kinds = sets.groupBy("query", "docs").agg(F.count(F.lit(1)).alias("m"))
     kinds = kinds.withColumn("sig", F.sha2(F.array_join(F.transform("docs", lambda x: x.cast("string")), ","), 256))
@@ -113,9 +116,9 @@ def consistency(results: DataFrame) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("common"))
     mixed = shared.groupBy("query").agg(F.sum(F.col("weight") * F.col("common") / (F.col("both") - F.col("common"))).alias("mixed"))
     pairs = F.col("runs") * (F.col("runs") - 1) / 2
-    return total.filter("runs > 1").join(mixed, "query", "left").select(
-        "query", ((F.col("same") + F.coalesce("mixed", F.lit(0.0))) / pairs).alias("consistency")
-    )
+    mean = (F.col("same") + F.coalesce("mixed", F.lit(0.0))) / pairs
+    each = total.join(mixed, "query", "left").select(F.when(F.col("runs") > 1, mean).alias("c"))
+    return each.agg(F.when(F.count(F.lit(1)) > 1, F.coalesce(F.avg("c"), F.lit(1.0))).otherwise(1.0).alias("consistency"))
 
 
 def coherence(results: DataFrame) -> DataFrame:

@@ -112,7 +112,7 @@ def _sections_sql(table: str, size: str) -> str:
         ("'Size'", f"chr(10) || {size} || ' characters' || chr(10) || chr(10)"),
     ]
     return " union all ".join(
-        f"select doc_id, {_ID(h, raw)} id, sha256({raw}) hash from {table} where {S.strip(raw)} <> ''" for h, raw in parts
+        f"select doc_id, {_ID(h, raw)} id, sha256({raw}) hash, {raw} raw from {table} where {S.strip(raw)} <> ''" for h, raw in parts
     )
 
 
@@ -124,13 +124,26 @@ def section_diff(spark, d):
     return _section_diff(spark, d).select("doc_id", "section_id", "action")
 
 
-@query("incremental_plan", "I7 I8 ST14 Z6", None)
+_PLAN_SQL = f"""{X.V2_SQL}, o as ({_sections_sql('documents', 'n_chars')}), n as ({_sections_sql('documents_v2', 'length(text)')}),
+diff as (select doc_id, id, case when o.hash is null then 'added' when n.hash is null then 'deleted' when o.hash <> n.hash then 'modified' else 'unchanged' end as action,
+  o.raw as old_raw, n.raw as new_raw from o full join n using (doc_id, id)),
+wa as (select doc_id, id, w, count(*) c from (select doc_id, id, unnest(regexp_extract_all(old_raw, '\\S+')) w from diff where action = 'modified') group by 1, 2, 3),
+wb as (select doc_id, id, w, count(*) c from (select doc_id, id, unnest(regexp_extract_all(new_raw, '\\S+')) w from diff where action = 'modified') group by 1, 2, 3),
+alike as (select doc_id, id, 2 * sum(least(coalesce(wa.c, 0), coalesce(wb.c, 0))) / sum(coalesce(wa.c, 0) + coalesce(wb.c, 0)) as similarity from wa full join wb using (doc_id, id, w) group by 1, 2),
+plan as (select doc_id, id as section_id, action, case action when 'unchanged' then 1.0 when 'modified' then coalesce(similarity, 1.0) else 0.0 end as similarity,
+  action in ('added', 'deleted') or (action = 'modified' and coalesce(similarity, 1.0) < 0.8) as reprocess from diff left join alike using (doc_id, id))"""
+
+
+@query("incremental_plan", "I7 I8 ST14 Z6", f"""
+with {_PLAN_SQL} select doc_id, section_id, action, round(similarity::double, 6) as similarity, reprocess from plan where action <> 'unchanged'""")
 def incremental_plan(spark, d):
     plan = changes.reprocess_plan(_section_diff(spark, d))
     return plan.filter("action <> 'unchanged'").select("doc_id", "section_id", "action", F.round("similarity", 6).alias("similarity"), "reprocess")
 
 
-@query("diff_statistics", "I8 AGG23", None)
+@query("diff_statistics", "I8 AGG23", f"""
+with {_PLAN_SQL} select doc_id, count_if(action = 'added')::bigint as added, count_if(action = 'modified')::bigint as modified, count_if(action = 'deleted')::bigint as deleted,
+ count_if(action = 'unchanged')::bigint as unchanged, round(count_if(reprocess) / greatest(count_if(action <> 'deleted'), 1) * 100, 6)::double as reprocess_pct from plan group by 1""")
 def diff_statistics(spark, d):
     plan = changes.reprocess_plan(_section_diff(spark, d))
     return changes.diff_stats(plan, ["doc_id"])

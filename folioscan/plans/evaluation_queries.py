@@ -90,15 +90,16 @@ def diversity_and_coverage(spark, d):
 
 
 @query("result_consistency", "E10 J13", f"""
-with {X.CLICKS_SQL}, s as (select distinct query, session_id run, chunk_id doc_id from clicks),
+with {X.CLICKS_SQL}, s as (select distinct lower(trim(query)) query, session_id run, chunk_id doc_id from clicks),
 z as (select query, run, count(*) n from s group by 1, 2),
 p as (select a.query, a.run i, b.run j, a.n ni, b.n nj from z a join z b on a.query = b.query and a.run < b.run),
-c as (select x.query, x.run i, y.run j, count(*) common from s x join s y on x.query = y.query and x.doc_id = y.doc_id and x.run < y.run group by 1, 2, 3)
-select query, round(avg(coalesce(common, 0) / (ni + nj - coalesce(common, 0))), 6) as consistency from p left join c using (query, i, j) group by 1""")
+c as (select x.query, x.run i, y.run j, count(*) common from s x join s y on x.query = y.query and x.doc_id = y.doc_id and x.run < y.run group by 1, 2, 3),
+v as (select query, avg(coalesce(common, 0) / (ni + nj - coalesce(common, 0))) as m from p left join c using (query, i, j) group by 1)
+select round(case when (select count(distinct query) from s) > 1 then coalesce(avg(m), 1.0) else 1.0 end, 6) as consistency from v""")
 def result_consistency(spark, d):
-    """Clicked chunks of every session that issued the same query."""
-    c = X.clicks(spark, d).select("query", F.col("session_id").alias("run"), F.col("chunk_id").alias("doc_id"))
-    return E.consistency(c).select("query", F.round("consistency", 6).alias("consistency"))
+    """Clicked chunks of every session that issued the same query, as one number."""
+    c = X.clicks(spark, d).select("query", F.col("session_id").alias("run"), F.col("chunk_id").alias("doc_id"), F.lit(True).alias("success"))
+    return E.consistency(c).select(F.round("consistency", 6).alias("consistency"))
 
 
 @query("response_time_metrics", "E11 AGG16", f"""

@@ -32,12 +32,15 @@ def test_modes_without_hits_count(spark):
 
 def test_consistency_matches_all_pairs(spark):
     runs = {("q", r): {r % 3, 7} if r < 12 else {r} for r in range(18)}
-    rows = [(q, r, doc) for (q, r), docs in runs.items() for doc in docs]
-    got = E.consistency(spark.createDataFrame(rows, "query string, run int, doc_id int")).first().consistency
+    rows = [(q if r % 2 else " Q ", r, doc, True) for (q, r), docs in runs.items() for doc in docs]
+    spec = "query string, run int, doc_id int, success boolean"
+    other = [("once", 1, 5, True), ("q", 99, 5, False), ("twice", 1, 1, True), ("twice", 2, 2, True)]
+    assert E.consistency(spark.createDataFrame(rows, spec)).first().consistency == 1.0  # one query only
+    got = E.consistency(spark.createDataFrame(rows + other, spec)).first().consistency
     sets = list(runs.values())
     pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
     want = sum(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for i, j in pairs) / len(pairs)
-    assert got == pytest.approx(want)
+    assert got == pytest.approx((want + 0) / 2)
 
 
 def test_coherence_of_single_score(spark):
