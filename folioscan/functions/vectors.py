@@ -79,6 +79,11 @@ def hashing_embedder(dims: int = 64):
 EMBEDDERS = {"hashing-64": lambda: hashing_embedder(64), "hashing-384": lambda: hashing_embedder(384)}
 
 
+def register_embedder(name: str, make) -> None:
+    """Make an embedding model known under a name; `make()` returns a function from a text column to a vector column."""
+    EMBEDDERS[name] = make
+
+
 def embedder(name: str = "hashing-64"):
     if name not in EMBEDDERS:
         raise ValueError(f"unknown embedding model {name!r}; known: {sorted(EMBEDDERS)}")

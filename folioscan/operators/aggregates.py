@@ -38,15 +38,18 @@ def top_terms(docs: DataFrame, key: str, words: str, k: int) -> DataFrame:
 
 
 def dataset_statistics(qrels: DataFrame) -> DataFrame:
-    pairs = qrels.groupBy("query_type", "query").agg(F.count(F.lit(1)).alias("relevant"))
+    """Per query type: pairs, relevant documents per query, distinct relevant documents, and pairs per difficulty."""
+    pairs = qrels.groupBy("query_type", "query").agg(F.count(F.lit(1)).alias("relevant"), F.max("difficulty").alias("difficulty"))
+    documents = qrels.groupBy("query_type").agg(F.countDistinct("doc_id").alias("unique_relevant_docs"))
     return pairs.groupBy("query_type").agg(
+        *[F.count_if(F.col("difficulty") == x).alias(x) for x in ("easy", "medium", "hard")],
         F.count(F.lit(1)).alias("total_pairs"),
         F.countDistinct("query").alias("unique_queries"),
         F.min("relevant").alias("min_relevant"),
         F.max("relevant").alias("max_relevant"),
         F.round(F.avg("relevant"), 6).alias("avg_relevant"),
         F.sum("relevant").alias("total_relevant"),
-    )
+    ).join(documents, "query_type")
 
 
 def hash_split(df: DataFrame, key: str, train: float, seed: int) -> DataFrame:

@@ -101,3 +101,60 @@ def sessions(rows: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return rows.groupBy(F.session_window("ts", gap), "user_id").agg(
         F.count_if(F.col("event_type") == "view").alias("query_count"), F.count_if(F.col("event_type") == "click").alias("click_count")
     ).select("user_id", F.col("session_window.start").alias("start_time"), F.col("session_window.end").alias("end_time"), "query_count", "click_count")
+
+
+# fixed values: name, allowed requests, window
+RATE_LIMITS = (("strict", 10, "1 minute"), ("moderate", 100, "1 minute"), ("generous", 300, "1 minute"), ("burst", 1000, "1 hour"))
+
+
+def rate_limit_report(rows: DataFrame, key: str) -> DataFrame:
+    """Per limit: allowed requests, the fullest window of any key, and how many windows broke it."""
+    out = None
+    for width in dict.fromkeys(w for _, _, w in RATE_LIMITS):
+        n = rows.groupBy(key, F.window("ts", width)).agg(F.count(F.lit(1)).alias("n"))
+        limits = [(name, allowed) for name, allowed, w in RATE_LIMITS if w == width]
+        counted = n.agg(F.coalesce(F.max("n"), F.lit(0)).alias("peak"), *[F.count_if(F.col("n") > a).alias(name) for name, a in limits])
+        each = counted.select(F.inline(F.array(*[
+            F.struct(F.lit(name).alias("name"), F.lit(a).alias("allowed"), F.lit(width).alias("width"), F.col("peak"), F.col(name).alias("breaches")) for name, a in limits
+        ])))
+        out = each if out is None else out.unionByName(each)
+    return out
+
+
+STEP_MINUTES = 5
+# fixed values: alert, severity, minutes that the condition must have held
+ALERT_RULES = (("p95_high", "warning", 10), ("no_traffic", "info", 15), ("stalled", "warning", 30), ("error_spike", "critical", 10))
+P95_LIMIT, ERROR_LIMIT = 0.75, 10
+
+
+def alert_steps(requests: DataFrame, quantile: DataFrame) -> DataFrame:
+    """One row per step of STEP_MINUTES from the first request to the last, with every rule's condition.
+
+    requests(ts, kind: 'page', 'error' or 'crawl'); quantile(step, quantile) is the step's 95th percentile. Steps without
+    a request are made from the time range, so absence can be seen. There is one row per step, however many requests.
+    """
+    stamp = F.window("ts", f"{STEP_MINUTES} minutes")["start"]
+    kinds = ("page", "error", "crawl")
+    seen = requests.groupBy(stamp.alias("step")).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in kinds])
+    span = seen.agg(F.min("step").alias("a"), F.max("step").alias("b"))
+    grid = span.select(F.explode(F.sequence("a", "b", F.expr(f"interval {STEP_MINUTES} minutes"))).alias("step"))
+    full = grid.join(seen, "step", "left").join(quantile, "step", "left").fillna(0, ["n", *kinds])
+    order = Window.orderBy("step")
+    last = lambda c, minutes: F.sum(c).over(order.rowsBetween(1 - minutes // STEP_MINUTES, 0))
+    return full.select(
+        "step", (F.coalesce("quantile", F.lit(0.0)) > P95_LIMIT).alias("p95_high"), (last("n", 15) == 0).alias("no_traffic"),
+        ((last("crawl", 30) > 0) & (last("page", 30) == 0)).alias("stalled"), (last("error", 10) > ERROR_LIMIT).alias("error_spike"),
+    )
+
+
+def firing(steps: DataFrame) -> DataFrame:
+    """Per rule: alert, severity, steps at which it fires, and the first of them."""
+    order = Window.orderBy("step")
+    out = None
+    for name, severity, minutes in ALERT_RULES:
+        breaks = steps.select("step", name, F.sum((~F.col(name)).cast("int")).over(order).alias("run"))
+        held = F.sum(F.col(name).cast("int")).over(Window.partitionBy("run").orderBy("step"))
+        on = breaks.withColumn("held", held).filter(F.col(name) & (F.col("held") > minutes // STEP_MINUTES))
+        one = on.agg(F.count(F.lit(1)).alias("firing"), F.min("step").alias("first")).select(F.lit(name).alias("alert"), F.lit(severity).alias("severity"), "firing", "first")
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from folioscan.session import BROADCAST_LIMIT_BYTES
 
 SCORE_DIGITS = 6
+QUERY_TILE, ROW_TILE = 1024, 4096
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray, dims: int | None) -> np.ndarray:
@@ -52,15 +53,24 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float | None) -> n
 
 
 def _score_block(q_ids, q_unit, c_ids, c_unit, k, floor) -> pd.DataFrame:
-    scores = np.round(q_unit @ c_unit.T, SCORE_DIGITS) + 0.0
-    picked = [_best(scores[i], c_ids, k, floor) for i in range(len(q_ids))]
-    return pd.DataFrame(
-        {
-            "query_id": np.repeat(q_ids, [len(p) for p in picked]),
-            "chunk_id": np.concatenate([c_ids[p] for p in picked]) if picked else [],
-            "similarity": np.concatenate([scores[i][p] for i, p in enumerate(picked)]) if picked else [],
-        }
-    )
+    """Best k of the rows per query, multiplied tile by tile: memory depends on the tiles, not on the number of queries."""
+    out = [], [], []
+    for a in range(0, len(q_ids), QUERY_TILE):
+        tile = q_unit[a : a + QUERY_TILE]
+        best = [(np.empty(0, np.int64), np.empty(0))] * len(tile)
+        for b in range(0, len(c_ids), ROW_TILE):
+            scores = np.round(tile @ c_unit[b : b + ROW_TILE].T, SCORE_DIGITS) + 0.0
+            for i, (held, value) in enumerate(best):
+                new = _best(scores[i], c_ids[b : b + ROW_TILE], k, floor)
+                held, value = np.concatenate([held, new + b]), np.concatenate([value, scores[i][new]])
+                top = _best(value, c_ids[held], k, None) if len(held) > k else slice(None)
+                best[i] = held[top], value[top]
+        for i, (held, value) in enumerate(best):
+            out[0].append(np.repeat(q_ids[a + i : a + i + 1], len(held)))
+            out[1].append(c_ids[held])
+            out[2].append(value)
+    names = ("query_id", "chunk_id", "similarity")
+    return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in zip(names, out)})
 
 
 def _rank(candidates: DataFrame, k: int) -> DataFrame:
@@ -173,3 +183,9 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     means = cells.groupBy(key, "dim").agg(F.avg(F.col("x").cast("double")).alias("x"))
     ordered = F.array_sort(F.collect_list(F.struct("dim", "x")))  # as many entries as dimensions
     return means.groupBy(key).agg(F.transform(ordered, lambda s: s["x"]).alias("vector"))
+
+
+def list_count(rows: DataFrame) -> DataFrame:
+    """One row (n, lists): how many cells an inverted vector index of these rows should have, about the root of their number."""
+    root = F.floor(F.sqrt(F.col("n"))).cast("long")
+    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("lists", F.greatest(F.lit(10), F.least(F.lit(1000), root)).cast("long"))

@@ -92,13 +92,17 @@ def site_stats(spark, d):
 
 
 @query("dataset_statistics", "AGG21 PF20 SRC12", """
-with p as (select e.label query, case when label < 5 then 'specific' else 'general' end query_type, count(*) relevant from embeddings e group by 1, 2)
-select query_type, count(*) as total_pairs, count(distinct query) as unique_queries, min(relevant) as min_relevant, max(relevant) as max_relevant,
- round(avg(relevant), 6) as avg_relevant, sum(relevant)::bigint as total_relevant from p group by 1""")
+with p as (select e.label query, case when label < 5 then 'specific' else 'general' end query_type, count(*) relevant,
+  any_value(case label % 3 when 0 then 'easy' when 1 then 'medium' else 'hard' end) difficulty from embeddings e group by 1, 2),
+u as (select case when label < 5 then 'specific' else 'general' end query_type, count(distinct vec_id) n from embeddings group by 1)
+select query_type, any_value(u.n) as unique_relevant_docs, count_if(difficulty = 'easy')::bigint as easy, count_if(difficulty = 'medium')::bigint as medium,
+ count_if(difficulty = 'hard')::bigint as hard, count(*) as total_pairs, count(distinct query) as unique_queries, min(relevant) as min_relevant, max(relevant) as max_relevant,
+ round(avg(relevant), 6) as avg_relevant, sum(relevant)::bigint as total_relevant from p join u using (query_type) group by 1""")
 def dataset_statistics(spark, d):
     """Query-relevance pairs: a label's vectors are the relevant documents of the query 'label'."""
     qrels = load(spark, d, "embeddings").select(
-        F.col("label").alias("query"), F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, "specific").otherwise("general").alias("query_type")
+        F.col("label").alias("query"), F.col("vec_id").alias("doc_id"), F.when(F.col("label") < 5, "specific").otherwise("general").alias("query_type"),
+        F.when(F.col("label") % 3 == 0, "easy").when(F.col("label") % 3 == 1, "medium").otherwise("hard").alias("difficulty"),
     )
     return aggregates.dataset_statistics(qrels)
 

@@ -170,3 +170,37 @@ def component_health(spark, d):
         F.when(F.bool_or(F.col("e") > 0.5), "degraded").otherwise("healthy").alias("status"),
         F.count_if(F.col("e") > 0.5).alias("unhealthy"), F.count(F.lit(1)).alias("components"),
     )
+
+
+@query("rate_limits", "P9 Z25", """
+with m as (select user_id k, date_trunc('minute', ts) w, count(*) n from events group by 1, 2),
+h as (select user_id k, date_trunc('hour', ts) w, count(*) n from events group by 1, 2),
+l(name, allowed, width) as (values ('strict', 10, '1 minute'), ('moderate', 100, '1 minute'), ('generous', 300, '1 minute'), ('burst', 1000, '1 hour'))
+select name, allowed, width, case width when '1 minute' then (select max(n) from m) else (select max(n) from h) end as peak,
+ case width when '1 minute' then (select count(*) from m where n > allowed) else (select count(*) from h where n > allowed) end as breaches from l""")
+def rate_limits(spark, d):
+    return monitoring.rate_limit_report(load(spark, d, "events").select("user_id", "ts"), "user_id")
+
+
+@query("alert_rules", "S9 AGG30", f"""
+with {X.REQUESTS_SQL}, b as (select time_bucket(interval 5 minute, ts) step, * from requests),
+c as (select step, count(*) n, {_CUM} from b group by 1), q as (select step, case {_PICK} else {BOUNDS[-1]} end q from c),
+k as (select step, count(*) n, count_if(endpoint = 'view') page, count_if(status_code >= 400) error, count_if(endpoint = 'click') crawl from b group by 1),
+g as (select unnest(range(min(step), max(step) + interval 1 minute, interval 5 minute)) step from b),
+f as (select step, coalesce(n, 0) n, coalesce(page, 0) page, coalesce(error, 0) error, coalesce(crawl, 0) crawl, coalesce(q, 0) q from g left join k using (step) left join q using (step)),
+s as (select step, q > 0.75 as p95_high, sum(n) over (order by step rows 2 preceding) = 0 as no_traffic,
+  sum(crawl) over (order by step rows 5 preceding) > 0 and sum(page) over (order by step rows 5 preceding) = 0 as stalled,
+  sum(error) over (order by step rows 1 preceding) > 10 as error_spike from f),
+r as (select 'p95_high' alert, 'warning' severity, 10 mins, step, p95_high c from s union all select 'no_traffic', 'info', 15, step, no_traffic from s
+  union all select 'stalled', 'warning', 30, step, stalled from s union all select 'error_spike', 'critical', 10, step, error_spike from s),
+u as (select *, sum((not c)::int) over (partition by alert order by step) run from r),
+v as (select *, sum(c::int) over (partition by alert, run order by step) held from u)
+select alert, severity, count_if(c and held > mins // 5)::bigint as firing, strftime(min(step) filter (c and held > mins // 5), '%Y-%m-%d %H:%M') as first_firing from v group by 1, 2""")
+def alert_rules(spark, d):
+    """The four rules over all requests; a click stands for an active crawl, a view for a crawled page."""
+    r = X.requests(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    step = F.window("ts", "5 minutes")["start"]
+    p95 = aggregates.histogram_quantile(r.withColumn("step", step), ["step"], "response_time", BOUNDS, 0.95).select("step", "quantile")
+    kind = F.when(F.col("status_code") >= 400, "error").when(F.col("endpoint") == "view", "page").when(F.col("endpoint") == "click", "crawl").otherwise("other")
+    fires = monitoring.firing(monitoring.alert_steps(r.select("ts", kind.alias("kind")), p95))
+    return fires.select("alert", "severity", "firing", F.date_format("first", "yyyy-MM-dd HH:mm").alias("first_firing"))

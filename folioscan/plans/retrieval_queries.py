@@ -256,3 +256,9 @@ def stem_vocabulary(spark, d):
     words = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("docs"))
     stems = stem_terms(words)
     return stems.groupBy("stem").agg(F.count(F.lit(1)).alias("terms"), F.sum("docs").alias("uses"))
+
+
+@query("vector_list_count", "M6 R6", """
+select count(*) as n, greatest(10, least(1000, floor(sqrt(count(*)))))::bigint as lists from embeddings""")
+def vector_list_count(spark, d):
+    return nearest.list_count(load(spark, d, "embeddings"))

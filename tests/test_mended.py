@@ -1,13 +1,15 @@
 """Forms that were once answered wrongly, against hand-computed or library results."""
 
 import html as library_html
+import tracemalloc
 from urllib.parse import urljoin
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from folioscan.functions import html, urls
-from folioscan.operators import changes, chunking, evaluation, filters, fusion
+from folioscan.functions import html, urls, vectors
+from folioscan.operators import changes, chunking, evaluation, filters, fusion, monitoring, nearest
 from folioscan.streaming import jobs
 
 
@@ -83,3 +85,40 @@ def test_streams_read_folders_and_files_and_keep_the_tail(spark, tmp_path, parts
     got = jobs.drain(shape(jobs.stream_table(spark, str(tmp_path), "events")), "t", jobs.tail(shape(table), table, "window_end", "2 hours"))
     assert got.agg(F.sum("n")).first()[0] == events.count()
     assert got.count() == shape(table).count()
+
+
+def test_vector_tiles_bound_memory_and_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    unit = lambda n: nearest._unit_rows(np.round(rng.normal(size=(n, 4)), 1))
+    q, c = unit(90), unit(70)
+    ids = np.arange(70)
+    whole = nearest._score_block(np.arange(90), q, ids, c, 5, 0.1)
+    monkeypatch.setattr(nearest, "QUERY_TILE", 16)
+    monkeypatch.setattr(nearest, "ROW_TILE", 7)
+    tiled = nearest._score_block(np.arange(90), q, ids, c, 5, 0.1)
+    order = ["query_id", "similarity", "chunk_id"]
+    assert whole.sort_values(order).values.tolist() == tiled.sort_values(order).values.tolist()
+
+
+def test_many_query_vectors_against_few_rows():
+    """200,000 queries at once: the product of one tile is all that stands in memory."""
+    q = nearest._unit_rows(np.random.default_rng(2).normal(size=(200_000, 16)))
+    tracemalloc.start()
+    found = nearest._score_block(np.arange(200_000), q, np.arange(30), q[:30], 1, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 200_000 and peak < 300e6
+
+
+def test_embedding_models_are_registered_by_name(spark):
+    vectors.register_embedder("lengths", lambda: lambda text: F.array(F.length(text).cast("double")))
+    assert spark.range(1).select(vectors.embedder("lengths")(F.lit("abc"))).first()[0] == [3.0]
+
+
+def test_alert_rules_see_absence_and_spikes(spark):
+    rows = [(f"2024-01-01 00:{m:02d}:00", "error") for m in range(0, 20) for _ in range(2)] + [("2024-01-01 02:00:00", "page")]
+    r = spark.createDataFrame(rows, "ts string, kind string").withColumn("ts", F.to_timestamp("ts"))
+    none = spark.createDataFrame([], "step timestamp, quantile double")
+    got = {x.alert: x.firing for x in monitoring.firing(monitoring.alert_steps(r, none)).collect()}
+    # errors: 20 in the ten minutes up to the steps 00:05, 00:10 and 00:15; the condition has held ten minutes at the last of them
+    assert got["error_spike"] == 1 and got["no_traffic"] > 10 and got["stalled"] == 0 and got["p95_high"] == 0
