@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from folioscan import api
 from folioscan.functions import html, urls, vectors
 from folioscan.operators import changes, chunking, evaluation, filters, fusion, monitoring, nearest
 from folioscan.streaming import jobs
@@ -122,3 +123,10 @@ def test_alert_rules_see_absence_and_spikes(spark):
     got = {x.alert: x.firing for x in monitoring.firing(monitoring.alert_steps(r, none)).collect()}
     # errors: 20 in the ten minutes up to the steps 00:05, 00:10 and 00:15; the condition has held ten minutes at the last of them
     assert got["error_spike"] == 1 and got["no_traffic"] > 10 and got["stalled"] == 0 and got["p95_high"] == 0
+
+
+def test_no_cap_on_results(spark):
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("alpha w"), F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"), F.lit("en").alias("lang"))
+    asked = spark.createDataFrame([(1, "alpha")], "query_id long, query_text string")
+    assert api.Corpus(docs).search_fulltext(asked, 500).count() == 500
+    assert api.Corpus(docs.withColumn("path", F.col("doc_id").cast("string"))).list_resources(limit=500).count() == 500
