@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import re
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = "[a-z0-9]+"
+TOKEN = r"[\p{L}\p{N}]+"
+# Latin letters that are a base letter with one mark or more, by their canonical decomposition
+_ACCENTED = {c: unicodedata.normalize("NFD", c)[0] for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFD", c)) > 1 and c == c.lower()}
+ACCENTED, PLAIN = "".join(_ACCENTED), "".join(_ACCENTED.values())
 TOKEN_BREAK = "[^a-z0-9]+"
 EDGE_SPACE = r"^\s+|\s+$"
 
@@ -17,13 +22,17 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def folded(text: Column) -> Column:
+    return F.translate(F.lower(text), ACCENTED, PLAIN)
+
+
 def tokens(text: Column) -> Column:
-    """Lower-cased ASCII alphanumeric runs (unstemmed)."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """Runs of letters and digits of any script, in lower case, Latin accents folded (unstemmed); texts are taken as composed."""
+    return F.regexp_extract_all(folded(text), F.lit(TOKEN), F.lit(0))
 
 
 def token_count(text: Column) -> Column:
-    return F.regexp_count(F.lower(text), F.lit(TOKEN))
+    return F.regexp_count(folded(text), F.lit(TOKEN))
 
 
 def words(text: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def toks(expr: str) -> str:
-    return f"list_filter(regexp_split_to_array(lower({expr}), '[^a-z0-9]+'), lambda t: t <> '')"
+    return f"list_filter(regexp_split_to_array(strip_accents(lower({expr})), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 
 
 def words(expr: str) -> str:
