@@ -22,6 +22,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     edges(src, dst), seeds(node). Each level joins only the frontier, drops visited nodes by an anti join
     and is kept in the shared checkpoint folder, so the plan stays short and survives lost executors.
     """
+    edges = cut_lineage(edges.select("src", "dst").distinct())  # every level reads them
     visited = cut_lineage(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for depth in range(1, max_depth + 1):

@@ -23,8 +23,8 @@ def distinct_sets(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Exact join of two inputs (rep, members, words) on word Jaccard > threshold.
+def similar_sets(left: DataFrame, right: DataFrame, threshold: float, once: bool = False) -> DataFrame:
+    """Exact join of two inputs (rep, members, words) on word Jaccard > threshold; `once` keeps pairs with a < b only.
 
     Words are ordered from rare to common; two sets above the threshold must share one of the first
     size - ceil(threshold * size) + 1 words, so only those prefixes are joined and no pair is missed.
@@ -49,7 +49,8 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     # after their first shared word two sets can share at most the words that follow it on both sides
     reachable = 1 + F.least(F.col("n_a") - F.col("r_a"), F.col("n_b") - F.col("r_b"))
     needed = (F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9
-    pairs = a.join(b, "w").filter(sizes_fit & (reachable >= needed)).select("a", "b").distinct()
+    wanted = F.col("a") < F.col("b") if once else F.lit(True)
+    pairs = a.join(b, "w").filter(wanted & sizes_fit & (reachable >= needed)).select("a", "b").distinct()
     full = pairs.join(left.select(F.col("rep").alias("a"), F.col("words").alias("words_a")), "a").join(
         right.select(F.col("rep").alias("b"), F.col("words").alias("words_b")), "b"
     )

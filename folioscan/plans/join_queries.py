@@ -96,7 +96,7 @@ where len(list_intersect(x.w, y.w)) / len(list_distinct(x.w || y.w)) > 0.9""")
 def jaccard_join(spark, d):
     """Similar documents; copies are folded into one representative with its number of members."""
     sets = similarity.distinct_sets(load_spread(spark, d, "documents", "doc_id"), "doc_id", "text")
-    pairs = similarity.similar_sets(sets, sets, 0.9).filter(F.col("a") < F.col("b"))
+    pairs = similarity.similar_sets(sets, sets, 0.9, once=True)
     n = sets.select("rep", "members")
     return (
         pairs.join(n.select(F.col("rep").alias("a"), F.col("members").alias("members_a")), "a")
