@@ -213,6 +213,33 @@ def test_languages(make, odd, odd_rows, nothing):
     assert language_id.accepted(odd).columns == odd.columns
 
 
+STRANGE = [
+    "人人生而自由，在尊严和权利上一律平等。他们赋有理性和良心，并应以兄弟关系的精神相对待。", "Все люди рождаются свободными и равными в своем достоинстве и правах.",
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti.",
+    base64.b64encode(random.Random(8).randbytes(300)).decode(), "!!!! #### %%%% " * 20, "0123456789 " * 20, "aaaa " * 50,
+]
+
+
+def test_strange_texts_have_no_language(make):
+    """Junk and languages that no text declares are rejected, with or without a declaration; clean texts stay."""
+    rng = random.Random(9)
+    rows = [(i, prose(rng, 60, ("de", "en", "es", "fr")[i % 4]), ("de", "en", "es", "fr")[i % 4], f"s{i % 3}") for i in range(120)]
+    rows += [(200 + i, t, (None, "pl", "en")[i % 3], "s1") for i, t in enumerate(STRANGE)]
+    found = {r.key: r for r in language_id.identified(language_id.of_documents(make(rows))).collect()}
+    assert all(found[i].kept and found[i].lang == rows[i][2] for i in range(120))
+    assert {(r.lang, r.kept) for k, r in found.items() if k >= 200} == {("und", False)}
+    assert language_id.accepted(make(rows)).count() == 120
+
+
+def test_declared_languages_are_learnt(make):
+    rng = random.Random(10)
+    words = STRANGE[2].split()
+    rows = [(i, " ".join(rng.choices(words, k=20)), "pl", "a") for i in range(20)] + [(50 + i, prose(rng, 40), "en", "a") for i in range(20)]
+    found = {r.key: r for r in language_id.identified(language_id.of_documents(make([*rows, (99, STRANGE[2], None, "a")]))).collect()}
+    assert all(found[i].kept and found[i].lang == ("pl" if i < 50 else "en") for i, *_ in rows)
+    assert (found[99].lang, found[99].kept) == ("pl", True)
+
+
 def test_page_evidence(spark):
     pages = spark.createDataFrame([(1, "https://u@www.site.example.de:80/x?y", '<html LANG="fr-CA"><script>var x</script><p>hello</p>'), (2, None, None)], "page_id long, url string, html string")
     a, b = (r.asDict() for r in language_id.of_pages(pages).orderBy("key").collect())
