@@ -14,7 +14,7 @@ from sample_texts import SAMPLE, prose
 from tokenizers import Tokenizer
 
 from folioscan.llm import byte_bpe, language_id, license_scan, private_data, token_counts
-from folioscan.llm.license_rules import rules
+from folioscan.llm.license_rules import GATES, rules
 
 ALPHABET = [
     "a", "b", "th", "in", " ", "  ", "\n", "\t", "é", "ß", "Σ", "ς", "İ", "é", "\x1c", "\x85", "　", "1", "23", "'s", "'S", "'ll", "!", "***", "日本",
@@ -143,6 +143,57 @@ def test_licences(make, odd, odd_rows, nothing):
     assert license_scan.license_scan(odd).count() == len(odd_rows)
 
 
+def example(rng, parsed):
+    """A random text that a parsed pattern matches."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "NOT_LITERAL":
+            out += "w"
+        elif name == "IN":
+            out += "w" if str(arg[0][0]) == "NEGATE" else chr(rng.choice(arg)[1])
+        elif name == "BRANCH":
+            out += example(rng, rng.choice(arg[1]))
+        elif name == "MAX_REPEAT":
+            out += "".join(example(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 9))))
+        elif name == "SUBPATTERN":
+            out += example(rng, arg[3])
+        else:
+            assert name == "ASSERT_NOT", name
+    return out
+
+
+def test_keywords_and_gates_suppress_no_match():
+    rng = random.Random(12)
+    for r in rules():
+        parsed = re._parser.parse(r.pattern)
+        for _ in range(60):
+            words = f" {example(rng, parsed)} "
+            assert re.fullmatch(f" ({r.pattern}) ", words), (r.pattern, words)
+            assert r.keyword in words, (r.keyword, words)
+            assert any(g in words for g in GATES), words
+
+
+def test_licences_by_text_and_address(make):
+    want = {
+        "European Union Public Licence v1.2": "eupl-1.2", "Open Database License 1.0": "odbl-1.0",
+        "Open Data Commons Attribution License": "odc-by", "PSF license": "psf",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.": "bsd-3-clause",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.": "0bsd",
+        "see https://opensource.org/licenses/MIT": "mit", "http://www.apache.org/licenses/LICENSE-2.0": "apache-2.0",
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa-4.0", "https://www.mozilla.org/en-US/MPL/2.0/": "mpl-2.0",
+        "https://creativecommons.org/publicdomain/zero/1.0/": "cc0-1.0", "you are permitted to redistribute words": "",
+    }
+    found = {r.doc_id: r for r in license_scan.license_scan(make([(i, t, None, None) for i, t in enumerate(want)])).collect()}
+    for i, (text, label) in enumerate(want.items()):
+        assert label in found[i].labels.split(","), (text, found[i].labels)
+        assert (found[i].score > 0) == bool(label)
+
+
 def luhn(d):
     doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(d))]
     return sum(n - 9 if n > 9 else n for n in doubled) % 10 == 0
