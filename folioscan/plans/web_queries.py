@@ -111,6 +111,17 @@ def page_to_markdown(spark, d):
     return ingest_pages(pages).select("page_id", "file", "body")
 
 
+@query("page_to_markdown_all", "SRC3 U10 ST2 SNK5", f"""
+with p as (select page_id, url, {_MD} md from pages),
+f as (select page_id, case when regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '%/' then regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || 'index' else regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) end path, md from p)
+select page_id, coalesce(nullif(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9/_-]', '-', 'g'), '^/+|/+$', '', 'g'), ''), 'index') || '.md' as file, md as body from f""")
+def page_to_markdown_all(spark, d):
+    """Every page of the table, whatever its URL begins with."""
+    from folioscan.operators.ingest import ingest_pages
+
+    return ingest_pages(load_spread(spark, d, "pages", "page_id")).select("page_id", "file", "body")
+
+
 @query("url_parts", "U1 U4", """
 with u as (select page_id, url || case when url like 'http:%' then '' else '' end url from pages)
 select page_id, lower(regexp_extract(url, '^([A-Za-z]+):', 1)) as scheme, lower(regexp_extract(url, '^[a-z]+://([^/?#]*)', 1)) as host,
