@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from folioscan.llm import byte_bpe, language_id, license_scan, mixing, near_dedup, preference, private_data, quality_rules, token_counts
+from folioscan.llm import byte_bpe, collocations, cover_tree, importance, language_id, license_scan, mixing, near_dedup, preference, private_data, quality_rules, token_counts
 from folioscan.llm import exact_dedup as dedup
 from folioscan.llm.common import documents
 from folioscan.plans.registry import Entry
@@ -128,6 +128,95 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir))
 
 
+OP11_SQL = r"""
+with t as (select list(c order by n) as tab from (
+  select n, list_reduce(list_prepend(n, range(8)), lambda c, i: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as c
+  from (select unnest(range(256)) as n))),
+w as (
+  select 'd' as kind, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+  union all
+  select 'b', null, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') from benchmark),
+r as (
+  select kind, doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) as feature
+  from w),
+f as (select kind, doc_id, feature, count(*) as times from r group by 1, 2, 3),
+b as (
+  select feature, xor(list_reduce(list_prepend(4294967295, list_transform(range(cast(len(h) / 2 as bigint)), lambda i: cast('0x' || substr(h, 2 * i + 1, 2) as bigint))),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 10000 as bucket
+  from (select feature, hex(encode(feature)) as h from (select distinct feature from f)), t),
+k as (select kind, doc_id, bucket, cast(sum(times) as bigint) as times from f join b using (feature) group by 1, 2, 3),
+n as (select unnest(range(10000)) as bucket),
+s as (select bucket, cast(coalesce(sum(times) filter (kind = 'd'), 0) as double) as s, cast(coalesce(sum(times) filter (kind = 'b'), 0) as double) as t from n left join k using (bucket) group by 1),
+g as (
+  select bucket, cast(floor(1000 * ln((t + 1) * (sum(s) over () + 10000) / ((s + 1) * (sum(t) over () + 10000)))) as bigint) as gain from s),
+x as (select doc_id, cast(sum(times) as bigint) as n_features, cast(sum(times * gain) as bigint) as weight from k join g using (bucket) where kind = 'd' group by 1),
+d as (
+  select w.doc_id, len(w) as n_words, coalesce(n_features, 0) as n_features, coalesce(weight, 0) as weight,
+    cast('0x' || substr(sha256('42:' || w.doc_id), 1, 8) as bigint) as h
+  from w left join x using (doc_id) where kind = 'd'),
+c as (select doc_id, n_words, n_features, weight, weight + cast(floor(-1000 * ln(-ln((h + 0.5::double) / 4294967296))) as bigint) as score from d),
+p as (select *, row_number() over (partition by n_words >= 20 order by score desc, doc_id) as place, count(*) filter (n_words >= 20) over () as fit from c)
+select doc_id, n_features, weight, score, case when n_words >= 20 and place <= 5 * fit // 100 then place end as rank from p
+"""
+
+OP12_SQL = r"""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(cast(q.v as double[]), cast(c.v as double[])) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0)
+select query_id, cast(rank as integer) as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s) where rank <= 5
+"""
+
+OP13_SQL = r"""
+with p as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece
+  from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+n as (select lang, sum(len(w)) as n from w group by 1),
+f as materialized (
+  select lang, k, phrase, count(*) as f from (
+    select lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) as phrase
+    from (select lang, w, unnest([1, 2, 3]) as k from w))
+  group by 1, 2, 3 having count(*) >= 10),
+c as (select lang, k, phrase, f as a, string_split(phrase, ' ') as w from f where k > 1),
+e as materialized (
+  select lang, k, phrase, a, j, array_to_string(w[1:j], ' ') as head, array_to_string(w[j + 1:k], ' ') as tail
+  from (select *, unnest(range(1, k)) as j from c)),
+u as (
+  select e.lang, e.phrase, e.a, j, x.f as l, y.f as r, cast(1000000::hugeint * e.a * e.a // (x.f::hugeint * y.f) as bigint) as score
+  from e join f x on x.lang = e.lang and x.phrase = head join f y on y.lang = e.lang and y.phrase = tail),
+b as (select * from u qualify row_number() over (partition by lang, phrase order by score, j) = 1),
+o as (
+  select lang, phrase, max(a) as around from (
+    select lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) as phrase from c where k = 3)
+  group by 1, 2),
+x as (
+  select b.lang, row_number() over (partition by b.lang order by score desc, b.a desc, b.phrase) as rank, b.phrase, b.a, l, r, score
+  from b left join o on o.lang = b.lang and o.phrase = b.phrase where around is null or 100 * around < 50 * b.a)
+select x.lang, rank, phrase, a, l, r, cast(n.n as bigint) as n, score from x join n on n.lang = x.lang where rank <= 2000
+"""
+
+
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents weighed against the benchmark's texts."""
+    return importance.resampled(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
+
+
+def op12_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all vectors to every fiftieth."""
+    return cover_tree.top_products(load(spark, sf_dir, "embeddings"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of all documents by language."""
+    return collocations.collocations(documents(spark, sf_dir)).drop("first_doc")
+
+
 def entries() -> dict[str, Entry]:
     return {
         "pipeline": Entry(corpus_pipeline.run, corpus_pipeline.ORACLE_SQL, ("LLM2", "LLM4", "LLM7", "LLM8", "LLM10")),
@@ -142,4 +231,7 @@ def entries() -> dict[str, Entry]:
         "op9_preference_ranking": Entry(op9_preference_ranking, None, ("LLM9",)),
         "op4_exact_dedup": Entry(op4_exact_dedup, OP4_SQL.strip(), ("LLM4",)),
         "op10_source_mix": Entry(op10_source_mix, OP10_SQL.strip(), ("LLM10",)),
+        "op11_importance_resampling": Entry(op11_importance_resampling, OP11_SQL.strip(), ("LLM11",)),
+        "op12_cover_tree_search": Entry(op12_cover_tree_search, OP12_SQL.strip(), ("LLM12",)),
+        "op13_collocations": Entry(op13_collocations, OP13_SQL.strip(), ("LLM13",)),
     }

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscan.session import load, scratch_path
@@ -30,7 +33,36 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows that a Python worker holds at once; whole texts may be long.
-BATCH_ROWS = 1000
+BATCH_ROWS = 128
+
+
+def slices(column: pa.Array, most_bytes: int) -> Iterator[list[bytes]]:
+    """The texts of a column as UTF-8 (null: empty), in lists of at most `most_bytes`; a longer text comes alone."""
+    held, size = [], 0
+    for value in column.cast(pa.large_binary()):
+        text = value.as_py() or b""
+        if held and size + len(text) > most_bytes:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds the 1-based place of every row in `order` over the whole table.
+
+    Rows are range-partitioned, sorted and written once, so places hold when tasks run again; after that only one
+    count per partition meets.
+    """
+    spread = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    spread = saved(spread.withColumn("_part", F.shiftright("_at", 33)), "numbered")
+    sizes = spread.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return spread.join(starts, "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_before")
 
 
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
