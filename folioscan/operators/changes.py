@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.blocks import block_similarity
 from folioscan.functions.ids import content_hash
 from folioscan.operators.lineage import chunk_facts
 
@@ -96,29 +97,14 @@ def section_changes(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     )
 
 
-def word_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and similarity of old_content and new_content: twice the common words over all words, counted as multisets.
-
-    1 for two texts without words. Words are counted per section by ordinary aggregation, so a long section is no
-    single task's work and nothing depends on its length.
-    """
-
-    def words(side: str, old: int) -> DataFrame:
-        parts = F.filter(F.split(F.coalesce(F.col(side), F.lit("")), r"\s+"), lambda w: w != "")
-        return pairs.select(*keys, F.explode(parts).alias("_w"), F.lit(old).alias("_a"), F.lit(1 - old).alias("_b"))
-
-    each = words("old_content", 1).unionByName(words("new_content", 0)).groupBy(*keys, "_w").agg(F.sum("_a").alias("_a"), F.sum("_b").alias("_b"))
-    shared = each.groupBy(*keys).agg((2 * F.sum(F.least("_a", "_b")) / F.sum(F.col("_a") + F.col("_b"))).alias("similarity"))
-    return pairs.select(*keys).join(shared, keys, "left").withColumn("similarity", F.coalesce("similarity", F.lit(1.0)))
-
-
-def reprocess_plan(diff: DataFrame, key: str = "doc_id", threshold: float = 0.8) -> DataFrame:
-    """Adds similarity and the decision."""
-    keys = [key, "section_id"]
-    alike = word_similarity(diff.filter("action = 'modified'"), keys)
-    known = F.when(F.col("action") == "unchanged", 1.0).when(F.col("action") == "modified", F.col("similarity")).otherwise(0.0)
-    plan = diff.join(alike, keys, "left").withColumn("similarity", known)
-    again = F.col("action").isin("added", "deleted") | ((F.col("action") == "modified") & (F.col("similarity") < threshold))
+def reprocess_plan(diff: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """Adds similarity and the decision. Only texts of modified sections are compared, by their matching blocks."""
+    a = F.col("action")
+    texts = [F.when(a == "modified", F.col(c)).alias(f"_{c}") for c in ("old_content", "new_content")]
+    compared = diff.select("*", *texts).withColumn("_alike", block_similarity("_old_content", "_new_content"))
+    known = F.when(a == "unchanged", 1.0).when(a == "modified", F.col("_alike")).otherwise(0.0)
+    plan = compared.withColumn("similarity", known).drop("_old_content", "_new_content", "_alike")
+    again = a.isin("added", "deleted") | ((a == "modified") & (F.col("similarity") < threshold))
     return plan.withColumn("reprocess", again)
 
 

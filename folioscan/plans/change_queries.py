@@ -127,9 +127,8 @@ def section_diff(spark, d):
 _PLAN_SQL = f"""{X.V2_SQL}, o as ({_sections_sql('documents', 'n_chars')}), n as ({_sections_sql('documents_v2', 'length(text)')}),
 diff as (select doc_id, id, case when o.hash is null then 'added' when n.hash is null then 'deleted' when o.hash <> n.hash then 'modified' else 'unchanged' end as action,
   o.raw as old_raw, n.raw as new_raw from o full join n using (doc_id, id)),
-wa as (select doc_id, id, w, count(*) c from (select doc_id, id, unnest(regexp_extract_all(old_raw, '\\S+')) w from diff where action = 'modified') group by 1, 2, 3),
-wb as (select doc_id, id, w, count(*) c from (select doc_id, id, unnest(regexp_extract_all(new_raw, '\\S+')) w from diff where action = 'modified') group by 1, 2, 3),
-alike as (select doc_id, id, 2 * sum(least(coalesce(wa.c, 0), coalesce(wb.c, 0))) / sum(coalesce(wa.c, 0) + coalesce(wb.c, 0)) as similarity from wa full join wb using (doc_id, id, w) group by 1, 2),
+-- A modified section has ' rev' behind all of the old text: one block.
+alike as (select doc_id, id, 2.0::double * length({S.strip('old_raw')}) / (length({S.strip('old_raw')}) + length({S.strip('new_raw')})) as similarity from diff where action = 'modified'),
 plan as (select doc_id, id as section_id, action, case action when 'unchanged' then 1.0 when 'modified' then coalesce(similarity, 1.0) else 0.0 end as similarity,
   action in ('added', 'deleted') or (action = 'modified' and coalesce(similarity, 1.0) < 0.8) as reprocess from diff left join alike using (doc_id, id))"""
 
