@@ -27,7 +27,7 @@ def unescape(text: Column) -> Column:
         char = F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
         return F.when(sound, F.concat(char, F.regexp_replace(piece, "^&[^;]*;", ""))).otherwise(piece)
 
-    return F.array_join(F.transform(F.split(text, "(?=&)"), one), "")
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), one), "")).otherwise(text)
 
 
 def drop_code(html: Column) -> Column:

@@ -100,15 +100,13 @@ def preview(text: Column, width: int, tail: str = "...") -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct three-character windows of the lower-cased text."""
+    """Distinct three-character windows of the lower-cased text; characters are split once, so long texts stay linear."""
 
-    def cut(low: Column) -> Column:
-        starts = F.when(F.length(low) >= 3, F.sequence(F.lit(1), F.length(low) - 2)).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.array_distinct(F.transform(starts, lambda i: F.substring(low, i, F.lit(3))))
+    def cut(chars: Column) -> Column:
+        window = lambda c, i: F.concat(c, F.get(chars, i + 1), F.get(chars, i + 2))
+        return F.array_distinct(F.filter(F.transform(chars, window), lambda w: w.isNotNull()))
 
-    return let(F.lower(text), cut)
+    return let(F.split(F.lower(text), "(?s)(?<=.)(?=.)"), cut)
 
 
 def query_variations(base: Column) -> Column:

@@ -135,6 +135,11 @@ def is_private_address(text: Column, networks: list[str] = BLOCKED_V4) -> Column
     )
 
 
+def site(url: Column) -> Column:
+    """Scheme and authority; empty for text without them."""
+    return F.regexp_extract(url, "^[a-z]+://[^/?#]*", 0)
+
+
 def client_ip(forwarded_for: Column, real_ip: Column, peer: Column) -> Column:
     first_hop = F.trim(F.split_part(forwarded_for, F.lit(","), F.lit(1)))
     return F.coalesce(F.nullif(first_hop, F.lit("")), real_ip, peer, F.lit("unknown"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioscan.functions import html, urls
@@ -16,6 +16,29 @@ def page_links(pages: DataFrame) -> DataFrame:
     return resolved.groupBy("page_id", "url", "link").agg(F.min("pos").alias("pos"))
 
 
+def page_node(page_id: str) -> Column:
+    return F.concat(F.lit("p"), F.col(page_id).cast("string"))
+
+
+def link_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst) of a crawl graph over pages(page_id, url, html).
+
+    A page leads to all its resolved links: to the page of that address (fragments aside; of several the one with the
+    smallest page_id) or to the address itself. Such an address leads to its site, and a site to its pages, so a site of
+    any number of pages takes as many edges as it has addresses.
+    """
+    found = page_links(pages).select("page_id", "link")
+    known = pages.groupBy(urls.drop_fragment(F.col("url")).alias("link")).agg(F.min("page_id").alias("_target"))
+    placed = found.join(known, "link", "left")
+    target = F.coalesce(page_node("_target"), F.col("link"))
+    outside = placed.filter("_target is null").select("link").distinct()
+    return (
+        placed.select(page_node("page_id").alias("src"), target.alias("dst"))
+        .unionByName(outside.select(F.col("link").alias("src"), urls.site(F.col("link")).alias("dst")))
+        .unionByName(pages.select(urls.site(F.col("url")).alias("src"), page_node("page_id").alias("dst")))
+    )
+
+
 def reach(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
     """Breadth-first levels: (node, depth) with the smallest depth up to max_depth.
 

@@ -15,6 +15,23 @@ def strip(expr: str) -> str:
     return f"regexp_replace({expr}, '^\\s+|\\s+$', '', 'g')"
 
 
+def without_code(html: str) -> str:
+    out = html
+    for pattern in ("(?is)<script\\b[^>]*>.*?</script\\s*>", "(?is)<style\\b[^>]*>.*?</style\\s*>", "(?s)<!--.*?-->"):
+        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    return out
+
+
+def unescape(x: str) -> str:
+    return f"replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+
+
+def visible_text(html: str) -> str:
+    lines = f"list_transform(string_split({unescape(f"regexp_replace({without_code(html)}, '<[^>]*>', '', 'g')")}, chr(10)), lambda l: {strip('l')})"
+    phrases = f"list_transform(flatten(list_transform({lines}, lambda l: string_split(l, '  '))), lambda s: {strip('s')})"
+    return f"array_to_string(list_filter({phrases}, lambda s: s <> ''), ' ')"
+
+
 def bm25(queries: str, docs: str, name: str = "bm", join: str = "any") -> str:
     """CTEs ending in {name}(query_id, doc_id, score); inputs are (query_id, txt) and (doc_id, txt)."""
     having = "having count(*) = max(q.n_terms)" if join == "all" else ""

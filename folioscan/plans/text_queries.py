@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from folioscan.functions import ids, text
+from folioscan.functions import html, ids, text
 from folioscan.operators import filters
 from folioscan.plans import fixtures as X
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
-from folioscan.session import as_of, load
+from folioscan.session import as_of, load, load_spread
 
 
 @query("filter_lang_source", "PF1 PF3", """
@@ -193,19 +193,27 @@ def query_variations(spark, d):
     ).withColumn("variant", F.col("variant").cast("long"))
 
 
-@query("trigram_similarity", "ST13 ST8", """
-with t as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) a, lower(regexp_extract(html, '<p>(?:<b>)?([^<]*)', 1)) b from pages),
+_NO_HEAD = "regexp_replace(html, '(?is)<head\\b.*?</head\\s*>', '')"
+
+
+@query("trigram_similarity", "ST13 ST8", f"""
+with p as (select page_id, lower(regexp_extract(html, '<title>([^<]*)</title>', 1)) a, {S.visible_text(_NO_HEAD)} b from pages),
+t as (select page_id, a, lower(b) b from p),
 g as (select page_id, a, b, list_distinct(list_transform(range(1, greatest(length(a) - 1, 1)), lambda i: substring(a, i, 3))) ga,
   list_distinct(list_transform(range(1, greatest(length(b) - 1, 1)), lambda i: substring(b, i, 3))) gb from t)
-select page_id, contains(a, b) as title_contains, round(case when len(list_distinct(ga || gb)) = 0 then 1.0 else len(list_intersect(ga, gb)) / len(list_distinct(ga || gb)) end, 6) as similarity from g""")
+select page_id, contains(b, a) as title_contained, round(case when len(list_distinct(ga || gb)) = 0 then 1.0 else len(list_intersect(ga, gb)) / len(list_distinct(ga || gb)) end, 6) as similarity,
+  round(case when len(ga) = 0 then 1.0 else len(list_intersect(ga, gb)) / len(ga) end, 6) as title_share from g""")
 def trigram_similarity(spark, d):
+    """Each page's title against its whole visible text: trigrams in common, and the share of the title's found."""
     a = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    b = F.regexp_extract("html", "<p>(?:<b>)?([^<]*)", 1)
-    titles = load(spark, d, "pages").select("page_id", a.alias("a"), b.alias("b"))
-    grams = titles.withColumns({"ga": text.trigrams(F.col("a")), "gb": text.trigrams(F.col("b"))})
+    body = html.visible_text(F.regexp_replace("html", r"(?is)<head\b.*?</head\s*>", ""))
+    texts = load_spread(spark, d, "pages", "page_id").select("page_id", a.alias("a"), body.alias("b"))
+    grams = texts.withColumns({"ga": text.trigrams(F.col("a")), "gb": text.trigrams(F.col("b"))})
+    shared = F.size(F.array_intersect("ga", "gb"))
     return grams.select(
-        "page_id", F.contains(F.lower("a"), F.lower("b")).alias("title_contains"),
+        "page_id", F.contains(F.lower("b"), F.lower("a")).alias("title_contained"),
         F.round(text.jaccard(F.col("ga"), F.col("gb")), 6).alias("similarity"),
+        F.round(F.when(F.size("ga") == 0, 1.0).otherwise(shared / F.size("ga")), 6).alias("title_share"),
     )
 
 

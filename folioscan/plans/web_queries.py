@@ -36,38 +36,26 @@ def link_graph_edges(spark, d):
 
 @query("link_depth_bfs", "SRC4 J16 SO2 LN9", f"""
 with recursive {LINKS_SQL},
-nav as (select page_id, 'w' || regexp_extract(link, '^[a-z]+://[^/?#]*(.*)$', 1) word, pos from links),
-edges as (select 'p' || page_id src, word dst from nav union all select word, 'p' || page_id from nav where pos = 0),
+known as (select min(page_id) page_id, regexp_replace(url, '#.*$', '') url from pages group by 2),
+to_page as (select links.page_id, link, known.page_id as target from links left join known on link = known.url),
+edges as (select 'p' || page_id src, coalesce('p' || target, link) dst from to_page
+  union select link, regexp_extract(link, '^[a-z]+://[^/?#]*') from to_page where target is null
+  union select regexp_extract(url, '^[a-z]+://[^/?#]*'), 'p' || page_id from pages),
 walk as (select 'p' || page_id node, 0 depth from pages where url like '%/'
   union select dst, depth + 1 from walk join edges on src = node where depth < 4)
 select node, min(depth) as depth from walk group by 1""")
 def link_depth_bfs(spark, d):
-    """Pages link to navigation entries; an entry leads to the pages that list it first."""
+    """Depths from the entry pages over every resolved link; targets outside of the table lead to their site's pages."""
     pages = load_spread(spark, d, "pages", "page_id")
-    nav = links.page_links(pages).select(
-        F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page"),
-        F.concat(F.lit("w"), urls.path(F.col("link"))).alias("word"), "pos",
-    )
-    edges = nav.select(F.col("page").alias("src"), F.col("word").alias("dst")).unionByName(
-        nav.filter("pos = 0").select(F.col("word").alias("src"), F.col("page").alias("dst"))
-    )
-    seeds = pages.filter(F.col("url").endswith("/")).select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("node"))
-    return links.reach(edges, seeds, 4)
-
-
-_PLAIN = "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\\b[^>]*>.*?</script\\s*>', '', 'g'), '(?is)<style\\b[^>]*>.*?</style\\s*>', '', 'g'), '(?s)<!--.*?-->', '', 'g')"
+    seeds = pages.filter(F.col("url").endswith("/")).select(links.page_node("page_id").alias("node"))
+    return links.reach(links.link_edges(pages), seeds, 4)
 
 
-def _unescape(x: str) -> str:
-    return f"replace(replace(replace(replace(replace(replace(replace(replace({x}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')"
+_PLAIN = S.without_code("html")
+_unescape = S.unescape
 
 
-_TEXT = _unescape(f"regexp_replace({_PLAIN}, '<[^>]*>', '', 'g')")
-
-
-@query("strip_html_text", "U5 ST5", f"""
-with p as (select page_id, list_transform(string_split({_TEXT}, chr(10)), lambda l: {S.strip('l')}) ls from pages)
-select page_id, array_to_string(list_filter(list_transform(flatten(list_transform(ls, lambda l: string_split(l, '  '))), lambda s: {S.strip('s')}), lambda s: s <> ''), ' ') as body from p""")
+@query("strip_html_text", "U5 ST5", f"select page_id, {S.visible_text('html')} as body from pages")
 def strip_html_text(spark, d):
     return load_spread(spark, d, "pages", "page_id").select("page_id", html.visible_text(F.col("html")).alias("body"))
 
@@ -101,22 +89,10 @@ _MD = S.strip(f"regexp_replace(regexp_replace({_MD}, '[ \\t]+\\n', chr(10), 'g')
 
 
 @query("page_to_markdown", "SRC3 U10 ST2 SNK5 PF15", f"""
-with p as (select page_id, url, {_MD} md from pages where url like 'https://%'),
-f as (select page_id, case when regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '%/' then regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || 'index' else regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) end path, md from p)
-select page_id, coalesce(nullif(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9/_-]', '-', 'g'), '^/+|/+$', '', 'g'), ''), 'index') || '.md' as file, md as body from f""")
-def page_to_markdown(spark, d):
-    from folioscan.operators.ingest import ingest_pages
-
-    pages = load_spread(spark, d, "pages", "page_id").filter(F.col("url").startswith("https://"))
-    return ingest_pages(pages).select("page_id", "file", "body")
-
-
-@query("page_to_markdown_all", "SRC3 U10 ST2 SNK5", f"""
 with p as (select page_id, url, {_MD} md from pages),
 f as (select page_id, case when regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) like '%/' then regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) || 'index' else regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1) end path, md from p)
 select page_id, coalesce(nullif(regexp_replace(regexp_replace(path, '[^a-zA-Z0-9/_-]', '-', 'g'), '^/+|/+$', '', 'g'), ''), 'index') || '.md' as file, md as body from f""")
-def page_to_markdown_all(spark, d):
-    """Every page of the table, whatever its URL begins with."""
+def page_to_markdown(spark, d):
     from folioscan.operators.ingest import ingest_pages
 
     return ingest_pages(load_spread(spark, d, "pages", "page_id")).select("page_id", "file", "body")

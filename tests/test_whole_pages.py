@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from folioscan.operators import links
 from folioscan.plans import load_all
 
 SMALL = "/root/testdata/sf0.01"
@@ -10,6 +11,22 @@ SMALL = "/root/testdata/sf0.01"
 def test_pages_of_any_scheme_are_converted(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     assert pages.filter(~F.col("url").startswith("https://")).count() > 0
-    done = load_all()["page_to_markdown_all"].run(spark, SMALL)
+    done = load_all()["page_to_markdown"].run(spark, SMALL)
     assert done.select("page_id").exceptAll(pages.select("page_id")).count() == 0
     assert pages.select("page_id").exceptAll(done.select("page_id")).count() == 0
+
+
+def test_titles_meet_the_whole_text(spark):
+    got = load_all()["trigram_similarity"].run(spark, SMALL).selectExpr("count(*) as n", "count_if(title_contained) as found").first()
+    assert got.n == spark.read.parquet(f"{SMALL}/pages.parquet").count() and got.found > 0
+
+
+def test_every_link_leads_on(spark):
+    """Second links count, addresses without a page lead to their site's pages, and cycles end."""
+    pages = spark.createDataFrame(
+        [(1, "https://a.example/", '<a href="/x">x</a><a href="/two#part">2</a>'), (2, "https://a.example/two", '<a href="https://b.example/p?q=1">b</a>'),
+         (3, "https://b.example/", '<a href="https://a.example/">a</a>')],
+        "page_id long, url string, html string",
+    )
+    depths = {r.node: r.depth for r in links.reach(links.link_edges(pages), spark.createDataFrame([("p1",)], "node string"), 6).collect()}
+    assert depths == {"p1": 0, "https://a.example/x": 1, "p2": 1, "https://a.example": 2, "https://b.example/p?q=1": 2, "https://b.example": 3, "p3": 4}
