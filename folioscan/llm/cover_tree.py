@@ -37,7 +37,8 @@ SCALE, EVERY, TOP = 256, 50, 5
 SAMPLE, CENTRES = 2048, 64
 #: Rows of a block at 64 components; fewer where vectors are longer.
 QUERY_BLOCK, DATA_BLOCK = 1024, 4096
-QUERY_LEAF, DATA_LEAF, FAN = 64, 128, 16
+QUERY_LEAF, DATA_LEAF, FAN = 128, 512, 16
+PAIR_TASKS = 512
 NONE = np.iinfo(np.int64).min
 EXACT = 2.0**53
 
@@ -95,12 +96,14 @@ class Best:
 
     def add(self, at: slice, scores: np.ndarray, rows: np.ndarray, known: np.ndarray) -> None:
         """Scores of the queries `at` with the data `rows`; `known` are the ids of all data rows."""
-        hit = np.flatnonzero(((scores >= self.scores[at, -1:]) & (scores > NONE)).any(axis=1))
+        good = (scores >= self.scores[at, -1:]) & (scores > NONE)
+        hit, column = np.flatnonzero(good.any(axis=1)), np.flatnonzero(good.any(axis=0))
         if not len(hit):
             return
+        scores, rows = scores[np.ix_(hit, column)], rows[column]
         mine = np.arange(len(self.scores))[at][hit]
         k = self.scores.shape[1]
-        both = np.concatenate([self.scores[mine], scores[hit]], axis=1)
+        both = np.concatenate([self.scores[mine], scores], axis=1)
         where = np.concatenate([self.rows[mine], np.broadcast_to(rows, (len(hit), len(rows)))], axis=1)
         tie = np.where(where < 0, np.iinfo(np.int64).max, known[where])
         first = np.lexsort((tie, np.where(both == NONE, np.iinfo(np.int64).max, -both)), axis=1)[:, :k]
@@ -226,6 +229,7 @@ def met(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> DataFr
     left = queries.select("dims", F.col("block").alias("q"), F.col("tree").alias("_q"))
     right = data.select("dims", F.col("block").alias("d"), F.col("tree").alias("_d"))
     rows = pairs.join(right, ["dims", "d"]).join(left, ["dims", "q"]).select("dims", "q", "d", "least", "_q", "_d")
+    rows = rows.repartition(PAIR_TASKS, "dims", "q", "d")  # little data and much work: adaptive execution would put all pairs together
     kinds = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
