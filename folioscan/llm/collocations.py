@@ -34,13 +34,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import mapped, saved, slices
+from folioscan.llm.common import mapped, saved
 
 LEAST, MOST_WORDS, TOP, COVER_PERCENT = 10, 3, 2000, 50
 UNKNOWN = "und"
 #: Bits and probes of a filter: 8 MB whatever the input, which the driver gets in CHUNKS rows.
 FILTER_BITS, PROBES, CHUNKS = 1 << 26, 2, 64
-#: Texts of one slice, and fingerprints that a task holds before it counts and sends them on.
+#: Bytes of text that a task gathers, and fingerprints that it holds before it counts and sends them on.
 SLICE_BYTES, HELD = 4 << 20, 4_000_000
 SALTS = 64
 
@@ -117,15 +117,27 @@ class Slice:
         return mixed(mixed(run + self.seed) + U64(n))
 
 
-def cut(batch: pa.RecordBatch) -> Iterator[tuple[Slice, np.ndarray]]:
-    """Slices of a batch of (lang, text), each with its texts' row numbers."""
-    langs = np.array(batch.column(0).to_pylist(), object)
-    for lang in dict.fromkeys(langs):
-        rows = np.flatnonzero(langs == lang)
-        done = 0
-        for texts in slices(batch.column(1).take(pa.array(rows)), SLICE_BYTES):
-            yield Slice(texts, lang), rows[done : done + len(texts)]
-            done += len(texts)
+def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Slice, np.ndarray]]:
+    """Slices of the rows (doc_id, lang, text) of a task, each with its texts' doc_ids.
+
+    Texts are gathered over batches, so that runs which repeat in a task meet; SLICE_BYTES bound what is gathered.
+    """
+    held: dict[str, list] = {}
+    size = 0
+    for batch in batches:
+        for doc, lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            body = text.encode()
+            held.setdefault(lang, []).append((doc, body))
+            size += len(body)
+            if size >= SLICE_BYTES:
+                yield from _slices(held)
+                held, size = {}, 0
+    yield from _slices(held)
+
+
+def _slices(held: dict[str, list]) -> Iterator[tuple[Slice, np.ndarray]]:
+    for lang, rows in held.items():
+        yield Slice([body for _, body in rows], lang), np.array([doc for doc, _ in rows], object)
 
 
 class Filter:
@@ -173,18 +185,17 @@ def counted(texts: DataFrame, lengths: tuple[int, ...], shorter: Filter | None =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         words: dict[str, int] = {}
-        for batch in batches:
-            for piece, _ in cut(batch):
-                words[piece.lang] = words.get(piece.lang, 0) + len(piece.at(1))
-                for n in lengths:
-                    at = piece.at(n)
-                    if shorter:
-                        at = at[shorter.has(piece.fingerprints(n - 1, at))]
-                        at = at[shorter.has(piece.fingerprints(n - 1, at + 1))]
-                    held.append(piece.fingerprints(n, at))
-                if sum(map(len, held)) > HELD:
-                    yield summed(held)
-                    held = []
+        for piece, _ in cut(batches):
+            words[piece.lang] = words.get(piece.lang, 0) + len(piece.at(1))
+            for n in lengths:
+                at = piece.at(n)
+                if shorter:
+                    at = at[shorter.has(piece.fingerprints(n - 1, at))]
+                    at = at[shorter.has(piece.fingerprints(n - 1, at + 1))]
+                held.append(piece.fingerprints(n, at))
+            if sum(map(len, held)) > HELD:
+                yield summed(held)
+                held = []
         if held:
             yield summed(held)
         yield counts(list(words), [None] * len(words), list(words.values()))
@@ -196,7 +207,7 @@ def counted(texts: DataFrame, lengths: tuple[int, ...], shorter: Filter | None =
     def counts(lang, mark, times) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(mark, pa.int64()), pa.array(times, pa.int64())], ["lang", "mark", "times"])
 
-    found = mapped(texts.select("lang", "text"), run, "lang string, mark long, times long")
+    found = mapped(texts.select("doc_id", "lang", "text"), run, "lang string, mark long, times long")
     return found.groupBy("lang", "mark").agg(F.sum("times").alias("times"))
 
 
@@ -209,21 +220,19 @@ def read_back(texts: DataFrame, filters: dict[int, Filter]) -> DataFrame:
     names = ["lang", "words", "phrase", "times", "doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            docs = batch.column(2)
-            for piece, rows in cut(batch):
-                flat = piece.flat
-                for n, known in filters.items():
-                    at = piece.at(n)
-                    at = at[known.has(piece.fingerprints(n, at))]
-                    _, first, times = np.unique(piece.keys(n, at), return_index=True, return_counts=True)
-                    where = at[first]
-                    phrases = [b" ".join(flat[i : i + n]).decode() for i in where.tolist()]
-                    own = docs.take(pa.array(rows[np.searchsorted(piece.starts, where, side="right") - 1]))
-                    columns = ([piece.lang] * len(where), [n] * len(where), phrases, times)
-                    yield pa.RecordBatch.from_arrays([*[pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], own], names)
-
-    found = mapped(texts.select("lang", "text", "doc_id"), run, "lang string, words int, phrase string, times long, doc_id long")
+        for piece, docs in cut(batches):
+            flat = piece.flat
+            for n, known in filters.items():
+                at = piece.at(n)
+                at = at[known.has(piece.fingerprints(n, at))]
+                _, first, times = np.unique(piece.keys(n, at), return_index=True, return_counts=True)
+                where = at[first]
+                phrases = [b" ".join(flat[i : i + n]).decode() for i in where.tolist()]
+                own = docs[np.searchsorted(piece.starts, where, side="right") - 1]
+                columns = ([piece.lang] * len(where), [n] * len(where), phrases, times, own)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+
+    found = mapped(texts.select("doc_id", "lang", "text"), run, "lang string, words int, phrase string, times long, doc_id long")
     return found.groupBy("lang", "words", "phrase").agg(F.sum("times").alias("times"), F.min("doc_id").alias("first_doc"))
 
 

@@ -38,7 +38,6 @@ SAMPLE, CENTRES = 2048, 64
 #: Rows of a block at 64 components; fewer where vectors are longer.
 QUERY_BLOCK, DATA_BLOCK = 1024, 4096
 QUERY_LEAF, DATA_LEAF, FAN = 128, 512, 16
-PAIR_TASKS = 512
 NONE = np.iinfo(np.int64).min
 EXACT = 2.0**53
 
@@ -229,7 +228,8 @@ def met(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> DataFr
     left = queries.select("dims", F.col("block").alias("q"), F.col("tree").alias("_q"))
     right = data.select("dims", F.col("block").alias("d"), F.col("tree").alias("_d"))
     rows = pairs.join(right, ["dims", "d"]).join(left, ["dims", "q"]).select("dims", "q", "d", "least", "_q", "_d")
-    rows = rows.repartition(PAIR_TASKS, "dims", "q", "d")  # little data and much work: adaptive execution would put all pairs together
+    # Little data and much work: a number of its own keeps adaptive execution from putting all pairs together.
+    rows = rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "dims", "q", "d")
     kinds = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,7 +23,7 @@ def test_twin(spark, con, name):
 
 def test_all_are_registered():
     assert set(catalogue.entries()) <= set(contract.queries())
-    assert {f"op{n}" for n in range(1, 11)} | {"pipeline"} <= {q.split("_")[0] for q in contract.queries()}
+    assert {f"op{n}" for n in range(1, 14)} | {"pipeline"} <= {q.split("_")[0] for q in contract.queries()}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.entries()) - set(TWINS) - {"pipeline", "page_languages"}))
