@@ -23,7 +23,8 @@ def let(value: Column, body) -> Column:
 
 
 def folded(text: Column) -> Column:
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    low = F.lower(text)
+    return F.when(F.octet_length(low) > F.length(low), F.translate(low, ACCENTED, PLAIN)).otherwise(low)
 
 
 def tokens(text: Column) -> Column:

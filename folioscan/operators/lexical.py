@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import let, token_count, tokens, words
+from folioscan.functions.text import let, tokens, words
 from folioscan.session import cut_lineage
 
 # fixed values: Okapi parameters
@@ -15,7 +15,7 @@ SCORE_DIGITS = 6
 
 def tokenised(docs: DataFrame, id_col: str, text: Column) -> DataFrame:
     """(doc_id, tokens, dl) with dl the token count of the whole text."""
-    return docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens"), token_count(text).alias("dl"))
+    return docs.select(F.col(id_col).alias("doc_id"), tokens(text).alias("tokens")).withColumn("dl", F.size("tokens"))
 
 
 def postings(docs: DataFrame) -> DataFrame:

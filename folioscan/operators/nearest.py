@@ -41,36 +41,25 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float | None) -> np.ndarray:
-    """Positions of the best k ids by (score desc, id asc), no ties lost at the cut."""
-    keep = np.arange(len(scores)) if floor is None else np.flatnonzero(scores >= floor)
-    if len(keep) > k:
-        cut = np.partition(scores[keep], len(keep) - k)[len(keep) - k]
-        keep = keep[scores[keep] >= cut]
-    tie = ids[keep]
-    order = np.lexsort((tie.astype(str) if tie.dtype == object else tie, -scores[keep]))
-    return keep[order[:k]]
-
-
 def _score_block(q_ids, q_unit, c_ids, c_unit, k, floor) -> pd.DataFrame:
-    """Best k of the rows per query, multiplied tile by tile: memory depends on the tiles, not on the number of queries."""
-    out = [], [], []
+    """Best k of the rows per query by (score desc, id asc), multiplied tile by tile: memory depends on the tiles, not on
+    the number of queries. A tile's cut is the k-th score of each query at once; ties at the cut go on."""
+    out = []
     for a in range(0, len(q_ids), QUERY_TILE):
-        tile = q_unit[a : a + QUERY_TILE]
-        best = [(np.empty(0, np.int64), np.empty(0))] * len(tile)
+        tile, kept = q_unit[a : a + QUERY_TILE], []
         for b in range(0, len(c_ids), ROW_TILE):
             scores = np.round(tile @ c_unit[b : b + ROW_TILE].T, SCORE_DIGITS) + 0.0
-            for i, (held, value) in enumerate(best):
-                new = _best(scores[i], c_ids[b : b + ROW_TILE], k, floor)
-                held, value = np.concatenate([held, new + b]), np.concatenate([value, scores[i][new]])
-                top = _best(value, c_ids[held], k, None) if len(held) > k else slice(None)
-                best[i] = held[top], value[top]
-        for i, (held, value) in enumerate(best):
-            out[0].append(np.repeat(q_ids[a + i : a + i + 1], len(held)))
-            out[1].append(c_ids[held])
-            out[2].append(value)
-    names = ("query_id", "chunk_id", "similarity")
-    return pd.DataFrame({n: np.concatenate(v) if v else [] for n, v in zip(names, out)})
+            cut = scores.shape[1] - min(k, scores.shape[1])
+            keep = scores >= np.partition(scores, cut, axis=1)[:, cut : cut + 1]
+            row, column = np.nonzero(keep if floor is None else keep & (scores >= floor))
+            kept.append((row, column + b, scores[row, column]))
+        row, column, value = (np.concatenate(x) for x in zip(*kept, strict=True)) if kept else (np.empty(0, int),) * 3
+        tie = c_ids[column]
+        order = np.lexsort((tie.astype(str) if tie.dtype == object else tie, -value, row))
+        grouped = row[order]
+        first = order[np.arange(len(order)) - np.searchsorted(grouped, grouped) < k]
+        out.append(pd.DataFrame({"query_id": q_ids[a + row[first]], "chunk_id": c_ids[column[first]], "similarity": value[first]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "chunk_id": [], "similarity": []})
 
 
 def _rank(candidates: DataFrame, k: int) -> DataFrame:

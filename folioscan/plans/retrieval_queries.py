@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from folioscan.functions.stems import stem_vocabulary as stem_terms
 from folioscan.functions.vectors import cosine, cosine_distance, embedder
-from folioscan.operators import fusion, lexical, nearest
+from folioscan.functions.text import tokens
+from folioscan.operators import fusion, lexical, nearest, proximity, vector_index
 from folioscan.plans import sqltext as S
 from folioscan.plans.registry import query
 from folioscan.session import cut_lineage, load, load_spread
@@ -262,3 +263,83 @@ def stem_vocabulary(spark, d):
 select count(*) as n, greatest(10, least(1000, floor(sqrt(count(*)))))::bigint as lists from embeddings""")
 def vector_list_count(spark, d):
     return nearest.list_count(load(spark, d, "embeddings"))
+
+
+def _every_hundredth(spark: SparkSession, d: str) -> DataFrame:
+    return vector_chunks(spark, d).filter("chunk_id % 100 = 0").select(F.col("chunk_id").alias("query_id"), "vector")
+
+
+def _trained_index(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    rows = vector_chunks(spark, d)
+    lists = nearest.list_count(rows).first().lists
+    centres = vector_index.train_cells(rows, lists)
+    return cut_lineage(vector_index.filed(rows, centres)), vector_index.cell_rows(spark, centres)
+
+
+@query("ivf_search", "R6 M6")
+def ivf_search(spark, d):
+    """The ten nearest of all vectors to every hundredth, from trained cells with probes for a recall of 0.95."""
+    index, cells = _trained_index(spark, d)
+    queries = _every_hundredth(spark, d)
+    probes = vector_index.probes_for(queries, index, cells, 10, 0.95)
+    return vector_index.search(queries, index, cells, 10, probes)
+
+
+@query("ivf_recall", "R6 M6", """
+with q as (select vec_id from embeddings where vec_id % 100 = 0)
+select (select count(*) from q) as queries, (select count(*) from q) * least(10, (select count(*) from embeddings)) as true_neighbours, true as reached""")
+def ivf_recall(spark, d):
+    """Share of the exact neighbours that the probed cells hold, against 0.9; similarities are the exact ones."""
+    index, cells = _trained_index(spark, d)
+    queries = _every_hundredth(spark, d)
+    probes = vector_index.probes_for(queries, index, cells, 10, 0.95)
+    exact = nearest.top_k_similar(queries, vector_chunks(spark, d), 10)
+    found = vector_index.search(queries, index, cells, 10, probes).select("query_id", "chunk_id", F.col("similarity").alias("_s"))
+    both = exact.join(found, ["query_id", "chunk_id"], "left")
+    return both.agg(
+        F.countDistinct("query_id").alias("queries"), F.count(F.lit(1)).alias("true_neighbours"),
+        (F.count_if(F.col("_s") == F.col("similarity")) >= 0.9 * F.count(F.lit(1))).alias("reached"),
+    )
+
+
+@query("cover_density", "R2", f"""
+with d as (select doc_id, {S.toks('text')} tk from documents),
+q as (select query_id, term, row_number() over (partition by query_id order by term) t, count(*) over (partition by query_id) nt from (
+  select item_id query_id, unnest(list_distinct({S.toks('text')})) term from benchmark) where term not in ({_STOP_SQL})),
+p as (select doc_id, unnest(tk) term, generate_subscripts(tk, 1) pos from d),
+h as (select query_id, doc_id, t, nt, pos from q join p using (term)),
+c as (select query_id, doc_id from h group by 1, 2 having count(distinct t) = max(nt)),
+n as (select h.*, row_number() over (partition by query_id, doc_id order by pos) i from h semi join c using (query_id, doc_id)),
+l as (select a.query_id, a.doc_id, a.i, a.pos, a.nt, b.t, max(b.i) last from n a join n b on a.query_id = b.query_id and a.doc_id = b.doc_id and b.i <= a.i group by all),
+m as (select query_id, doc_id, i, pos, min(last) low from l group by query_id, doc_id, i, pos, nt having count(*) = nt),
+e as (select *, lag(low) over (partition by query_id, doc_id order by i) before from m)
+select query_id, doc_id, count(*) as covers, round(sum(0.1::double / (1 + e.pos - n.pos - (e.i - e.low))), 6) as score
+from e join n using (query_id, doc_id) where n.i = e.low and (before is null or low > before) group by 1, 2""")
+def cover_density(spark, d):
+    docs = lexical.tokenised(load_spread(spark, d, "documents", "doc_id"), "doc_id", F.col("text"))
+    return proximity.cover_density(bench_queries(spark, d), docs, STOP)
+
+
+_BARE = "lower(regexp_replace(x, '[^\\p{L}\\p{N}]', '', 'g'))"
+
+
+@query("best_snippets", "ST10", f"""
+with {S.bm25(BENCH, DOCS)}, {S.ranked('bm', 'score', 10, 'top')},
+q as (select item_id query_id, list_filter(list_distinct({S.toks('text')}), lambda t: t not in ({_STOP_SQL})) needles from benchmark),
+w as (select query_id, doc_id, needles, {S.words('text')} ws from top join documents using (doc_id) join q using (query_id)),
+i as (select query_id, doc_id, ws, list_transform(ws, lambda x: coalesce(list_position(needles, {_BARE}), 0)) hit from w),
+s as (select *, list_filter(range(1, len(ws) + 1), lambda k: hit[k] > 0) starts from i),
+k as (select *, list_transform(starts, lambda b: len(list_distinct(list_filter(hit[b:b + 7], lambda p: p > 0)))) kinds from s where len(starts) > 0),
+b as (select *, list_max(kinds) best, starts[list_position(kinds, list_max(kinds))] f from k),
+e as (select *, list_max(list_filter(starts, lambda x: x between f and f + 7)) - f + 1 span from b),
+a as (select *, greatest(1, least(f - (8 - span) // 2, len(ws) - 7)) st from e)
+select query_id, doc_id, best as kinds, (case when st > 1 then '…' else '' end) || array_to_string(list_transform(range(st, least(st + 8, len(ws) + 1)),
+  lambda x: case when hit[x] > 0 then '<b>' || ws[x] || '</b>' else ws[x] end), ' ') || (case when st + 7 < len(ws) then '…' else '' end) as snippet from a""")
+def best_snippets(spark, d):
+    """For the ten best documents of every query, the window with the most of its terms."""
+    texts = load_spread(spark, d, "documents", "doc_id")
+    needles = F.array_except(tokens(F.col("query_text")), F.array(*[F.lit(w) for w in STOP]))
+    queries = bench_queries(spark, d).select("query_id", needles.alias("needles"))
+    hits = lexical_hits(spark, d, 10).join(queries, "query_id").join(texts.select("doc_id", "text"), "doc_id")
+    shown = hits.select("query_id", "doc_id", proximity.best_window(F.col("text"), F.col("needles")).alias("_b")).filter("_b is not null")
+    return shown.select("query_id", "doc_id", F.col("_b.kinds").cast("long").alias("kinds"), F.col("_b.snippet").alias("snippet"))
