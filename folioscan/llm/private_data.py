@@ -1,11 +1,15 @@
 """Personal data: fixed patterns, and terms that give protected entities away, all in column expressions.
 
-Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Every such value is a protected entity.
-The words within REACH characters of an entity are terms that may reveal it. The corpus says how strongly: with N
-documents, n(e) of them holding the entity, n(t) the term and n(t, e) the term near the entity, the pointwise mutual
-information log(N n(t, e) / (n(t) n(e))) is the part of the entity's information log(N / n(e)) that the term
-discloses. Terms seen with an entity in at least SUPPORT different texts are added as spans where they stand near it:
-generalised from GENERALISE of the information on, removed from REMOVE on. Counts cover all documents.
+Base spans are e-mail addresses, IP addresses, payment cards and phone numbers. Protected entities are their values and
+what these have in common with others: an address's local part and domain, a network's first two and three numbers, a card's
+issuer, a number's prefix, and the kind itself. Terms are the words (runs of letters) of a document outside of addresses.
+
+The corpus says how strongly a term reveals an entity: with N documents, n(e) of them holding the entity, n(t) the term
+and n(t, e) both, anywhere in the document, the pointwise mutual information log(N n(t, e) / (n(t) n(e))) is the part of
+the entity's information log(N / n(e)) that the term discloses. What rests on few texts is discounted smoothly, by
+1 - DISCOUNT / k^2 for k different texts that hold both. A term that discloses GENERALISE of some entity's information is
+generalised, from REMOVE on removed: every occurrence, in whatever document. Counts cover all documents; entities and
+terms of a single text are left out of the pairs only because their discounted share can't reach GENERALISE.
 
 A span is kind:start:end in code points, the end exclusive; spans are joined by start and then by kind in the order of
 KINDS. Null and empty texts have none. Rows that repeat a doc_id have the same spans and count singly. Empty tables
@@ -17,34 +21,49 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscan.functions.text import let
 from folioscan.llm.common import saved, whole
 
 KINDS = ("email", "ip", "card", "phone", "generalise", "remove")
-REACH, SUPPORT, GENERALISE, REMOVE = 80, 3, 0.8, 0.95
+DISCOUNT, GENERALISE, REMOVE = 0.75, 0.8, 0.95
+#: Flagged terms are sent to all tasks up to this many characters, and joined by shuffle beyond.
+SENT_CHARACTERS = 8_000_000
 #: Maximal runs are taken possessively, and a search starts at a run's first character or where the last match ended.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
-TERM = r"\p{L}{4,}"
+TERM = r"\p{L}+"
 FOUND = "struct<start:int,stop:int,value:string>"
 
 
+def running(numbers: Column) -> Column:
+    """Running sums. They are built in stretches of the root of their number, as appending to one array would be quadratic."""
+    root = F.ceil(F.sqrt(F.size(numbers))).cast("int")
+    grown = lambda part, first: F.aggregate(part, F.array(first.cast("int")), lambda sums, n: F.concat(sums, F.array((F.element_at(sums, -1) + n).cast("int"))))
+
+    def stretches(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, n: (s + n).cast("int")))
+        return F.flatten(F.zip_with(parts, F.slice(grown(totals, F.lit(0)), 1, F.size(parts)), lambda p, first: F.slice(grown(p, first), 2, F.size(p))))
+
+    cut = F.transform(F.sequence(F.lit(0), root - 1), lambda k: F.slice(numbers, k * root + 1, root))
+    return F.when(F.size(numbers) > 0, let(F.filter(cut, lambda p: F.size(p) > 0), stretches)).otherwise(F.array().cast("array<int>"))
+
+
 def located(text: Column, pattern: str) -> Column:
-    """Matches with their places: what stands between matches is measured, and lengths are added up in order."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), 0)
-    between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{FOUND}>)").alias("out"))
+    """Matches with their places: a match is paired with what stands before it, and the lengths of both are added up."""
+    pairs = F.zip_with(
+        F.transform(F.split(text, pattern, -1), F.length), F.regexp_extract_all(text, F.lit(pattern), 0),
+        lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")),
+    )
 
-    def step(acc: Column, d: Column) -> Column:
-        begin = (acc["at"] + d["gap"]).cast("int")
-        stop = (begin + F.length(d["value"])).cast("int")
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), stop.alias("stop"), d["value"].alias("value")))).alias("out"))
+    def placed(found: Column) -> Column:
+        ends = running(F.transform(found, lambda d: d["gap"] + F.length(d["value"])))
+        return F.zip_with(found, ends, lambda d, stop: F.struct((stop - F.length(d["value"])).alias("start"), stop.alias("stop"), d["value"].alias("value")))
 
-    # A match is paired with what stands before it; the piece after the last match has no partner.
-    pairs = F.zip_with(F.transform(between, F.length), matches, lambda gap, value: F.struct(gap.alias("gap"), value.alias("value")))
-    return F.aggregate(F.filter(pairs, lambda d: d["value"].isNotNull()), start, step, lambda acc: acc["out"])
+    # The piece after the last match has no partner.
+    return let(F.filter(pairs, lambda d: d["value"].isNotNull()), placed)
 
 
 def digits(value: Column) -> Column:
@@ -88,53 +107,66 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*every))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, mark (a hash of the text), spans, and for each span what stands before and after it (REACH characters)."""
-    rows = docs.select("doc_id", whole("text").alias("text")).withColumn("spans", base_spans(F.col("text")))
-
-    def near(d: Column) -> Column:
-        low = F.greatest(d["start"] - REACH, F.lit(0))
-        return F.struct(
-            d["kind"].alias("kind"), F.lower(d["value"]).alias("entity"), low.alias("low"), d["stop"].alias("stop"),
-            F.substring(F.col("text"), low + 1, d["start"] - low).alias("before"), F.substring(F.col("text"), d["stop"] + 1, F.lit(REACH)).alias("after"),
-        )
-
-    around = F.when(F.size("spans") > 0, F.transform("spans", near))
-    return rows.select("doc_id", F.xxhash64("text").alias("mark"), "spans", around.alias("around"))
-
-
-def mentions(rows: DataFrame) -> DataFrame:
-    """Terms near entities: doc_id, mark, entity, term, start, stop. Words cut by the window's end, and words in base spans, are left out."""
-    each = rows.filter("around is not null").select("doc_id", "mark", "spans", F.explode("around").alias("a"))
+def entities(d: Column) -> Column:
+    """The protected entities of one base span, finest first."""
+    value, number = F.lower(d["value"]), digits(d["value"])
+    named = lambda **parts: F.array(*[F.concat(F.lit(f"{k}:"), v) for k, v in parts.items()])
+    return (
+        F.when(d["kind"] == 0, named(email=value, local=F.substring_index(value, "@", 1), domain=F.substring_index(value, "@", -1), kind=F.lit("email")))
+        .when(d["kind"] == 1, named(ip=value, net3=F.substring_index(value, ".", 3), net2=F.substring_index(value, ".", 2), kind=F.lit("ip")))
+        .when(d["kind"] == 2, named(card=number, issuer=F.substring(number, 1, 6), kind=F.lit("card")))
+        .otherwise(named(phone=number, prefix=F.substring(number, 1, 5), kind=F.lit("phone")))
+    )
 
-    def words(part: Column, shift: Column, clipped: Column) -> Column:
-        found = F.filter(located(part, TERM), lambda d: ~clipped(d))
-        return F.transform(found, lambda d: F.struct((d["start"] + shift).cast("int").alias("start"), (d["stop"] + shift).cast("int").alias("stop"), F.lower(d["value"]).alias("term")))
 
-    left = words(F.col("a.before"), F.col("a.low"), lambda d: (d["start"] == 0) & (F.col("a.low") > 0))
-    right = words(F.col("a.after"), F.col("a.stop"), lambda d: (d["stop"] == F.length("a.after")) & (d["stop"] == REACH))
-    placed = each.select("doc_id", "mark", "spans", F.concat_ws(":", "a.kind", "a.entity").alias("entity"), F.explode(F.concat(left, right)).alias("w"))
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("w.stop")) & (F.col("w.start") < s["stop"]))
-    return placed.filter(free).select("doc_id", "mark", "entity", F.col("w.term").alias("term"), F.col("w.start").alias("start"), F.col("w.stop").alias("stop"))
+def terms(text: Column) -> Column:
+    """The different words of a text outside of addresses; other base values hold no letters."""
+    bare = F.when(F.contains(text, F.lit("@")), F.regexp_replace(text, EMAIL, " ")).otherwise(text)
+    return F.array_distinct(F.regexp_extract_all(F.lower(bare), F.lit(TERM), F.lit(0)))
 
 
-def disclosing(docs: DataFrame, rows: DataFrame, near: DataFrame) -> DataFrame:
-    """entity, term, kind of the pairs over the thresholds."""
-    once = near.select("doc_id", "mark", "entity", "term").distinct()
-    pairs = once.groupBy("entity", "term", "mark").agg(F.count(F.lit(1)).alias("n"))
-    pairs = pairs.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= SUPPORT)
-    held = rows.filter("around is not null").select("doc_id", "mark", F.explode(F.array_distinct(F.transform("around", lambda a: F.concat_ws(":", a["kind"], a["entity"])))).alias("entity"))
-    entities = held.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+def scanned(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text), base spans, and where there are any the document's entities and terms."""
+    rows = docs.select("doc_id", whole("text").alias("text")).withColumn("spans", base_spans(F.col("text")))
+    held = F.size("spans") > 0
+    own = F.when(held, F.array_distinct(F.flatten(F.transform("spans", entities))))
+    return rows.select("doc_id", F.xxhash64("text").alias("mark"), "spans", own.alias("entities"), F.when(held, terms(F.col("text"))).alias("terms"))
+
+
+def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """term and kind of the terms over the thresholds, each by the entity that it discloses most."""
+    held = rows.filter("entities is not null").select(F.monotonically_increasing_id().alias("row"), "mark", "entities", "terms")
+    held = saved(held, "private-held")
+    each = held.select("row", "mark", F.explode("entities").alias("entity"))
+    sums = lambda df, *keys: df.groupBy(*keys, "mark").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("docs"), F.count(F.lit(1)).alias("texts"))
+    known = saved(sums(each, "entity").filter("texts > 1").select("entity", F.col("docs").alias("n_entity")), "private-entities")
+    words = held.select("row", F.explode("terms").alias("term"))
+    often = words.groupBy("term").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("term")
+    telling = each.join(known.select("entity"), "entity")
+    pairs = telling.join(words.join(often, "term"), "row")
+    pairs = saved(sums(pairs, "entity", "term").filter("texts > 1"), "private-pairs")
     # Each document counts a term once; counts are folded in the task that reads the text.
-    own = F.array_distinct(F.regexp_extract_all(F.lower(whole("text")), F.lit(TERM), F.lit(0)))
-    terms = docs.select(F.explode(own).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = rows.count()
-    table = pairs.join(entities, "entity").join(terms, "term")
-    told = F.log(F.lit(float(total)) * F.col("both") / (F.col("n_term") * F.col("n_entity"))) / F.log(F.lit(float(total)) / F.col("n_entity"))
+    wanted = pairs.select("term").distinct()
+    everywhere = docs.select(F.explode(terms(whole("text"))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    total = F.lit(float(rows.count()))
+    table = pairs.join(known, "entity").join(everywhere.join(wanted, "term", "left_semi"), "term")
+    told = F.log(total * F.col("docs") / (F.col("n_term") * F.col("n_entity"))) / F.log(total / F.col("n_entity"))
     # An entity in every document carries no information that could be disclosed.
-    share = F.when(F.col("n_entity") < total, told).otherwise(F.lit(0.0))
-    return table.withColumn("share", share).filter(F.col("share") >= GENERALISE).select(
-        "entity", "term", F.when(F.col("share") >= REMOVE, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise"))).alias("kind")
+    share = F.when(F.col("n_entity") < total, told * (1 - DISCOUNT / (F.col("texts") * F.col("texts")))).otherwise(F.lit(0.0))
+    kind = F.when(F.col("share") >= REMOVE, F.lit(KINDS.index("remove"))).otherwise(F.lit(KINDS.index("generalise")))
+    return table.groupBy("term").agg(F.max(share).alias("share")).filter(F.col("share") >= GENERALISE).select("term", kind.alias("kind"))
+
+
+def marked(docs: DataFrame, flagged: DataFrame) -> DataFrame:
+    """_id, _mark and extra: all occurrences of flagged terms, outside of addresses, by document."""
+    sent = flagged.agg(F.coalesce(F.sum(F.length("term") + 16), F.lit(0))).first()[0]
+    flagged = F.broadcast(flagged) if sent <= SENT_CHARACTERS else flagged
+    text = whole("text")
+    # Addresses are matched too, so that no word is found inside of one.
+    words = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.explode(located(text, f"{EMAIL}|{TERM}")).alias("w"))
+    words = words.select("doc_id", "mark", F.lower("w.value").alias("term"), "w.start", "w.stop")
+    return words.join(flagged, "term").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
+        F.collect_set(F.struct("start", "kind", "stop")).alias("extra")  # spans of one text
     )
 
 
@@ -147,11 +179,8 @@ def written(spans: Column) -> Column:
 def found_spans(docs: DataFrame) -> DataFrame:
     """doc_id, mark, base (spans with values) and spans (start, kind, stop of all), per row."""
     rows = saved(scanned(docs), "private-base")
-    near = saved(mentions(rows), "private-terms")
-    flagged = saved(disclosing(docs.select("text"), rows, near), "private-pairs")
-    extra = near.join(flagged, ["entity", "term"]).groupBy("doc_id", "mark").agg(
-        F.collect_set(F.struct("start", "kind", "stop")).alias("extra")  # spans of one text
-    ).withColumnRenamed("doc_id", "_id").withColumnRenamed("mark", "_mark")
+    flagged = saved(disclosing(docs, rows), "private-flagged")
+    extra = marked(docs, flagged)
     joined = rows.join(saved(extra, "private-extra"), rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["mark"] == F.col("_mark")), "left")
     plain = F.transform("spans", lambda d: F.struct(d["start"].alias("start"), d["kind"].alias("kind"), d["stop"].alias("stop")))
     every = F.when(F.col("extra").isNull(), plain).otherwise(F.array_sort(F.concat(plain, F.col("extra"))))

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -246,6 +247,56 @@ def test_terms_that_give_an_entity_away(make):
     assert "zorblatt" not in clean[len(plain)] and "[EMAIL]" in clean[len(plain)] and clean[0] == plain[0]
 
 
+def test_a_telling_term_is_marked_wherever_it_stands(make):
+    """Far from the entity, in documents without it, and for what entities have in common."""
+    rng = random.Random(5)
+    filler = lambda n: " ".join(rng.choice(["one", "two", "three", "four"]) for _ in range(n))
+    far = [f"zorblatt {filler(60)} {i} {filler(i)} p{i}@secret.example.org" for i in range(4)]  # the domain recurs, no address does
+    rows = far + [f"{filler(50)} 10.{i}.7.9" for i in range(60)] + [f"{filler(5)} Zorblatt {filler(5)}"] + [filler(20) for _ in range(60)]
+    spans = {r.doc_id: r.spans.split(",") for r in private_data.private_data(make([(i, t, None, None) for i, t in enumerate(rows)])).collect()}
+    assert len(far[0].split("p0@")[0]) > 200
+    for i, t in enumerate(rows):
+        at = t.lower().find("zorblatt")
+        assert any(s.split(":")[0] in ("remove", "generalise") and s.split(":")[1:] == [str(at), str(at + 8)] for s in spans[i]) == (at >= 0)
+    assert not any(s.startswith(("remove", "generalise")) for i in range(4, len(rows)) if i != 64 for s in spans[i])
+
+
+def test_disclosure_equals_brute_force(make):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl@m.no", "pq@m.no", "10.1.2.3", "10.1.2.4", "É"]) for _ in range(rng.randint(0, 6))) for _ in range(160)]
+    docs = make([(i, t, None, None) for i, t in enumerate(texts)])
+    got = {r.term: r.kind for r in private_data.disclosing(docs, private_data.scanned(docs)).collect()}
+    own = [{w.lower() for w in t.split() if w.isalpha()} for t in texts]
+    held = []
+    for t in texts:
+        e = set()
+        for w in t.split():
+            if "@" in w:
+                e |= {"email:" + w, "local:" + w[:2], "domain:m.no", "kind:email"}
+            if w[0] == "1":
+                e |= {"ip:" + w, "net3:10.1.2", "net2:10.1", "kind:ip"}
+        held.append(e)
+    want, n = {}, len(texts)
+    for e in set().union(*held):
+        n_e = sum(e in h for h in held)
+        for t in set().union(*own):
+            both = [i for i in range(n) if e in held[i] and t in own[i]]
+            if both and n_e < n:
+                share = np.log(n * len(both) / (sum(t in o for o in own) * n_e)) / np.log(n / n_e) * (1 - private_data.DISCOUNT / len({texts[i] for i in both}) ** 2)
+                want[t] = max(share, want.get(t, 0))
+    assert got == {t: private_data.KINDS.index("remove" if v >= private_data.REMOVE else "generalise") for t, v in want.items() if v >= private_data.GENERALISE}
+
+
+def test_a_text_of_many_numbers_takes_linear_time(spark):
+    from pyspark.sql import functions as F
+
+    text = " ".join(str(10 + i % 90) + "," for i in range(100_000))
+    df = spark.createDataFrame([(text,)], "text string")
+    start = time.perf_counter()
+    found = df.select(private_data.located(F.col("text"), private_data.CARD).alias("d")).select(F.size("d").alias("n"), F.element_at("d", -1).alias("last")).first()
+    assert time.perf_counter() - start < 15 and found.n == 100_000 and (found.last.start, found.last.stop) == (len(text) - 3, len(text) - 1)
+
+
 def test_languages(make, odd, odd_rows, nothing):
     rng = random.Random(6)
     rows, truth = [], []
