@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioscan.functions.ids import content_hash
+from folioscan.operators.ranks import previous_value
 from folioscan.plans import fixtures as X
 from folioscan.plans.registry import query
-from folioscan.streaming import jobs
+from folioscan.streaming import jobs, pacing
 
 MINUTE = "yyyy-MM-dd HH:mm"
 
@@ -82,3 +83,21 @@ select event_type, strftime(max(ts), '%Y-%m-%d %H:%M:%S') as last_request, count
 def stream_last_request(spark, d):
     state = jobs.stream_table(spark, d, "events").groupBy("event_type").agg(F.max("ts").alias("last_request"), F.count(F.lit(1)).alias("requests"))
     return jobs.drain_complete(state, "last").select("event_type", _stamp("last_request", "yyyy-MM-dd HH:mm:ss"), "requests")
+
+
+@query("stream_request_gap", "S5 W11", f"""
+with {X.REQUESTS_SQL}, g as (select event_id, endpoint, epoch_us(ts) / 1e6 - epoch_us(lag(ts) over (partition by endpoint order by ts, event_id)) / 1e6 gap from requests)
+select event_id, endpoint, round(gap, 3) as gap, case when gap < 60 then round(60 - gap, 3) else 0 end as wait from g""")
+def stream_request_gap(spark, d):
+    """Gap and wait of every request from state kept per endpoint."""
+    shape = lambda e: e.select(F.col("event_type").alias("endpoint"), "event_id", "ts")
+    events = jobs.event_table(spark, d, "events")
+    whole = previous_value(shape(events), ["endpoint"], "ts", ["ts", "event_id"], F.date_trunc("day", "ts"), "before")
+    passed = events.agg((F.date_trunc("millisecond", F.max("ts")) - F.expr("interval 2 hours")).alias("t")).scalar()
+    rest = whole.select("endpoint", "event_id", "ts", "before").filter(F.col("ts") >= passed)  # the watermark hasn't passed these
+    r = jobs.drain(pacing.previous_requests(shape(jobs.stream_table(spark, d, "events")), "endpoint", "2 hours", 3650), "pacing", rest)
+    secs = lambda c: F.unix_micros(F.col(c)) / 1e6
+    gap = r.withColumn("g", secs("ts") - secs("before"))
+    return gap.select(
+        "event_id", "endpoint", F.round("g", 3).alias("gap"), F.when(F.col("g") < 60, F.round(60 - F.col("g"), 3)).otherwise(0.0).alias("wait")
+    )

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from folioscan.streaming import jobs
+from folioscan.streaming import jobs, pacing
 
 
 def write(spark, folder, n, rows):
@@ -42,3 +42,36 @@ def test_complete_result_is_the_last_batch(spark, tmp_path):
     write(spark, folder, 1, [(2, "2024-01-01 01:00:00", 1, "view", 1.0)])
     out = jobs.drain_complete(stream(spark, folder).groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), "all")
     assert [tuple(r) for r in out.collect()] == [("view", 2)]
+
+
+def test_gaps_do_not_depend_on_batches(spark, tmp_path):
+    """Rows out of order across batches, ties, a row behind the watermark, a forgotten key."""
+    folder = str(tmp_path / "in")
+    row = lambda i, t, key: (i, f"2024-01-0{t}:00", 1, key, 1.0)
+    parts = [
+        [row(1, "1 00:10", "a"), row(2, "1 00:30", "a"), row(3, "1 00:05", "b")], [row(4, "1 00:20", "a"), row(6, "1 00:30", "a"), row(5, "1 00:30", "a")],
+        [row(7, "1 09:00", "b")], [row(8, "1 00:15", "a"), row(9, "1 09:10", "a")], [row(10, "8 00:00", "c")], [row(11, "8 01:00", "b")], [row(12, "9 00:00", "c")],
+    ]
+    for n, rows in enumerate(parts):
+        write(spark, folder, n, rows)
+
+    def gaps(per_batch, days):
+        events = stream(spark, folder, per_batch).select("event_type", "event_id", "ts")
+        out = jobs.drain(pacing.previous_requests(events, "event_type", "1 hour", days), "gaps")
+        return {r.event_id: (r.ts - r.before).total_seconds() / 60 if r.before else None for r in out.collect()}
+
+    one = gaps(1, 30)
+    assert one == {1: None, 4: 10, 2: 10, 5: 0, 6: 0, 3: None, 7: 535, 9: 520, 10: None, 11: 7 * 1440 - 480}
+    assert gaps(100, 30) == {**one, 8: 5, 4: 5}
+    assert gaps(1, 2)[11] is None
+
+
+def test_gaps_continue_after_a_restart(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for n in range(2):
+        write(spark, folder, n, [(10 * n + i, f"2024-01-01 0{2 * n}:{i}0:00", 1, "a", 1.0) for i in range(3)] + [(10 * n + 9, f"2024-01-01 0{2 * n + 1}:59:00", 1, "z", 1.0)])
+        events = stream(spark, folder).select("event_type", "event_id", "ts")
+        job = pacing.previous_requests(events, "event_type", "1 minute").writeStream.format("parquet").option("path", out)
+        job.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
+    got = {r.event_id: r.before for r in spark.read.parquet(out).collect()}
+    assert sorted(got) == [0, 1, 2, 9, 10, 11, 12] and got[10].minute == 20 and got[0] is None
