@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -33,7 +34,7 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 
 
 #: Rows that a Python worker holds at once; whole texts may be long.
-BATCH_ROWS = 128
+BATCH_ROWS = 1000
 
 
 def slices(column: pa.Array, most_bytes: int) -> Iterator[list[bytes]]:
@@ -65,6 +66,18 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return spread.join(starts, "_part").withColumn(name, place.cast("long")).drop("_part", "_at", "_before")
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of at most so many rows for what runs inside; for rows that hold whole blocks."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def mapped(df: DataFrame, run, schema: str) -> DataFrame:
     """`mapInArrow` with batches small enough for whole texts, for this session from now on."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

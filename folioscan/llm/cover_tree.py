@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioscan.llm.common import mapped, saved
+from folioscan.llm.common import batches_of, mapped, saved
 
 SCALE, EVERY, TOP = 256, 50, 5
 #: Fitted on so many vectors at most; each length gets so many centres at most.
@@ -38,6 +38,8 @@ SAMPLE, CENTRES = 2048, 64
 #: Rows of a block at 64 components; fewer where vectors are longer.
 QUERY_BLOCK, DATA_BLOCK = 1024, 4096
 QUERY_LEAF, DATA_LEAF, FAN = 128, 512, 16
+#: Pairs of blocks that a worker holds at once.
+PAIRS_HELD = 8
 NONE = np.iinfo(np.int64).min
 EXACT = 2.0**53
 
@@ -266,10 +268,13 @@ def searched(embeddings: DataFrame, is_query: Column, k: int = TOP, scale: int =
     above = inner(F.col("_c"), F.col("_e")) + F.col("_s") * size("_e") + F.col("_t") * size("_c") + F.col("_s") * F.col("_t")
     pairs = saved(a.join(b, "dims").select("dims", "q", "d", (above + 1 + F.abs(above) * 1e-9 + size("_c") * size("_e") * 1e-12).alias("above")), "block-pairs")
     first = pairs.groupBy("dims", "q").agg(F.max_by("d", F.struct("above", "d")).alias("d"))
-    seed = saved(met(first.withColumn("least", F.lit(None).cast("array<long>")), queries, data, k), "seed")
+    spark = embeddings.sparkSession
+    with batches_of(spark, PAIRS_HELD):
+        seed = saved(met(first.withColumn("least", F.lit(None).cast("array<long>")), queries, data, k), "seed")
     known = seed.select("dims", "q", F.col("d").alias("_done"), F.col("worst").alias("least"))
     rest = pairs.join(known, ["dims", "q"]).filter((F.col("d") != F.col("_done")) & (F.col("above") >= F.array_min("least")))
-    return seed, saved(met(rest.select("dims", "q", "d", "least"), queries, data, k), "rest")
+    with batches_of(spark, PAIRS_HELD):
+        return seed, saved(met(rest.select("dims", "q", "d", "least"), queries, data, k), "rest")
 
 
 def top_products(embeddings: DataFrame, is_query: Column | None = None, k: int = TOP, scale: int = SCALE) -> DataFrame:
