@@ -158,12 +158,19 @@ def disclosing(docs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame, flagged: DataFrame) -> DataFrame:
-    """_id, _mark and extra: all occurrences of flagged terms, outside of addresses, by document."""
+    """_id, _mark and extra: all occurrences of flagged terms, outside of addresses, by document.
+
+    Places are worked out only in the documents that hold such a term.
+    """
     sent = flagged.agg(F.coalesce(F.sum(F.length("term") + 16), F.lit(0))).first()[0]
     flagged = F.broadcast(flagged) if sent <= SENT_CHARACTERS else flagged
-    text = whole("text")
+    rows = docs.select("doc_id", F.xxhash64(whole("text")).alias("mark"), whole("text").alias("text"))
+    holding = rows.select("doc_id", "mark", F.explode(terms(F.col("text"))).alias("term")).join(flagged, "term", "left_semi")
+    holding = saved(holding.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "private-holding")
+    holding = F.broadcast(holding) if holding.count() * 24 <= SENT_CHARACTERS else holding
+    rows = rows.join(holding, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
     # Addresses are matched too, so that no word is found inside of one.
-    words = docs.select("doc_id", F.xxhash64(text).alias("mark"), F.explode(located(text, f"{EMAIL}|{TERM}")).alias("w"))
+    words = rows.select("doc_id", "mark", F.explode(located(F.col("text"), f"{EMAIL}|{TERM}")).alias("w"))
     words = words.select("doc_id", "mark", F.lower("w.value").alias("term"), "w.start", "w.stop")
     return words.join(flagged, "term").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
         F.collect_set(F.struct("start", "kind", "stop")).alias("extra")  # spans of one text
