@@ -40,15 +40,18 @@ FOUND = "struct<start:int,stop:int,value:string>"
 
 def running(numbers: Column) -> Column:
     """Running sums. They are built in stretches of the root of their number, as appending to one array would be quadratic."""
-    root = F.ceil(F.sqrt(F.size(numbers))).cast("int")
     grown = lambda part, first: F.aggregate(part, F.array(first.cast("int")), lambda sums, n: F.concat(sums, F.array((F.element_at(sums, -1) + n).cast("int"))))
 
     def stretches(parts: Column) -> Column:
         totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, n: (s + n).cast("int")))
-        return F.flatten(F.zip_with(parts, F.slice(grown(totals, F.lit(0)), 1, F.size(parts)), lambda p, first: F.slice(grown(p, first), 2, F.size(p))))
+        return let(grown(totals, F.lit(0)), lambda firsts: F.flatten(F.zip_with(parts, F.slice(firsts, 1, F.size(parts)), lambda p, first: F.slice(grown(p, first), 2, F.size(p)))))
 
-    cut = F.transform(F.sequence(F.lit(0), root - 1), lambda k: F.slice(numbers, k * root + 1, root))
-    return F.when(F.size(numbers) > 0, let(F.filter(cut, lambda p: F.size(p) > 0), stretches)).otherwise(F.array().cast("array<int>"))
+    def cut(whole: Column) -> Column:
+        root = F.ceil(F.sqrt(F.size(whole))).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), root - 1), lambda k: F.slice(whole, k * root + 1, root))
+        return F.when(F.size(whole) > 0, let(F.filter(parts, lambda p: F.size(p) > 0), stretches)).otherwise(F.array().cast("array<int>"))
+
+    return let(numbers, cut)
 
 
 def located(text: Column, pattern: str) -> Column:
