@@ -101,6 +101,53 @@ def rank_top_k(scored: DataFrame, k: int, score: str = "score", key: str = "doc_
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def bounded_top_k(queries: DataFrame, docs: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the k best documents per query, one row of counts), equal to `rank_top_k(bm25(queries, docs), k)`.
+
+    Term weights have maxima, so a document can be left out unscored. A floor comes first: the documents of each query's
+    most telling terms are scored in full, and the k-th best score is one that the result reaches at least.
+    Terms whose maxima together stay below the floor can't bring a document into the result by themselves; only
+    documents with one of the other, essential terms are candidates, and of these only those whose known weights plus all
+    that the rest could add reach the floor are scored on the frequent terms. What is compared are upper bounds,
+    so the result is exact. The counts (n_scored of n_postings) say how many (query, posting) pairs were added up.
+    """
+    terms = query_terms(queries)
+    post = query_postings(docs, terms)
+    df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weights = cut_lineage(_weigh(post.repartition("doc_id"), df, docs))
+    tops = weights.groupBy("term").agg(F.max("weight").alias("top"), F.count(F.lit(1)).alias("df"))
+    ranked = Window.partitionBy("query_id").orderBy("top", "term")  # the terms of one query
+    known = terms.join(tops, "term").withColumn("_below", F.sum("top").over(ranked)).withColumn("_n", F.row_number().over(ranked))
+    known = cut_lineage(known.select("query_id", "term", "top", "df", "_below", "_n"))
+    # The first guess: from the most telling term down, as many terms as it takes to meet k postings.
+    down = Window.partitionBy("query_id").orderBy(F.desc("_n")).rowsBetween(Window.unboundedPreceding, -1)
+    lead = known.withColumn("_met", F.coalesce(F.sum("df").over(down), F.lit(0))).filter(F.col("_met") < k)
+
+    def pairs_of(some: DataFrame) -> DataFrame:
+        return some.select("query_id", "term").join(weights, "term").select("query_id", "doc_id").distinct()
+
+    def summed(pairs: DataFrame) -> DataFrame:
+        added = known.select("query_id", "term").join(weights, "term").join(pairs, ["query_id", "doc_id"], "left_semi")
+        return added.groupBy("query_id", "doc_id").agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"), F.count(F.lit(1)).alias("_terms"))
+
+    first = cut_lineage(summed(pairs_of(lead)))
+    floor = rank_top_k(first, k).filter(F.col("rank") == k).select("query_id", F.col("score").alias("_floor"))
+    margin = 10.0**-SCORE_DIGITS
+    held = known.join(floor, "query_id", "left").withColumn("_essential", F.coalesce(F.col("_below") >= F.col("_floor") - margin, F.lit(True)))
+    rest = held.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("_essential"), F.col("top"))), F.lit(0.0)).alias("_rest"), F.max("_floor").alias("_floor"))
+    partial = held.filter("_essential").select("query_id", "term").join(weights, "term").groupBy("query_id", "doc_id").agg(F.sum("weight").alias("_sure"), F.count(F.lit(1)).alias("_terms"))
+    partial = cut_lineage(partial)
+    able = partial.join(rest, "query_id").filter(F.col("_floor").isNull() | (F.col("_sure") + F.col("_rest") >= F.col("_floor") - margin))
+    scores = cut_lineage(summed(able.select("query_id", "doc_id")))
+    every = known.agg(F.sum("df")).scalar()
+    counts = (
+        first.agg(F.coalesce(F.sum("_terms"), F.lit(0)).alias("a")).crossJoin(scores.agg(F.coalesce(F.sum("_terms"), F.lit(0)).alias("b")))
+        .crossJoin(partial.agg(F.coalesce(F.sum("_terms"), F.lit(0)).alias("c")))  # one row each
+        .select((F.col("a") + F.col("b") + F.col("c")).alias("n_scored"), F.coalesce(every, F.lit(0)).alias("n_postings"))
+    )
+    return rank_top_k(scores.select("query_id", "doc_id", "score"), k), counts
+
+
 def weighted_fields(queries: DataFrame, fields: list[tuple[DataFrame, float]]) -> DataFrame:
     """Sum of per-field BM25 times the field's weight; fields are tokenised inputs."""
     parts = None
