@@ -48,6 +48,17 @@ def user_latency_percentiles(spark, d):
     return monitoring.latency_stats(X.requests(spark, d), ["user_id"]).select("user_id", "successful", "median", "p95")
 
 
+@query("sliding_latency_quantiles", "S1 AGG15", f"""
+with {X.REQUESTS_SQL}, w as (select endpoint, response_time, unnest(range(time_bucket(interval 6 hour, ts) - interval 18 hour, time_bucket(interval 6 hour, ts) + interval 1 minute, interval 6 hour)) s from requests),
+l as (select endpoint, s, count(*) n, list_sort(list(response_time)) v from w group by 1, 2)
+select strftime(s, '%Y-%m-%d %H:%M') as window_start, endpoint, n, round(v[greatest(1, cast(ceil(n * 0.5) as bigint))], 10) as median, round(v[greatest(1, cast(ceil(n * 0.95) as bigint))], 10) as p95 from l""")
+def sliding_latency_quantiles(spark, d):
+    """Quantiles of a day, every six hours, merged from hourly sketches."""
+    hourly = monitoring.quantile_sketches(X.requests(spark, d), ["endpoint"], "response_time", "1 hour")
+    w = monitoring.sliding_quantiles(hourly, ["endpoint"], "24 hours", "6 hours", {"median": 0.5, "p95": 0.95})
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("window_start"), "endpoint", "n", F.round("median", 10).alias("median"), F.round("p95", 10).alias("p95"))
+
+
 @query("metric_windows", "AGG17 Z20 S1", """
 select strftime(time_bucket(interval 5 minute, ts), '%Y-%m-%d %H:%M') as window_start, event_type, count(*) as n, round(sum(value), 10) as total, round(avg(value), 10) as mean from events group by 1, 2""")
 def metric_windows(spark, d):
