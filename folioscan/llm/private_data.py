@@ -168,16 +168,15 @@ def marked(docs: DataFrame, flagged: DataFrame) -> DataFrame:
     sent = flagged.agg(F.coalesce(F.sum(F.length("term") + 16), F.lit(0))).first()[0]
     flagged = F.broadcast(flagged) if sent <= SENT_CHARACTERS else flagged
     rows = docs.select("doc_id", F.xxhash64(whole("text")).alias("mark"), whole("text").alias("text"))
-    holding = rows.select("doc_id", "mark", F.explode(terms(F.col("text"))).alias("term")).join(flagged, "term", "left_semi")
-    holding = saved(holding.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct(), "private-holding")
-    holding = F.broadcast(holding) if holding.count() * 24 <= SENT_CHARACTERS else holding
-    rows = rows.join(holding, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")), "left_semi")
+    held = rows.select("doc_id", "mark", F.explode(terms(F.col("text"))).alias("term")).join(flagged, "term")
+    own = F.map_from_entries(F.collect_set(F.struct("term", "kind")))  # flagged terms of one text
+    holding = saved(held.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(own.alias("own")), "private-holding")
+    size = holding.agg(F.coalesce(F.sum(F.size("own") * 32 + 24), F.lit(0))).first()[0]
+    holding = F.broadcast(holding) if size <= SENT_CHARACTERS else holding
+    rows = rows.join(holding, rows["doc_id"].eqNullSafe(F.col("_id")) & (F.col("mark") == F.col("_mark")))
     # Addresses are matched too, so that no word is found inside of one.
-    words = rows.select("doc_id", "mark", F.explode(located(F.col("text"), f"{EMAIL}|{TERM}")).alias("w"))
-    words = words.select("doc_id", "mark", F.lower("w.value").alias("term"), "w.start", "w.stop")
-    return words.join(flagged, "term").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).agg(
-        F.collect_set(F.struct("start", "kind", "stop")).alias("extra")  # spans of one text
-    )
+    words = F.transform(located(F.col("text"), f"{EMAIL}|{TERM}"), lambda w: F.struct(w["start"].alias("start"), F.try_element_at("own", F.lower(w["value"])).alias("kind"), w["stop"].alias("stop")))
+    return rows.select("_id", "_mark", F.filter(words, lambda w: w["kind"].isNotNull()).alias("extra")).dropDuplicates(["_id", "_mark"])
 
 
 def written(spans: Column) -> Column:
