@@ -113,9 +113,8 @@ def trigrams(text: Column) -> Column:
 def query_variations(base: Column) -> Column:
     """The base query plus question and usage phrasings."""
     # fixed values
-    before = [("", ""), ("How to ", "?"), ("What is ", "?"), ("Where to find ", "?")]
-    after = [("", " tutorial"), ("", " example"), ("", " setup")]
-    return F.array(*[F.concat(F.lit(a), base, F.lit(b)) for a, b in before + after])
+    phrasings = ["{}", "How to {}?", "What is {}?", "Where to find {}?", "{} tutorial", "{} example", "{} setup"]
+    return F.array(*[F.concat(F.lit(before), base, F.lit(after)) for before, after in (p.split("{}") for p in phrasings)])
 
 
 def normalise_endpoint(path: Column) -> Column:
@@ -148,6 +147,6 @@ def matches_any(text: Column, patterns: list[str]) -> Column:
 def keyword_tokens(text: Column) -> Column:
     """Whole words of three or more ASCII letters, lower-cased, without common words."""
     # fixed values
-    common = "the and for are but not you all can had has have this that with will".split()
+    common = ["the", "and", "for", "are", "but", "not", "you", "all", "can", "had", "has", "have", "this", "that", "with", "will"]
     runs = F.split(F.lower(text), r"[^\p{L}\p{N}_]+")
     return F.filter(runs, lambda w: w.rlike("^[a-z]{3,}$") & ~w.isin(common))

@@ -92,9 +92,9 @@ def ipv4_number(text: Column) -> Column:
 
 
 # fixed values: networks that are never fetched
-BLOCKED_V4 = """
-10.0.0.0/8 172.16.0.0/12 192.168.0.0/16 127.0.0.0/8 169.254.0.0/16 0.0.0.0/8 224.0.0.0/4 240.0.0.0/4
-""".split()
+BLOCKED_V4 = [
+    "10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8", "169.254.0.0/16", "0.0.0.0/8", "224.0.0.0/4", "240.0.0.0/4",
+]
 BLOCKED_V6_PATTERN = r"^(::1|(0{1,4}:){7}0{0,3}1|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$"
 
 

@@ -27,7 +27,8 @@ LICENSE_PATTERNS = {
     "CC-BY-4.0": r"Creative\s+Commons.*Attribution\s+4\.0",
     "CC-BY-SA-4.0": r"Creative\s+Commons.*Attribution-ShareAlike\s+4\.0",
 }
-ALLOWED_LICENSES = "MIT Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-SA-4.0 ISC Unlicense 0BSD".split()
+# fixed values: licenses that may be used
+ALLOWED_LICENSES = ["MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "ISC", "Unlicense", "0BSD"]
 # fixed values: ports of internal services, hosts of instance metadata, names of the local host
 BLOCKED_PORTS = [22, 23, 25, 53, 110, 143, 993, 995, 1433, 1521, 3306, 3389, 5432, 5984, 6379, 8086, 9200, 27017]
 METADATA_HOSTS = ["metadata.google.internal", "169.254.169.254", "metadata.azure.com", "metadata.packet.net"]

@@ -28,8 +28,10 @@ FIELDS = {
     "retry_config": ("object", "1.2"), "content_filters": ("object", "1.2"),
 }
 REQUIRED = ["name", "base_urls"]
-WARNINGS = """UNKNOWN_FIELD NAME_TOO_LONG HIGH_RATE_LIMIT DEEP_CRAWL LONG_TIMEOUT CONFLICTING_PATTERNS LONG_CRAWL_TIME
-RESOURCE_INTENSIVE INSECURE_URL PLAINTEXT_PASSWORD""".split()
+WARNINGS = [
+    "UNKNOWN_FIELD", "NAME_TOO_LONG", "HIGH_RATE_LIMIT", "DEEP_CRAWL", "LONG_TIMEOUT", "CONFLICTING_PATTERNS", "LONG_CRAWL_TIME",
+    "RESOURCE_INTENSIVE", "INSECURE_URL", "PLAINTEXT_PASSWORD",
+]
 
 
 def _codes(*rules: tuple[Column, str]) -> Column:
