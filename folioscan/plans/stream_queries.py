@@ -45,7 +45,7 @@ s as (select *, sum(case when p is null or ts >= p + interval 30 minute then 1 e
 g as (select user_id, min(ts) a, max(ts) + interval 30 minute b, sum((event_type = 'view')::int)::bigint q, sum((event_type = 'click')::int)::bigint c from s group by user_id, sid)
 select user_id, strftime(a, '%Y-%m-%d %H:%M') as start_time, strftime(b, '%Y-%m-%d %H:%M') as end_time, q as query_count, c as click_count from g""")
 def stream_sessions(spark, d):
-    s, rest = both(spark, d, "end_time", "1 hour", lambda e: jobs.sessions(e, "30 minutes", "1 hour"))
+    s, rest = both(spark, d, "end_time - interval 1 microsecond", "1 hour", lambda e: jobs.sessions(e, "30 minutes", "1 hour"))
     return jobs.drain(s, "sessions", rest).select("user_id", _stamp("start_time"), _stamp("end_time"), "query_count", "click_count")
 
 

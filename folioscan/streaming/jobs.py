@@ -19,9 +19,9 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tail(rows: DataFrame, events: DataFrame, end: str, late: str) -> DataFrame:
-    """Rows of a finished table that its stream holds back: those that end after the last watermark."""
+    """Rows of a finished table that its stream holds back: those whose `end` (an expression) lies after the last watermark."""
     last = F.date_trunc("millisecond", F.max("ts")) - F.expr(f"interval {late}")
-    return rows.filter(F.col(end) > events.agg(last.alias("t")).scalar())
+    return rows.filter(F.expr(end) > events.agg(last.alias("t")).scalar())
 
 
 def event_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +73,14 @@ def windows(events: DataFrame, keys: list[str], width: str, slide: str | None, l
 
 
 def sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
-    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id")
+    """Sessions per user. The end is an aggregate, not the window's: a filter on the window's end would reach the events
+    before they are merged into sessions and take off a session's early ones. An event exactly `gap` after the last one begins
+    a session; windows that touch would be merged, so they are a microsecond shorter."""
+    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", f"{gap} -1 microseconds"), "user_id")
     return grouped.agg(
-        F.count_if(F.col("event_type") == "view").alias("query_count"), F.count_if(F.col("event_type") == "click").alias("click_count")
-    ).select(
-        "user_id", F.col("session_window.start").alias("start_time"), F.col("session_window.end").alias("end_time"), "query_count", "click_count"
-    )
+        F.count_if(F.col("event_type") == "view").alias("query_count"), F.count_if(F.col("event_type") == "click").alias("click_count"),
+        (F.max("ts") + F.expr(f"interval {gap}")).alias("end_time"),
+    ).select("user_id", F.col("session_window.start").alias("start_time"), "end_time", "query_count", "click_count")
 
 
 def unique_events(events: DataFrame, keys: list[str], late: str) -> DataFrame:

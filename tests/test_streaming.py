@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from folioscan.plans import load_all
 from folioscan.streaming import jobs, pacing
 
 
@@ -75,3 +76,14 @@ def test_gaps_continue_after_a_restart(spark, tmp_path):
         job.option("checkpointLocation", f"{out}-progress").trigger(availableNow=True).start().awaitTermination()
     got = {r.event_id: r.before for r in spark.read.parquet(out).collect()}
     assert sorted(got) == [0, 1, 2, 9, 10, 11, 12] and got[10].minute == 20 and got[0] is None
+
+
+def test_sessions_that_cross_the_last_watermark_stay_whole(spark, tmp_path):
+    """A session held back by the stream keeps the events whose own half hour ended before the watermark."""
+    rows = [(1, 7, "2024-01-01 09:22:00", "view"), (2, 7, "2024-01-01 09:33:00", "click"), (3, 8, "2024-01-01 11:00:00", "view"), (4, 7, "2024-01-01 08:52:00", "view")]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts string, event_type string").withColumn("ts", F.to_timestamp_ntz("ts"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted((r.user_id, r.start_time, r.end_time, r.query_count, r.click_count) for r in load_all()["stream_sessions"].run(spark, str(tmp_path)).collect())
+    assert got == [
+        (7, "2024-01-01 08:52", "2024-01-01 09:22", 1, 0), (7, "2024-01-01 09:22", "2024-01-01 10:03", 1, 1), (8, "2024-01-01 11:00", "2024-01-01 11:30", 1, 0),
+    ]
