@@ -70,7 +70,9 @@ def headings(html: Column) -> Column:
 
 def markdown(html: Column) -> Column:
     """Readable Markdown: headings, list items, links, emphasis and paragraphs; navigation removed."""
-    out = F.regexp_replace(drop_code(html), r"(?is)<(nav|head|footer|aside)\b[^>]*>.*?</\1\s*>", "")
+    out = drop_code(html)
+    for tag in ("nav", "head", "footer", "aside"):  # one kind after the other, also where they overlap
+        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "")
     for level in range(1, 7):
         out = F.regexp_replace(
             out, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}\s*>", "\n\n" + "#" * level + " $1\n\n"

@@ -1,5 +1,6 @@
 """Queries over pages take every page."""
 
+import duckdb
 from pyspark.sql import functions as F
 
 from folioscan.operators import links
@@ -30,3 +31,18 @@ def test_every_link_leads_on(spark):
     )
     depths = {r.node: r.depth for r in links.reach(links.link_edges(pages), spark.createDataFrame([("p1",)], "node string"), 6).collect()}
     assert depths == {"p1": 0, "https://a.example/x": 1, "p2": 1, "https://a.example": 2, "https://b.example/p?q=1": 2, "https://b.example": 3, "p3": 4}
+
+
+def test_short_pages_and_overlapping_blocks_become_markdown(spark, tmp_path):
+    """Short Markdown stays Markdown; navigation goes before heads and footers, as in the SQL; a last line separator is no end."""
+    rows = [
+        (1, "https://a.example/x", "<body><h1>T</h1><p>a <b>b</b></p></body>"), (2, "https://a.example/", "<body><footer>a <head>b</footer> c</head><p>d</p></body>"),
+        (3, "https://a.example/y", "<body><p>e</p>\u2028</body>"),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    entry = load_all()["page_to_markdown"]
+    got = sorted(tuple(r) for r in entry.run(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    assert got == sorted(con.execute(entry.sql).fetchall())
+    assert got[0][2] == "# T\n\na **b**"
