@@ -131,7 +131,7 @@ def coherence(spark, d):
 def planted_qrels(spark: SparkSession, d: str) -> DataFrame:
     """Documents that contain a benchmark text; candidates hold all of its terms, the text decides."""
     q, docs = bench_queries(spark, d), load_spread(spark, d, "documents", "doc_id").select("doc_id", "text")
-    candidates = lexical.bm25(q, lexical.tokenised(docs, "doc_id", F.col("text")), match="all").select("query_id", "doc_id")
+    candidates = lexical.with_all_terms(q, lexical.tokenised(docs, "doc_id", F.col("text"))).select("query_id", "doc_id")
     both = candidates.join(q, "query_id").join(docs, "doc_id")
     # a handful of judgments, used by several metrics
     return cut_lineage(both.filter(F.contains("text", "query_text")).select("query_id", "doc_id"))
