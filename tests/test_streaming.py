@@ -87,3 +87,14 @@ def test_sessions_that_cross_the_last_watermark_stay_whole(spark, tmp_path):
     assert got == [
         (7, "2024-01-01 08:52", "2024-01-01 09:22", 1, 0), (7, "2024-01-01 09:22", "2024-01-01 10:03", 1, 1), (8, "2024-01-01 11:00", "2024-01-01 11:30", 1, 0),
     ]
+
+
+def test_waiting_requests_are_packed_and_answered_in_batches(spark, tmp_path, monkeypatch):
+    """All requests of a key in one batch: none is lost at the borders of the answers, and the state holds bytes."""
+    assert pacing.STATE == "last long, held binary, ids binary"
+    monkeypatch.setattr(pacing, "ANSWERS", 3)
+    folder = str(tmp_path / "in")
+    write(spark, folder, 0, [(i, f"2024-01-01 00:{59 - i % 60:02d}:00", 1, "view", 1.0) for i in range(10)] + [(99, "2024-01-02 00:00:00", 1, "other", 1.0)])
+    r = jobs.drain(pacing.previous_requests(stream(spark, folder), "event_type", "1 hour"), "packed")
+    got = sorted((x.ts.minute, x.before and x.before.minute) for x in r.filter("event_type = 'view'").collect())
+    assert got == [(50 + i, 49 + i if i else None) for i in range(10)]
