@@ -65,6 +65,5 @@ select doc_id, min(b) as reuse_from, round(max(j), 6) as similarity from p where
 def embedding_reuse(spark, d):
     docs = load_spread(spark, d, "documents", "doc_id")
     vec = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))
-    wanted, cached = docs.join(vec, "doc_id", "left_anti"), docs.join(vec, "doc_id", "left_semi")
-    out = similarity.reuse_candidates(wanted, cached, "doc_id", "text", 0.9)
+    out = similarity.reuse_within(docs, vec, "doc_id", "text", 0.9)
     return out.select("doc_id", "reuse_from", F.round("similarity", 6).alias("similarity"))
