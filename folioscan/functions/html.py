@@ -7,7 +7,7 @@ from html.entities import name2codepoint
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folioscan.functions.text import squeeze_phrases, strip
+from folioscan.functions.text import let, squeeze_phrases, strip
 
 def unescape(text: Column) -> Column:
     """Decimal, hexadecimal and named character references as characters; a non-breaking space becomes a blank.
@@ -18,14 +18,19 @@ def unescape(text: Column) -> Column:
     names = F.create_map(*[F.lit(x) for name, code in sorted(name2codepoint.items()) for x in (name, code)], F.lit("apos"), F.lit(39))
 
     def one(piece: Column) -> Column:
+        def number(ref: Column) -> Column:
+            return (
+                F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("int"))
+                .when(ref.startswith("#"), F.substring(ref, 2, 7).try_cast("int")).otherwise(F.try_element_at(names, ref))
+            )
+
+        def decoded(code: Column) -> Column:
+            sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+            char = F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
+            return F.when(sound, F.concat(char, F.regexp_replace(piece, "^&[^;]*;", ""))).otherwise(piece)
+
         ref = F.regexp_extract(piece, r"^&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
-        code = (
-            F.when(ref.rlike("^#[xX]"), F.conv(F.substring(ref, 3, 6), 16, 10).try_cast("int"))
-            .when(ref.startswith("#"), F.substring(ref, 2, 7).try_cast("int")).otherwise(F.try_element_at(names, ref))
-        )
-        sound = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(code == 160, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32"))
-        return F.when(sound, F.concat(char, F.regexp_replace(piece, "^&[^;]*;", ""))).otherwise(piece)
+        return F.when(piece.startswith("&"), let(let(ref, number), decoded)).otherwise(piece)
 
     return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "(?=&)"), one), "")).otherwise(text)
 

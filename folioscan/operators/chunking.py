@@ -61,20 +61,44 @@ def pack_paragraphs(body: Column, limit: int = SIZE) -> Column:
 
 
 def pack_sentences(body: Column, limit: int, overlap: int) -> Column:
-    """Greedy sentences; a new chunk starts with the whole sentences in the last `overlap` characters."""
-
-    def step(acc: Column, s: Column) -> Column:
-        cur = acc["cur"]
-        full = (cur != "") & (F.length(cur) + F.length(s) > limit)
-        tail = sentences(F.substring(cur, -overlap, overlap))
-        carried = F.concat(F.array_join(F.slice(tail, F.lit(2), F.size(tail)), " "), F.lit(" "), s)
-        carries = F.lit(overlap > 0) & (F.length(cur) > overlap) & (F.size(tail) > 1)
-        return _state(
-            F.when(full, _add(acc["out"], strip(cur))).otherwise(acc["out"]),
-            F.when(full & carries, carried).when(full, s).otherwise(_glue(cur, " ", s)),
-        )
+    """Greedy sentences; a new chunk starts with the whole sentences in the last `overlap` characters.
+
+    The open chunk is `head` and the sentences since `first`, with its length in `n`; its text is put together only when it is full.
+    """
+    shape = "struct<out:array<string>,head:string,first:int,at:int,n:int>"
+
+    def state(out: Column, head: Column, first: Column, at: Column, n: Column) -> Column:
+        return F.struct(out.alias("out"), head.alias("head"), first.alias("first"), at.alias("at"), n.alias("n")).cast(shape)
+
+    def pack(every: Column) -> Column:
+        text = lambda acc: F.concat(acc["head"], F.array_join(F.slice(every, acc["first"] + 1, acc["at"] - acc["first"]), " "))
+
+        def step(acc: Column, s: Column) -> Column:
+            out, at, n = acc["out"], acc["at"], acc["n"]
+
+            def opened(head: Column) -> Column:
+                return state(_add(out, strip(text(acc))), head, at, at + 1, F.length(head) + F.length(s))
+
+            def carried(tail: Column) -> Column:
+                rest = F.concat(F.array_join(F.slice(tail, F.lit(2), F.size(tail)), " "), F.lit(" "))
+                return F.when(F.size(tail) > 1, rest).otherwise("")
+
+            none = F.lit("")
+            head = F.when(n > overlap, let(sentences(F.substring(text(acc), -overlap, overlap)), carried)).otherwise(none) if overlap > 0 else none
+            # one branch per case, so that each part of it is computed once
+            return (
+                F.when(n == 0, state(out, none, at, at + 1, F.length(s)))
+                .when(n + F.length(s) > limit, let(head, opened))
+                .otherwise(state(out, acc["head"], acc["first"], at + 1, n + 1 + F.length(s)))
+            )
 
-    return F.aggregate(sentences(body), _zero(), step, _flush)
+        def finish(acc: Column) -> Column:
+            return let(strip(text(acc)), lambda cur: F.when(cur != "", _add(acc["out"], cur)).otherwise(acc["out"]))
+
+        zero = F.struct(F.array(), F.lit(""), F.lit(0), F.lit(0), F.lit(0)).cast(shape)
+        return F.aggregate(every, zero, step, finish)
+
+    return let(sentences(body), pack)
 
 
 def size_windows(body: Column, size: int = SIZE, overlap: int = 0, min_size: int = MIN_SIZE) -> Column:
@@ -82,29 +106,37 @@ def size_windows(body: Column, size: int = SIZE, overlap: int = 0, min_size: int
 
     overlap 0 starts the next window where the last one ended; a positive overlap steps back by that much.
     Windows shorter than min_size are dropped; a text that fits one window is returned unchanged.
+    A window is read from the blocks that hold it, never counted from the start of the text, so long texts stay linear.
     """
     if not 0 <= overlap < size - LOOK_BACK:
         raise ValueError(f"overlap must be at least 0 and under {size - LOOK_BACK}")
     shape = "struct<start:int,out:array<string>>"
-    n = F.length(body)
-    turns = F.sequence(F.lit(0), F.floor(n / (size - LOOK_BACK - overlap)).cast("int") + 1)
-
-    def step(acc: Column, _turn: Column) -> Column:
-        start = acc["start"]
-        full = start + size
-        window = F.substring(body, start + size - LOOK_BACK + 1, F.lit(LOOK_BACK))
-        back = F.length(F.regexp_extract(window, r"(?s)^(.*[.!?]\s+)", 1))
-        end = F.when((full < n) & (back > 0), full - LOOK_BACK + back).otherwise(full)
-        piece = strip(F.substring(body, start + 1, end - start))
-        out = F.when(F.length(piece) >= min_size, _add(acc["out"], piece)).otherwise(acc["out"])
-        following = F.when(end >= n, end).otherwise(end - overlap)
-        done = start >= n
-        return F.struct(
-            F.when(done, start).otherwise(following).alias("start"), F.when(done, acc["out"]).otherwise(out).alias("out")
-        ).cast(shape)
+    per_window = -(-size // LOOK_BACK) + 1
+
+    def windows(held: Column) -> Column:
+        blocks, n = held["blocks"], held["n"]
+        turns = F.sequence(F.lit(0), F.floor(n / (size - LOOK_BACK - overlap)).cast("int") + 1)
+
+        def step(acc: Column, _turn: Column) -> Column:
+            start = acc["start"]
+
+            def window(w: Column) -> Column:
+                back = F.length(F.regexp_extract(F.substring(w, size - LOOK_BACK + 1, LOOK_BACK), r"(?s)^(.*[.!?]\s+)", 1))
+                taken = F.when(start + size < n, let(back, lambda b: F.when(b > 0, b + size - LOOK_BACK).otherwise(size))).otherwise(size)
+                return let(taken, lambda t: let(strip(F.substring(w, F.lit(1), t)), lambda piece: following(start + t, piece)))
+
+            def following(end: Column, piece: Column) -> Column:
+                out = F.when(F.length(piece) >= min_size, _add(acc["out"], piece)).otherwise(acc["out"])
+                return F.struct(F.when(end >= n, end).otherwise(end - overlap).alias("start"), out.alias("out")).cast(shape)
+
+            near = F.array_join(F.slice(blocks, F.floor(start / LOOK_BACK).cast("int") + 1, F.lit(per_window)), "")
+            return F.when(start >= n, acc).otherwise(let(F.substring(near, start % LOOK_BACK + 1, F.lit(size)), window))
+
+        return F.aggregate(turns, F.struct(F.lit(0), F.array()).cast(shape), step, lambda acc: acc["out"])
 
-    cut = F.aggregate(turns, F.struct(F.lit(0), F.array()).cast(shape), step, lambda acc: acc["out"])
-    return F.when(n <= size, F.array(body)).otherwise(cut)
+    blocks = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{LOOK_BACK}}}"), F.lit(0))
+    cut = let(F.struct(blocks.alias("blocks"), F.length(body).alias("n")), windows)
+    return F.when(F.length(body) <= size, F.array(body)).otherwise(cut)
 
 
 def word_windows(body: Column, window: int = WORD_WINDOW, overlap: int = WORD_OVERLAP, limit: int = SIZE) -> Column:
@@ -179,9 +211,10 @@ def html_chunks(pages: DataFrame, key: str, page: str, size: int = SIZE) -> Data
 
 def content_kind(body: Column) -> Column:
     """markdown when there is an ATX heading line, else html when there is any tag, else text."""
+    # a plain search for the one character that each pattern needs spares most texts the patterns
     return (
-        F.when(body.rlike(r"(?m)^#{1,6}\s+.+$"), "markdown")
-        .when(body.rlike(r"(?i)<html|<body") | body.rlike(r"<[^>]+>"), "html")
+        F.when(F.contains(body, F.lit("#")) & body.rlike(r"(?m)^#{1,6}\s+.+$"), "markdown")
+        .when(F.contains(body, F.lit("<")) & (body.rlike(r"(?i)<html|<body") | body.rlike(r"<[^>]+>")), "html")
         .otherwise("text")
     )
 

@@ -23,7 +23,7 @@ def heading_list(lines: Column, stripped: bool = False) -> Column:
     numbered = F.transform(
         lines, lambda l, i: F.struct(i.alias("line"), (strip(l) if stripped else l).alias("s"))
     )
-    found = F.filter(numbered, lambda x: x["s"].rlike(r"^#{1,6}\s+.+$"))
+    found = F.filter(numbered, lambda x: x["s"].startswith("#") & x["s"].rlike(r"^#{1,6}\s+.+$"))
     return F.transform(
         found,
         lambda x: F.struct(
@@ -131,14 +131,12 @@ def html_section_array(page: Column) -> Column:
         return F.when(acc["cur"] != "", F.concat(acc["out"], F.array(one))).otherwise(acc["out"])
 
     def step(acc: Column, p: Column) -> Column:
-        is_head = p["tag"].rlike("^h[1-6]$")
+        def state(out: Column, heading: Column, level: Column, cur: Column) -> Column:
+            return F.struct(out.alias("out"), heading.alias("heading"), level.alias("level"), cur.alias("cur")).cast(shape)
+
+        headed = state(flush(acc), p["text"], F.substring(p["tag"], 2, 1).cast("int"), F.lit(""))
         joined = F.concat_ws(" ", F.nullif(acc["cur"], F.lit("")), p["text"])
-        return F.struct(
-            F.when(is_head, flush(acc)).otherwise(acc["out"]).alias("out"),
-            F.when(is_head, p["text"]).otherwise(acc["heading"]).alias("heading"),
-            F.when(is_head, F.substring(p["tag"], 2, 1).cast("int")).otherwise(acc["level"]).alias("level"),
-            F.when(is_head, F.lit("")).otherwise(joined).alias("cur"),
-        ).cast(shape)
+        return F.when(p["tag"].rlike("^h[1-6]$"), headed).otherwise(state(acc["out"], acc["heading"], acc["level"], joined))
 
     return F.aggregate(kept, zero, step, flush)
 

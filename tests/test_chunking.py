@@ -1,4 +1,5 @@
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,3 +105,35 @@ def test_word_windows(spark):
     body = " ".join(f"w{i}" for i in range(2000))
     c = docs(spark, body).select(chunking.word_windows(F.col("body")).alias("c")).first().c
     assert [x.split()[0] for x in c] == ["w0", "w850", "w1700"] and len(c[0].split()) == 1000
+
+
+def brute_packed(text, limit, overlap):
+    """The greedy rule over whole strings: the open chunk is measured and cut as text."""
+    cut = lambda t: re.split(r"(?<=[.!?])\s+", t)
+    out, cur = [], ""
+    for s in cut(text):
+        if cur and len(cur) + len(s) > limit:
+            out.append(cur.strip(" \t\n\f\r"))
+            tail = cut(cur[-overlap:])
+            cur = " ".join(tail[1:]) + " " + s if len(cur) > overlap and len(tail) > 1 else s
+        else:
+            cur = cur + " " + s if cur else s
+    return out + [cur.strip(" \t\n\f\r")] * bool(cur.strip(" \t\n\f\r"))
+
+
+def test_packed_sentences_equal_the_rule_on_strings(spark):
+    even = " ".join(f"Satz {i} ist é lang{'!' if i % 7 else '.'}" for i in range(300))
+    texts = [even, "", "  ", "One. ", ". . . ! ? " * 90, "x" * 900 + ". " + "y" * 700, "A.\n\n B?  C! " * 80, " lead. " * 60, ("w" * 59 + ". ") * 40]
+    for limit, overlap in ((200, 60), (600, 200)):
+        got = docs(spark, *texts).select("doc_id", chunking.pack_sentences(F.col("body"), limit, overlap).alias("c")).collect()
+        assert {r.doc_id: r.c for r in got} == {i: brute_packed(t, limit, overlap) for i, t in enumerate(texts)}
+
+
+def test_long_text_is_cut_in_linear_time(spark):
+    """Windows that were counted from the start of the text took quadratic time."""
+    body = "A sentence of some forty characters, no. " * 50000
+    cut(spark, body[:5000])
+    begun = time.time()
+    pieces = cut(spark, body)
+    assert time.time() - begun < 20
+    assert sum(len("".join(p.split())) for p in pieces) == len("".join(body.split()))
