@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscan.functions.text import tokens
 
+# fixed value: hashed tokens kept in a task
+KNOWN_TOKENS = 200_000
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y)
@@ -38,42 +44,48 @@ def unit(a: Column) -> Column:
     return F.when(n == 0, a.cast("array<double>")).otherwise(F.transform(a, lambda x: x.cast("double") / n))
 
 
-def hashed_slots(text: Column, dims: int) -> Column:
-    """One signed slot per token: 1..dims from the token's md5, negative when the next hex digit is odd."""
-
-    def slot(token: Column) -> Column:
-        digest = F.md5(token)
-        index = F.conv(F.substring(digest, 1, 7), 16, 10).cast("int") % dims + 1
-        odd = F.substring(digest, 8, 1).isin("1", "3", "5", "7", "9", "b", "d", "f")
-        return F.when(odd, -index).otherwise(index)
-
-    return F.transform(tokens(text), slot)
-
-
-def _embed_batch(slots: pd.Series, dims: int) -> pd.Series:
-    lengths = np.fromiter((len(s) for s in slots), dtype=np.int64, count=len(slots))
-    flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in slots]) if lengths.sum() else np.empty(0, np.int64)
-    row = np.repeat(np.arange(len(slots)), lengths)
-    cells = row * dims + np.abs(flat) - 1
-    dense = np.bincount(cells, weights=np.sign(flat), minlength=len(slots) * dims)
-    dense = dense.astype(float).reshape(len(slots), dims)  # an all-blank batch counts as integers
+def hashed_slot(token: str, dims: int) -> int:
+    """Signed slot of a token: 1..dims from its md5, negative when the next hex digit is odd."""
+    digest = hashlib.md5(token.encode()).hexdigest()
+    index = int(digest[:7], 16) % dims + 1
+    return -index if int(digest[7], 16) % 2 else index
+
+
+def _embed_batch(lists: pa.ListArray, dims: int, known: dict[str, int]) -> pa.ListArray:
+    """Unit vectors of a batch of token lists; a token is hashed once per task while `known` holds it."""
+    n = len(lists)
+    words = lists.flatten().dictionary_encode()
+    if len(known) > KNOWN_TOKENS:
+        known.clear()
+    distinct = words.dictionary.to_pylist()
+    for word in distinct:
+        if word not in known:
+            known[word] = hashed_slot(word, dims)
+    slots = np.fromiter((known[w] for w in distinct), dtype=np.int64, count=len(distinct))
+    flat = slots[words.indices.to_numpy(zero_copy_only=False).astype(np.int64)]
+    row = np.repeat(np.arange(n), np.diff(lists.offsets.to_numpy()))
+    dense = np.bincount(row * dims + np.abs(flat) - 1, weights=np.sign(flat), minlength=n * dims)
+    dense = dense.astype(float).reshape(n, dims)  # an all-blank batch counts as integers
     size = np.linalg.norm(dense, axis=1, keepdims=True)
-    return pd.Series(list(np.divide(dense, size, out=dense, where=size > 0)))
+    dense = np.divide(dense, size, out=dense, where=size > 0)
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dims, pa.int32()), pa.array(dense.ravel()))
 
 
 def hashing_embedder(dims: int = 64):
     """Pluggable text -> unit vector function; blank text gives the zero vector.
 
-    Tokens are hashed in the JVM, only integers cross to Python, and one bincount serves a whole batch.
+    Texts are split in the JVM; a batch's distinct tokens are hashed once each, and one bincount serves the whole batch.
     """
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def bag(slots: pd.Series) -> pd.Series:
-        return _embed_batch(slots, dims)
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def bag(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict[str, int] = {}
+        for lists in batches:
+            yield _embed_batch(lists, dims, known)
 
     # declared non-deterministic so that a filter on the vector does not embed every text twice
     once = bag.asNondeterministic()
-    return lambda text: once(hashed_slots(F.coalesce(text, F.lit("")), dims))
+    return lambda text: once(tokens(F.coalesce(text, F.lit(""))))
 
 
 EMBEDDERS = {"hashing-64": lambda: hashing_embedder(64), "hashing-384": lambda: hashing_embedder(384)}

@@ -123,3 +123,24 @@ def test_weight_update_needs_ten_clicks(spark):
     assert good.w_avg_dwell_time / good.w_rrf_score == pytest.approx(0.3 * 1.01 / 0.6)
     assert poor.w_click_rate / poor.w_rrf_score == pytest.approx(0.8 * 0.99 / 0.6)
     assert sum(v * v for k, v in good.asDict().items() if k.startswith("w_")) == pytest.approx(1.0)
+
+
+def test_embedder_hashes_a_token_once_per_task(spark, monkeypatch):
+    """Every token of every text used to be hashed; many copies of a word now cost one hash."""
+    import hashlib
+
+    import pyarrow as pa
+
+    from folioscan.functions import vectors
+
+    seen = []
+    monkeypatch.setattr(vectors, "hashed_slot", lambda t, dims, real=vectors.hashed_slot: seen.append(t) or real(t, dims))
+    known = {}
+    rows = [["aa", "bb", "aa"] * 50, [], ["bb", "é"]]
+    got = [vectors._embed_batch(pa.array(rows, pa.list_(pa.string())), 64, known).to_pylist() for _ in range(2)]
+    assert sorted(seen) == ["aa", "bb", "é"] and got[0] == got[1] and got[0][1] == [0.0] * 64
+    want = np.zeros(64)
+    for t in rows[2]:
+        h = hashlib.md5(t.encode()).hexdigest()
+        want[int(h[:7], 16) % 64] += -1.0 if int(h[7], 16) % 2 else 1.0
+    assert np.allclose(got[0][2], want / np.linalg.norm(want))
