@@ -144,3 +144,16 @@ def test_embedder_hashes_a_token_once_per_task(spark, monkeypatch):
         h = hashlib.md5(t.encode()).hexdigest()
         want[int(h[:7], 16) % 64] += -1.0 if int(h[7], 16) % 2 else 1.0
     assert np.allclose(got[0][2], want / np.linalg.norm(want))
+
+
+def test_texts_are_not_moved_to_meet_the_few_hits(spark):
+    """Whole texts used to be shuffled by doc_id, and all clicks grouped, for ten hits per query."""
+    from folioscan.plans import ranking_queries
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = ranking_queries.features(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin [doc_id" in plan and "BroadcastHashJoin [chunk_id" in plan
