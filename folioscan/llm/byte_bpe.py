@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import struct
 from collections.abc import Iterator
 from functools import cache
 
@@ -30,46 +31,60 @@ from folioscan.llm.common import mapped
 STATES, PIECES = 200_000, 150_000
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
-Move = tuple[int, tuple[int, ...]]
-
-
 Edge = tuple[tuple[int, int], ...]
 
+#: An entry of a state's tail: a token and where it begins (before the pending bytes if negative).
+ENTRY = struct.Struct("<Ii")
+#: A move is one number: the next state, and above its bits the number of the tokens that became certain (0: none).
+LOW, SHIFT = (1 << 32) - 1, 32
+
 
 class Transducer:
+    """States are kept as packed bytes and numbers, without a tuple or a dictionary of their own: a worker holds many."""
+
     def __init__(self, merges: RankedBytes):
         self.m = merges
         self.reset()
 
     def reset(self) -> None:
-        self.number: dict[tuple[Edge, bytes], int] = {}
-        self.config: list[tuple[Edge, bytes, tuple[tuple[int, int], ...], tuple[int, ...]]] = []
-        self.moves: list[dict[int, Move]] = []
-        self.flush: list[tuple[int, ...] | None] = []
-        self.start = self.state((), b"", (), (0,))
-
-    def state(self, edge: Edge, pending: bytes, tail: tuple[tuple[int, int], ...], live: tuple[int, ...]) -> int:
+        self.number: dict[bytes, int] = {}
+        self.keys: list[bytes] = []  # the edge's number in four bytes, then the pending bytes
+        self.tails: list[bytes] = []
+        self.lives: list[tuple[int, ...]] = []
+        self.moves: dict[int, int] = {}  # by state << 8 | byte
+        self.edges: dict[Edge, int] = {}
+        self.edge_at: list[Edge] = []
+        self.outs: dict[tuple[int, ...], int] = {(): 0}
+        self.out_at: list[tuple[int, ...]] = [()]
+        self.same: dict[tuple[int, ...], tuple[int, ...]] = {}
+        self.start = self.state((), b"", b"", (0,))
+
+    def state(self, edge: Edge, pending: bytes, tail: bytes, live: tuple[int, ...]) -> int:
         """`edge`: what of the last emitted token can still hinder a token; `live`: where a later token may begin.
 
         `tail` has, for each prefix of the pending bytes but the empty one, its last token and where that begins.
         """
-        key = (edge, pending)
+        n = self.edges.get(edge)
+        if n is None:
+            n = self.edges[edge] = len(self.edge_at)
+            self.edge_at.append(edge)
+        key = n.to_bytes(4, "little") + pending
         at = self.number.get(key)
         if at is None:
-            at = self.number[key] = len(self.config)
-            self.config.append((edge, pending, tail, live))
-            self.moves.append({})
-            self.flush.append(None)
+            at = self.number[key] = len(self.keys)
+            self.keys.append(key)
+            self.tails.append(tail)
+            self.lives.append(self.same.setdefault(live, live))
         return at
 
     def edge(self, spine: Edge | list[tuple[int, int]], pending: bytes) -> Edge:
         """The tokens of a right edge that some token beginning with the pending bytes could still merge with."""
         ranks, heads, body = self.m.ranks, self.m.heads, self.m.bytes
         found = []
-        for x, ends in spine:
-            left = body[x]
+        for step in spine:
+            left = body[step[0]]
             if left + pending in heads or any(left + pending[:n] in ranks for n in range(1, len(pending) + 1)):
-                found.append((x, ends))
+                found.append(step)
         return tuple(found)
 
     def hindered(self, edge: Edge, token: int) -> bool:
@@ -81,10 +96,12 @@ class Transducer:
                     return True
         return False
 
-    def move(self, at: int, byte: int) -> Move:
-        """The next state, and the tokens that have become certain."""
-        edge, pending, tail, starts = self.config[at]
-        pending += bytes([byte])
+    def move(self, at: int, byte: int) -> int:
+        """The next state and the tokens that have become certain, as one number."""
+        key, packed, starts = self.keys[at], self.tails[at], self.lives[at]
+        edge = self.edge_at[int.from_bytes(key[:4], "little")]
+        pending = key[4:] + bytes([byte])
+        tail = list(ENTRY.iter_unpack(packed))
         n = len(pending)
         ranks, heads = self.m.ranks, self.m.heads
         found, live = None, []
@@ -96,7 +113,7 @@ class Transducer:
                 token = ranks.get(body)
                 if token is not None and (self.m.fits(tail[begin - 1][0], token) if begin else not edge or not self.hindered(edge, token)):
                     found = (token, begin)
-        tail = (*tail, found)
+        tail.append(found)
         live.append(n)
         # The border is the last position that the ways to all live positions pass.
         ways = live[:]
@@ -109,16 +126,22 @@ class Transducer:
         out = self.path(tail, border)
         spine = edge
         if border:
-            tail = tuple([(t, b - border) for t, b in tail[border:]])
+            packed = b"".join([ENTRY.pack(t, b - border) for t, b in tail[border:]])
             live = [i - border for i in live if i >= border]
             pending = pending[border:]
             spine = self.m.spine(out[-1], 1)
+        else:
+            packed += ENTRY.pack(*found)
         edge = self.edge(spine, pending) if live[0] == 0 else ()
-        step = self.moves[at][byte] = (self.state(edge, pending, tail, tuple(live)), out)
+        made = self.outs.get(out)
+        if made is None:
+            made = self.outs[out] = len(self.out_at)
+            self.out_at.append(out)
+        step = self.moves[at << 8 | byte] = made << SHIFT | self.state(edge, pending, packed, tuple(live))
         return step
 
     @staticmethod
-    def path(tail: tuple[tuple[int, int], ...], end: int) -> tuple[int, ...]:
+    def path(tail: list[tuple[int, int]], end: int) -> tuple[int, ...]:
         out = []
         while end:
             token, end = tail[end - 1]
@@ -126,19 +149,18 @@ class Transducer:
         return tuple(reversed(out))
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.config) > STATES:
+        if len(self.keys) > STATES:
             self.reset()
-        at, out, moves = self.start, [], self.moves
+        at, out, moves, outs = self.start, [], self.moves, self.out_at
         for byte in piece:
-            step = moves[at].get(byte)
-            at, made = step if step is not None else self.move(at, byte)
-            if made:
-                out += made
-        rest = self.flush[at]
-        if rest is None:
-            _, pending, tail, _ = self.config[at]
-            rest = self.flush[at] = self.path(tail, len(pending))
-        return [*out, *rest]
+            step = moves.get(at << 8 | byte)
+            if step is None:
+                step = self.move(at, byte)
+            at = step & LOW
+            if step > LOW:
+                out += outs[step >> SHIFT]
+        rest = list(ENTRY.iter_unpack(self.tails[at]))
+        return [*out, *self.path(rest, len(rest))]
 
 
 class Pieces(dict):

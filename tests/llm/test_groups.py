@@ -146,6 +146,34 @@ def test_components(spark):
     assert got == {x: root(x) for x in up}
 
 
+def test_components_write_few_files_for_few_links(spark, monkeypatch):
+    """However many shuffle partitions there are: on a local disk each file costs processes of the executor."""
+    from folioscan.llm import components as module
+
+    written = []
+
+    def saved(df, label):
+        kept = module_saved(df, label)
+        written.append((label, len(kept.inputFiles())))
+        return kept
+
+    module_saved = module.saved
+    monkeypatch.setattr(module, "saved", saved)
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        chain = [(i, i + 1) for i in range(0, 600) if i % 3 < 2]
+        got = {r.node: r.root for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 3 for i in range(600)}
+    rounds = [n for label, n in written if label == "roots"]
+    assert len(rounds) > 1 and max(rounds) <= spark.sparkContext.defaultParallelism
+
+
 def rule_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -15,6 +16,7 @@ from sample_texts import SAMPLE, prose
 from tokenizers import Tokenizer
 
 from folioscan.llm import byte_bpe, language_id, license_scan, private_data, token_counts
+from folioscan.llm.bpe import ranked_bytes
 from folioscan.llm.license_rules import GATES, rules
 
 ALPHABET = [
@@ -52,6 +54,21 @@ def test_transducer_survives_forgetting(texts, library, monkeypatch):
         assert c.encode(t).tolist() == library.encode_ordinary(t)
 
 
+def test_transducer_keeps_states_in_little_memory():
+    rng = random.Random(3)
+    words = [bytes(rng.choices(b"abcdefghijklmnopqrstuvwxyz", k=rng.randint(4, 12))) for _ in range(4000)]
+    machine = byte_bpe.Transducer(ranked_bytes(byte_bpe.RANKS))
+    first = [machine.encode(w) for w in words]  # fills the merge table's own caches
+    machine.reset()
+    tracemalloc.start()
+    again = [machine.encode(w) for w in words]
+    del again[:]
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 6_000_000  # 11,638 states; 9.1 MB when each had a dictionary and tuples of its own
+    assert [machine.encode(w) for w in words] == first
+
+
 def test_utf8_machine_takes_bytes_in_any_cut():
     rng = random.Random(2)
     for _ in range(2000):
